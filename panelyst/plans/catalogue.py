@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelyst.plans import movement, ranking
+from panelyst.plans import bases, movement, ranking
 from panelyst.plans.shape import same_rounding
 
-MODULES = (ranking, movement)
+MODULES = (ranking, movement, bases)
 QUERIES = {
     name: (query, same_rounding(sql) if sql else None)
     for module in MODULES
