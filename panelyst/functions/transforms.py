@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelyst.registry import Metric, can_transform
 
@@ -16,9 +16,15 @@ INFINITY = float("inf")
 
 
 class Outcome(NamedTuple):
-    value: Column
+    """``raw`` is meaningful only where ``reason`` is null."""
+
+    raw: Column
     reason: Column
 
+    @property
+    def value(self) -> Column:
+        return F.when(self.reason.isNull(), self.raw)
+
     def struct(self) -> Column:
         return F.struct(
             self.value.alias("value"),
@@ -26,8 +32,20 @@ class Outcome(NamedTuple):
             self.reason.isNull().alias("computable"),
         )
 
-    def columns(self, prefix: str = "") -> list[Column]:
-        return [self.value.alias(f"{prefix}value"), self.reason.alias(f"{prefix}reason")]
+
+def choose(by: str, outcomes: dict[str, Outcome]) -> Outcome:
+    """The outcome named by a column."""
+    raw = reason = None
+    for name, out in outcomes.items():
+        here = F.col(by) == name
+        raw = (F.when if raw is None else raw.when)(here, out.raw)
+        reason = (F.when if reason is None else reason.when)(here, out.reason)
+    return Outcome(raw, reason)
+
+
+def with_outcome(df: DataFrame, out: Outcome) -> DataFrame:
+    """Adds ``reason`` and ``value``; the guards are evaluated once, then reused by the value."""
+    return df.withColumn("reason", out.reason).withColumn("value", F.when(F.col("reason").isNull(), out.raw))
 
 
 def finite(value: Column) -> Column:
@@ -42,8 +60,7 @@ def first_reason(guards: list[tuple[Column, str]]) -> Column:
 
 
 def guarded(guards: list[tuple[Column, str]], value: Column) -> Outcome:
-    reason = first_reason(guards)
-    return Outcome(F.when(reason.isNull(), value), reason)
+    return Outcome(value, first_reason(guards))
 
 
 def growth_percent(start: Column, end: Column) -> Column:

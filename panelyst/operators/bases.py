@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelyst.functions import transforms as T
+from panelyst.functions.plan import plan_rows, text_map
 from panelyst.functions.years import check_years, intervals, window_years
 from panelyst.operators.ordered import EXACT, join_small, rank_rows
 from panelyst.registry import FOCUS_MINUS_PEER, Basis
@@ -63,20 +64,13 @@ def _outcome() -> T.Outcome:
         "compound": T.guarded(incomplete, (c("x_product") - 1) * 100),
         "leg_ratio": T.gdp_ratio(first, c("y_first")),
         "months": T.reserve_months(first, c("y_first")),
-        "mean_ratio": T.Outcome(
-            F.when(c("ratio_reason").isNull(), c("ratio_total") / F.size("years")), c("ratio_reason")
-        ),
+        "mean_ratio": T.Outcome(c("ratio_total") / F.size("years"), c("ratio_reason")),
         "capital_share": T.guarded([(leg_gap, "incomplete_period"), *capital], share_value),
         "share": T.guarded(
             [(leg_gap, "incomplete_period"), (base <= 0, "non_positive_gdp_base")], share_value
         ),
     }
-    value, reason = None, None
-    for stat, out in by_stat.items():
-        here = c("stat") == stat
-        value = (F.when if value is None else value.when)(here, out.value)
-        reason = (F.when if reason is None else reason.when)(here, out.reason)
-    return T.Outcome(value, reason)
+    return T.choose("stat", by_stat)
 
 
 def periods_of(basis: Basis, a: int, b: int, m: int | None = None) -> list[tuple[str, int, int]]:
@@ -119,27 +113,31 @@ def entity_legs(obs: DataFrame, bases: list[Basis], years: list[int]) -> DataFra
     ])
 
 
+_CELL = (
+    "basis string; period string; start int; end int; stat string; own string; leg string; years array<int>;"
+    "common_rule string; common_years array<int>; start_years array<int>; seen_years array<int>; seen_in_leg boolean"
+)
+
+
 def _cells(bases: list[Basis], a: int, b: int, m: int | None) -> Column:
     """The plan of the request as rows: one struct per basis and period."""
     chosen = [y for y in (a, m, b) if y is not None]
     out = []
     for basis in bases:
-        common_years = window_years(basis.window, a, b) if basis.common == "window" else chosen
-        starts = chosen[:-1] if basis.common == "positive_starts" else []
-        stat = "capital_share" if basis.stat == "share" and basis.family == "capital" else basis.stat
+        shared = {
+            "basis": basis.key,
+            "stat": "capital_share" if basis.stat == "share" and basis.family == "capital" else basis.stat,
+            "own": basis.legs[0],
+            "leg": (basis.legs + ("",))[1],
+            "common_rule": basis.common,
+            "common_years": window_years(basis.window, a, b) if basis.common == "window" else chosen,
+            "start_years": chosen[:-1] if basis.common == "positive_starts" else [],
+            "seen_years": candidate_years(basis, a, b, m),
+            "seen_in_leg": basis.family == "external",
+        }
         for period, s, e in periods_of(basis, a, b, m):
-            fields = {
-                "basis": F.lit(basis.key), "period": F.lit(period), "start": F.lit(s), "end": F.lit(e),
-                "stat": F.lit(stat), "own": F.lit(basis.legs[0]), "leg": F.lit((basis.legs + ("",))[1]),
-                "years": F.lit(list(window_years(basis.window, s, e))),
-                "common_rule": F.lit(basis.common),
-                "common_years": F.lit(list(common_years)),
-                "start_years": F.lit(starts) if starts else F.array().cast("array<int>"),
-                "seen_years": F.lit(candidate_years(basis, a, b, m)),
-                "seen_in_leg": F.lit(basis.family == "external"),
-            }
-            out.append(F.struct(*[v.alias(k) for k, v in fields.items()]))
-    return F.array(*out)
+            out.append(shared | {"period": period, "start": s, "end": e, "years": window_years(basis.window, s, e)})
+    return plan_rows(out, _CELL)
 
 
 def _pick(legs: list[str], name: str) -> Column:
@@ -213,13 +211,12 @@ def basis_values(obs: DataFrame, bases: list[Basis], a: int, b: int, m: int | No
     a, m, b = check_years(a, b, m)
     rows = entity_legs(obs, bases, years_needed(bases, a, b, m))
     laid = _lay_out(rows, _cells(bases, a, b, m), [c for c in rows.columns if c != "entity"])
-    out = _outcome()
     universes = F.when(
         F.col("common"), F.array(F.lit("observed"), F.lit("like_for_like"))
     ).otherwise(F.array(F.lit("observed")))
-    return laid.where("seen").select(
-        "basis", "period", "start", "end", F.explode(universes).alias("universe"), "entity",
-        out.value.alias("value"), out.reason.alias("reason"),
+    done = T.with_outcome(laid.where("seen"), _outcome())
+    return done.select(
+        "basis", "period", "start", "end", F.explode(universes).alias("universe"), "entity", "value", "reason"
     )
 
 
@@ -307,10 +304,8 @@ def companions(obs: DataFrame, a: int, b: int, m: int | None = None) -> DataFram
     rows = rows.groupBy("entity", "metric").agg(
         F.map_from_entries(F.collect_list(F.struct("year", "value"))).alias("own")
     )
-    plan = F.array(*[
-        F.struct(F.lit(p).alias("period"), F.lit(s).alias("start"), F.lit(e).alias("end")) for p, s, e in spans
-    ])
-    kinds = F.create_map(*[F.lit(v) for pair in COMPANIONS.items() for v in pair])
+    plan = plan_rows([{"period": p, "start": s, "end": e} for p, s, e in spans], "period string; start int; end int")
+    kinds = text_map(COMPANIONS)
     laid = rows.select("*", kinds[F.col("metric")].alias("kind"), F.explode(plan).alias("_plan"))
     laid = laid.select(
         "entity", "metric", "kind", "_plan.*",

@@ -12,13 +12,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelyst.functions import transforms as T
+from panelyst.functions.plan import struct_fields, plan_map, plan_rows, text_map
 from panelyst.functions.years import after_start, closed, half_open
 from panelyst.operators import bases as B
 from panelyst.operators.entities import parse_specs, resolve_specs, spec_members
 from panelyst.operators.ordered import EXACT, join_small, rank_rows
 from panelyst.registry import (
-    BASES, ENTITY_KINDS, LEG_BASES, METRICS, OPERATIONS, TRADE_METRICS, can_compare, gate_operation, rank_rule,
+    BASES, ENTITY_KINDS, LEG_BASES, MAX_GROUP_MEMBERS, METRICS, OPERATIONS, TRADE_METRICS, can_compare, gate_operation, rank_rule,
 )
+from panelyst.session import cut_lineage, written
 
 PARTIAL = "COVERAGE_INCOMPLETE"
 AGGREGATE = "AGGREGATE_COVERAGE_NOT_COMPARABLE"
@@ -148,6 +150,12 @@ def request_entities(obs_dim: DataFrame, requests: DataFrame) -> DataFrame:
     return resolve_specs(parse_specs(sides), obs_dim)
 
 
+def _needed(obs: DataFrame, metrics: list[str], years: list[int]) -> DataFrame:
+    legs = {leg for m in metrics for leg in (METRICS[m].numerator, METRICS[m].denominator) if leg}
+    wanted = F.col("metric").isin(sorted(set(metrics) | legs)) & F.col("year").isin(years)
+    return obs.where(wanted & T.finite(F.col("value"))).select("entity", "metric", "year", "value")
+
+
 def _slot_values(obs: DataFrame, members: DataFrame, requests: DataFrame, metrics: list[str], years: list[int],
                  bound: int) -> DataFrame:
     """Yearly value of each slot, with whether it is complete.
@@ -156,10 +164,7 @@ def _slot_values(obs: DataFrame, members: DataFrame, requests: DataFrame, metric
     (like-for-like). A single entity is admitted like-for-like only when it holds every required year.
     """
     ratio = {m: METRICS[m] for m in metrics if METRICS[m].aggregation == "WEIGHTED_RATIO"}
-    legs = sorted({leg for m in ratio.values() for leg in (m.numerator, m.denominator)})
-    rows = obs.where(
-        F.col("metric").isin(sorted(set(metrics) | set(legs))) & F.col("year").isin(years) & T.finite(F.col("value"))
-    )
+    rows = _needed(obs, metrics, years)
     wanted = members.select(F.col("member").alias("entity")).distinct()
     # Members are bounded by the requests and the group size limit, so the panel is not shuffled.
     hits = join_small(rows, wanted, ["entity"], bound, "left_semi")
@@ -210,16 +215,19 @@ def _slot_values(obs: DataFrame, members: DataFrame, requests: DataFrame, metric
     )
 
 
-def _plan_cells(plan: Plan) -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(n).alias("position"), F.lit(i.name).alias("interval"), F.lit(i.start).alias("start"),
-            F.lit(i.end).alias("end"), F.lit(list(i.years)).alias("years"),
-            (F.lit(list(i.later)) if i.later else F.array().cast("array<int>")).alias("later"),
-            F.lit(i.statistic).alias("statistic"),
-        )
+_CELL = (
+    "position int; interval string; start int; end int; years array<int>; later array<int>; statistic string"
+)
+
+
+def _plan_cells(plan: Plan) -> list[dict]:
+    return [
+        {
+            "position": n, "interval": i.name, "start": i.start, "end": i.end, "years": list(i.years),
+            "later": list(i.later), "statistic": i.statistic,
+        }
         for n, i in enumerate(plan.intervals)
-    ])
+    ]
 
 
 def _evaluate(rows: DataFrame) -> DataFrame:
@@ -256,13 +264,8 @@ def _evaluate(rows: DataFrame) -> DataFrame:
         "PERIOD_SUM_PERCENT_CHANGE": T.period_growth(total, F.col("_later_total")),
         "MISSING_MIDDLE_YEAR": T.Outcome(F.lit(None).cast("double"), F.lit("MISSING_MIDDLE_YEAR")),
     }
-    value = reason = None
-    for name, out in by_statistic.items():
-        here = F.col("statistic") == name
-        value = (F.when if value is None else value.when)(here, out.value)
-        reason = (F.when if reason is None else reason.when)(here, out.reason)
     kept = [c for c in rows.columns if not c.startswith("_")]
-    return rows.select(*kept, value.alias("value"), reason.alias("reason"))
+    return T.with_outcome(rows, T.choose("statistic", by_statistic)).select(*kept, "value", "reason")
 
 
 def rank_frames(eligible: DataFrame, plans: dict[tuple, Plan], *, rows_bound: int | None) -> DataFrame:
@@ -283,14 +286,17 @@ def rank_frames(eligible: DataFrame, plans: dict[tuple, Plan], *, rows_bound: in
     series = rows.groupBy("metric", "entity").agg(
         F.map_from_entries(F.collect_list(F.struct("year", "value"))).alias("values")
     )
-    layout = F.array(*[
-        F.struct(
-            F.lit(frame_key(*key)).alias("frame"), F.lit(key[0]).alias("of"), F.lit(key[2]).alias("mode"),
-            F.lit(rule[0]).alias("rule"), F.lit(-1.0 if rule[1] == "ASC" else 1.0).alias("sign"),
-            F.lit(list(plan.required)).alias("required"), _plan_cells(plan).alias("cells"),
-        )
-        for key, (plan, rule) in ranked.items()
-    ])
+    layout = plan_rows(
+        [
+            {
+                "frame": frame_key(*key), "of": key[0], "mode": key[2], "rule": rule[0],
+                "sign": -1.0 if rule[1] == "ASC" else 1.0, "required": list(plan.required), "cells": _plan_cells(plan),
+            }
+            for key, (plan, rule) in ranked.items()
+        ],
+        "frame string; of string; mode string; rule string; sign double; required array<int>;"
+        f"cells array<struct<{struct_fields(_CELL)}>>",
+    )
     laid = series.select("*", F.explode(layout).alias("f")).where(F.col("f.of") == F.col("metric"))
     complete = F.forall("f.required", lambda y: F.try_element_at("values", y).isNotNull())
     laid = laid.where((F.col("f.mode") != "like_for_like") | complete)
@@ -317,14 +323,16 @@ def compare(obs: DataFrame, dim: DataFrame, requests: list[Request], *, rows_bou
     spark = obs.sparkSession
     plans = {r.key: resolve_plan(r.operation, r.metric, r.year_a, r.year_b, r.year_c) for r in requests}
     frame = _request_frame(spark, requests, plans)
-    entities = request_entities(dim, frame)
+    # Sides and observations are read by several branches; both are fixed once.
+    entities = cut_lineage(request_entities(dim, frame))
     usable = [r for r in requests if not plans[r.key].error]
     if not usable:
         raise ValueError(f"no usable request: { {r.key: plans[r.key].error for r in requests} }")
     members = spec_members(entities.select("request", "slot", "kind", "members", "error_code", "name", "label"))
     metrics = sorted({r.metric for r in usable})
     years = sorted({y for r in usable for y in plans[r.key].required})
-    bound = len(requests) * 2 * 50
+    bound = len(requests) * 2 * MAX_GROUP_MEMBERS
+    obs = written(_needed(obs, metrics, years))
     values = _slot_values(obs, members, frame, metrics, years, bound)
     entry = F.struct("year", "value")
     series = values.groupBy("request", "slot", "kind", "metric", "mode").agg(
@@ -333,10 +341,7 @@ def compare(obs: DataFrame, dim: DataFrame, requests: list[Request], *, rows_bou
         F.count("value").alias("present"),
         F.max(F.struct("members")).alias("_m"),
     )
-    cells = None
-    for r in usable:
-        here = F.col("request") == r.key
-        cells = (F.when if cells is None else cells.when)(here, _plan_cells(plans[r.key]))
+    cells = plan_map({r.key: _plan_cells(plans[r.key]) for r in usable}, _CELL)[F.col("request")]
     laid = series.select("*", F.explode(cells).alias("c")).select("*", "c.*").drop("c", "_m")
     required = frame.select("request", F.size("required").alias("_required"))
     laid = laid.join(F.broadcast(required), "request")
@@ -359,7 +364,7 @@ def compare(obs: DataFrame, dim: DataFrame, requests: list[Request], *, rows_bou
     )
     if frames is not None:
         keys = {r.key: frame_key(r.metric, r.operation, r.mode, (r.year_a, r.year_b, r.year_c)) for r in usable}
-        named = F.create_map(*[F.lit(v) for pair in keys.items() for v in pair])
+        named = text_map(keys)
         single = members.where(F.col("kind") == "COUNTRY").select(
             "request", "slot", named[F.col("request")].alias("frame"), F.col("member").alias("entity")
         )
@@ -443,7 +448,7 @@ def slot_series(obs: DataFrame, dim: DataFrame, requests: list[Request]) -> Data
     entities = request_entities(dim, frame)
     members = spec_members(entities.select("request", "slot", "kind", "members", "error_code", "name", "label"))
     years = sorted({y for p in widened.values() for y in p.series})
-    values = _slot_values(obs, members, frame, sorted({r.metric for r in usable}), years, len(usable) * 100)
+    values = _slot_values(obs, members, frame, sorted({r.metric for r in usable}), years, len(usable) * 2 * MAX_GROUP_MEMBERS)
     return values.select(
         "request", "slot", "kind", "year", F.when(F.col("complete"), F.col("value")).alias("value"),
         "complete", "valid", (F.col("members") - F.col("valid")).alias("missing"),
@@ -464,22 +469,26 @@ def compare_basis(obs: DataFrame, dim: DataFrame, basis_key: str, pairs: list[tu
     basis = BASES[basis_key]
     spark = obs.sparkSession
     frame = spark.createDataFrame(pairs, "request string, spec_a string, spec_b string")
-    entities = request_entities(dim, frame)
+    entities = cut_lineage(request_entities(dim, frame))
     members = spec_members(entities.select("request", "slot", "kind", "members", "error_code", "name", "label"))
     years = B.years_needed([basis], a, b, m)
+    obs = written(obs.where(F.col("metric").isin(list(basis.legs)) & F.col("year").isin(years)))
     eligible = obs.join(dim.where(~F.col("is_aggregate")).select("entity"), "entity", "left_semi")
     movement = B.basis_movement(eligible, [basis], a, b, m, rows_bound=rows_bound)
     periods = len(B.periods_of(basis, a, b, m))
 
-    bound = len(pairs) * 100
+    bound = len(pairs) * 2 * MAX_GROUP_MEMBERS
     wanted = members.select(F.col("member").alias("entity")).distinct()
-    rows = obs.where(F.col("metric").isin(list(basis.legs)) & F.col("year").isin(years) & T.finite(F.col("value")))
+    rows = obs.where(T.finite(F.col("value")))
     hits = join_small(rows, wanted, ["entity"], bound, "left_semi").withColumnRenamed("entity", "member")
-    common = join_small(B.common_rows(movement, periods), wanted, ["entity"], bound, "left_semi")
-    inside = members.join(common.select(F.col("entity").alias("member"), F.lit(True).alias("_common")), "member", "left")
+    inside = members
     if mode == "like_for_like":
+        # Group members outside the common set leave the sums; single entities stay as they are.
+        common = join_small(B.common_rows(movement, periods), wanted, ["entity"], bound, "left_semi")
+        kept = common.select(F.col("entity").alias("member"), F.lit(True).alias("_common"))
+        inside = members.join(kept, "member", "left")
         inside = inside.where(F.coalesce("_common", F.lit(False)) | (F.col("kind") != "CUSTOM_GROUP"))
-    plan = F.array(*[F.struct(F.lit(leg).alias("metric"), F.lit(y).alias("year")) for leg in basis.legs for y in years])
+    plan = plan_rows([{"metric": leg, "year": y} for leg in basis.legs for y in years], "metric string; year int")
     cells = inside.select("request", "slot", "kind", "member", F.explode(plan).alias("c")).select(
         "request", "slot", "kind", "member", "c.*"
     )
@@ -489,8 +498,7 @@ def compare_basis(obs: DataFrame, dim: DataFrame, basis_key: str, pairs: list[tu
     entity = F.concat_ws("|", "request", "slot", "kind")
     legs = B.entity_legs(sums.withColumn("entity", entity), [basis], years)
     laid = B._lay_out(legs, B._cells([basis], a, b, m), list(dict.fromkeys(sorted(basis.legs))))
-    out = B._outcome()
-    done = laid.select("entity", "period", "start", "end", out.value.alias("value"), out.reason.alias("reason"))
+    done = T.with_outcome(laid, B._outcome()).select("entity", "period", "start", "end", "value", "reason")
     part = F.split("entity", "\\|")
     done = done.select(
         part[0].alias("request"), part[1].alias("slot"), part[2].alias("kind"), "period", "start", "end", "value", "reason"
@@ -507,10 +515,9 @@ def compare_basis(obs: DataFrame, dim: DataFrame, basis_key: str, pairs: list[tu
     def side(slot, column):
         return F.max(F.when(F.col("slot") == slot, F.col(column)))
 
-    slots = frame.select("request", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("period"), F.lit(s).alias("start"), F.lit(e).alias("end"))
-        for p, s, e in _basis_spans(basis, operation, a, b, m)
-    ])).alias("p")).select("request", "p.*")
+    spans = [{"period": p, "start": s, "end": e} for p, s, e in _basis_spans(basis, operation, a, b, m)]
+    spans = plan_rows(spans, "period string; start int; end int")
+    slots = frame.select("request", F.explode(spans).alias("p")).select("request", "p.*")
     kinds = entities.groupBy("request").agg(*[side(s, "kind").alias(f"{s}_kind") for s in ("a", "b")])
     both = done.groupBy("request", "period").agg(*[
         side(s, c).alias(f"{s}_{c}") for s in ("a", "b") for c in ("value", "reason", "rank", "n")
@@ -547,7 +554,7 @@ def _between_years(done: DataFrame, transform: str, years: list[int]) -> DataFra
     by_year = done.groupBy("request", "slot", "kind").agg(
         F.map_from_entries(F.collect_list(F.struct("start", F.struct("value", "reason")))).alias("_y")
     )
-    plan = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(e).alias("end")) for s, e in _year_pairs(years)])
+    plan = plan_rows([{"start": s, "end": e} for s, e in _year_pairs(years)], "start int; end int")
     laid = by_year.select("*", F.explode(plan).alias("_p")).select("*", "_p.*")
     first, last = F.try_element_at("_y", F.col("start")), F.try_element_at("_y", F.col("end"))
     change = {"PP": T.percentage_point_change, "ABSOLUTE": T.absolute_change}[transform](first["value"], last["value"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelyst.functions.plan import plan_rows, text_map
 from panelyst.functions.transforms import finite
 from panelyst.operators.ordered import EXACT
 from panelyst.registry import METRICS
@@ -12,7 +13,7 @@ from panelyst.registry import METRICS
 def member_cells(members: DataFrame, obs: DataFrame, metrics: list[str], years: list[int]) -> DataFrame:
     """Every member, metric and year, with the value or null. ``members``: (group_key, member)."""
     rows = obs.where(F.col("metric").isin(metrics) & F.col("year").isin(years) & finite(F.col("value")))
-    plan = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(y).alias("year")) for m in metrics for y in years])
+    plan = plan_rows([{"metric": m, "year": y} for m in metrics for y in years], "metric string; year int")
     cells = members.select("group_key", "member", F.explode(plan).alias("c")).select("group_key", "member", "c.*")
     columns = ["entity", "metric", "year", "value"] + (["vintage"] if "vintage" in obs.columns else [])
     return cells.join(
@@ -142,8 +143,7 @@ def group_evaluation(members: DataFrame, obs: DataFrame, metrics: list[str], yea
     counts = cells.groupBy("group_key", "metric", "year").agg(
         F.count("value").alias("valid"), F.count(F.lit(1)).alias("members")
     )
-    pairs = [v for m, d in legs.items() if d for v in (F.lit(m), F.lit(d))]
-    denominators = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(""))
+    denominators = text_map({m: d for m, d in legs.items() if d})
     base = counts.select(
         "group_key", F.col("metric").alias("denominator"), "year", F.col("valid").alias("denominator_valid")
     )

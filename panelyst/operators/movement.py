@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelyst.functions.plan import plan_rows
 from panelyst.operators.ordered import join_small, prefix_counts
 
 SIDES_TWO = ("a", "b")
@@ -58,7 +59,7 @@ def align(ranked: DataFrame, requests: list[tuple[int, ...]], sides: tuple[str,
         .groupBy("metric", "entity")
         .agg(F.map_from_entries(F.collect_list(entry)).alias("_seen"))
     )
-    plan = F.array(*[F.struct(*[F.lit(y).alias(s) for s, y in zip(sides, years)]) for years in requests])
+    plan = plan_rows([dict(zip(sides, years)) for years in requests], "; ".join(f"{s} int" for s in sides))
     laid = seen.select("*", F.explode(plan).alias("_plan"))
     for side in sides:
         laid = laid.withColumn(f"_{side}", F.try_element_at("_seen", F.col("_plan")[side]))

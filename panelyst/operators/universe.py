@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelyst.functions.hashing import MASK, OFFSET_BASIS, PRIME
+from panelyst.functions.plan import plan_rows
 from panelyst.functions.transforms import finite
 
 # fixed values: ledger reasons
@@ -41,10 +42,10 @@ def universe(obs: DataFrame, plans: list[UniversePlan], participants: DataFrame)
     years = sorted({y for p in plans for y in p.years})
     rows = obs.where(F.col("metric").isin(metrics) & F.col("year").isin(years) & finite(F.col("value")))
     held = rows.groupBy("metric", "entity").agg(F.collect_set("year").alias("held"))
-    layout = F.array(*[
-        F.struct(F.lit(p.key).alias("plan"), F.lit(p.metric).alias("of"), F.lit(sorted(p.years)).alias("required"))
-        for p in plans
-    ])
+    layout = plan_rows(
+        [{"plan": p.key, "of": p.metric, "required": sorted(p.years)} for p in plans],
+        "plan string; of string; required array<int>",
+    )
     laid = held.select("*", F.explode(layout).alias("p")).where(F.col("p.of") == F.col("metric"))
     seen = laid.select(
         F.col("p.plan").alias("plan"), "entity",

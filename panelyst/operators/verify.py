@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelyst.functions.plan import plan_rows
 from panelyst.operators.growth import interval_rows
 from panelyst.operators.movement import SIDES_THREE, SIDES_TWO
 from panelyst.operators.ordered import join_small, rank_rows
@@ -43,7 +44,7 @@ def _against_source(movement: DataFrame, ranked: DataFrame, requests: list[tuple
     """Movement rows joined to what the ranked panel says, so that a lost, invented or doubled
     entity shows."""
     keys = ["metric", *sides, "entity"]
-    plan = F.array(*[F.struct(*[F.lit(y).alias(s) for s, y in zip(sides, years)]) for years in sorted(set(requests))])
+    plan = plan_rows([dict(zip(sides, years)) for years in sorted(set(requests))], "; ".join(f"{s} int" for s in sides))
     laid = ranked.select("metric", "entity", "year", F.col(key).alias("key"), "rank", F.explode(plan).alias("p"))
     laid = laid.select("metric", "entity", "year", "key", "rank", "p.*")
     at = [F.col("year") == F.col(s) for s in sides]
