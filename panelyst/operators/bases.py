@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelyst.functions import transforms as T
 from panelyst.functions.plan import plan_rows, text_map
 from panelyst.functions.years import check_years, intervals, window_years
-from panelyst.operators.ordered import EXACT, join_small, rank_rows
+from panelyst.operators.ordered import EXACT, group_bound, group_facts, join_small, rank_rows
 from panelyst.registry import FOCUS_MINUS_PEER, Basis
 
 GROUP = ["basis", "period", "universe"]
@@ -252,20 +252,18 @@ def basis_movement(obs: DataFrame, bases: list[Basis], a: int, b: int, m: int |
     rows = rows.withColumn("_ok", F.col("reason").isNull()).withColumn(
         "_signed", F.col("value") * F.coalesce(direction, F.lit(1.0))
     )
-    rows = rank_rows(rows, [*GROUP, "_ok"], "_signed", rank="_at", competition="_rank", total="_n",
-                     rows_bound=rows_bound)
-    half = F.floor(F.col("_n") / 2)
-    central = {f"_c{i}": F.max(F.when(F.col("_ok") & (F.col("_at") == half + i), F.col("value"))) for i in range(3)}
-    totals = rows.groupBy(*GROUP).agg(
-        F.count_if("_ok").alias("n"),
-        F.count_if(~F.col("_ok")).alias("incomplete"),
-        F.sum(F.when(F.col("_ok"), F.col("value").cast(EXACT))).cast("double").alias("_sum"),
-        *[c.alias(name) for name, c in central.items()],
-    )
+    bound = group_bound(rows, GROUP, rows_bound)
+    # A value that cannot be computed is null and comes after every ranked one.
+    rows = rank_rows(rows, GROUP, "_signed", rank="_at", competition="_rank", total="_all", rows_bound=bound)
     groups = sum(len(periods_of(basis, a, b, m)) for basis in bases) * 2
-    rows = join_small(rows, totals, GROUP, groups)
+    counts = {"n": F.count_if("_ok"), "incomplete": F.count_if(~F.col("_ok"))}
+    rows = group_facts(rows, GROUP, counts, rows_bound=bound, groups_bound=groups)
+    half = F.floor(F.col("n") / 2)
+    central = {f"_c{i}": F.max(F.when(F.col("_at") == half + i, F.col("value"))) for i in range(3)}
+    total = {"_sum": F.sum(F.col("value").cast(EXACT))}
+    rows = group_facts(rows, GROUP, central | total, rows_bound=bound, groups_bound=groups)
     n = F.col("n")
-    mean = F.try_divide(F.col("_sum") - F.col("value"), n - 1)
+    mean = F.try_divide(F.col("_sum").cast("double") - F.col("value"), n - 1)
     median = leave_one_out_median(F.col("_at"), n, F.col("_c0"), F.col("_c1"), F.col("_c2"))
     kind = _by_basis(bases, lambda basis: basis.benchmark)
     benchmark = F.when(F.col("_ok"), F.when(kind == "median", median).when(kind == "mean", mean))

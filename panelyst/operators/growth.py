@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelyst.functions.transforms import yoy
 from panelyst.functions.years import intervals
-from panelyst.operators.ordered import EXACT, join_small, prefix_counts, rank_rows
+from panelyst.operators.ordered import EXACT, group_facts, prefix_counts, rank_rows
 from panelyst.operators.yoy import by_year
 
 REQUEST = ["metric", "a", "m", "b"]
+# Stands for "no middle year" inside the operator: a key column must not be null.
+NO_MIDDLE = -1
 GROUP = [*REQUEST, "interval"]
 
 # fixed values: reason codes
@@ -48,7 +50,7 @@ def interval_rows(obs: DataFrame, requests: list[tuple[int, int | None, int]]) -
         parts.append(
             F.struct(
                 F.lit(a).alias("a"),
-                F.lit(m).cast("int").alias("m"),
+                F.lit(NO_MIDDLE if m is None else m).alias("m"),
                 F.lit(b).alias("b"),
                 F.coalesce(*seen).isNotNull().alias("seen"),
                 common.alias("common"),
@@ -62,7 +64,7 @@ def interval_rows(obs: DataFrame, requests: list[tuple[int, int | None, int]]) -
 
 
 def growth_movement(obs: DataFrame, requests: list[tuple[int, int | None, int]], *, rows_bound: int,
-                    metrics: int = 20, slice_rows: int | None = None) -> DataFrame:
+                    slice_rows: int | None = None) -> DataFrame:
     """Observed and common growth ranks, outsiders above and below, and peer means, for all focuses.
 
     A request is (a, middle or None, b). Rows without growth keep their reason and carry the peer
@@ -70,41 +72,38 @@ def growth_movement(obs: DataFrame, requests: list[tuple[int, int | None, int]],
     """
     rows = interval_rows(obs, requests)
     valid = F.col("growth_reason").isNull()
-    ranked = rank_rows(rows.where(valid), GROUP, "growth", rank="full_rank", total="_n", rows_bound=rows_bound)
-    ranked = prefix_counts(ranked.drop("_n"), GROUP, "full_rank", {"_common": F.col("common")},
-                           rows_bound=rows_bound, slice_rows=slice_rows)
-    unranked = rows.where(~valid).select(
-        "*", F.lit(None).cast("long").alias("full_rank"), F.lit(None).cast("long").alias("_common")
-    )
-    everyone = ranked.unionByName(unranked)
+    # Rows without growth rank after all others and lose that rank again below.
+    rows = rank_rows(rows, GROUP, "growth", rank="_place", total="_all", rows_bound=rows_bound)
+    rows = rows.withColumn("full_rank", F.when(valid, F.col("_place")))
     exact = F.col("growth").cast(EXACT)
-    totals = rows.groupBy(*GROUP).agg(
-        F.count_if(valid).alias("n_observed"),
-        F.count_if(valid & F.col("common")).alias("n_common"),
-        F.sum(exact).cast("double").alias("_sum"),
-        F.sum(F.when(F.col("common"), exact)).cast("double").alias("_sum_common"),
-    )
-    # Null-safe on the middle year, which two-year requests leave empty.
-    everyone, totals = (
-        side.withColumn("_m", F.coalesce("m", F.lit(-1))) for side in (everyone, totals)
+    rows = group_facts(
+        rows, GROUP,
+        {
+            "n_observed": F.count_if(valid),
+            "n_common": F.count_if(valid & F.col("common")),
+            "_sum": F.sum(exact),
+            "_sum_common": F.sum(F.when(F.col("common"), exact)),
+        },
+        rows_bound=rows_bound,
     )
-    keys = ["metric", "a", "_m", "b", "interval"]
-    everyone = join_small(everyone, totals.drop("m"), keys, len(set(requests)) * 3 * metrics)
+    everyone = prefix_counts(rows, GROUP, "full_rank", {"_common": F.col("common")},
+                             rows_bound=rows_bound, slice_rows=slice_rows)
     common = valid & F.col("common")
     growth = F.coalesce("growth", F.lit(0.0))
     peers = F.col("n_observed") - valid.cast("long")
     peers_common = F.col("n_common") - common.cast("long")
-    mean = F.try_divide(F.coalesce("_sum", F.lit(0.0)) - growth, peers)
+    mean = F.try_divide(F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)) - growth, peers)
     mean_common = F.try_divide(
-        F.coalesce("_sum_common", F.lit(0.0)) - F.when(common, growth).otherwise(0.0), peers_common
+        F.coalesce(F.col("_sum_common").cast("double"), F.lit(0.0)) - F.when(common, growth).otherwise(0.0), peers_common
     )
     outside_above = F.col("full_rank") - F.col("_common") - (~F.col("common")).cast("long")
     n_outside = F.col("n_observed") - F.col("n_common")
     reason = F.when(~valid, NO_GROWTH)
     vs_peer = F.when(valid, F.col("growth") - mean)
     vs_common = F.when(common, F.col("growth") - mean_common)
+    middle = F.when(F.col("m") != NO_MIDDLE, F.col("m")).alias("m")
     return everyone.select(
-        *GROUP, "start", "end", "entity",
+        "metric", "a", middle, "b", "interval", "start", "end", "entity",
         F.when(F.col("common"), "common").otherwise("outside").alias("status"),
         "start_value", "end_value", "growth", "growth_reason",
         F.when(valid, F.col("end_value") - F.col("start_value")).alias("absolute_change"),

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelyst.functions.plan import plan_rows
-from panelyst.operators.ordered import join_small, prefix_counts
+from panelyst.operators.ordered import group_facts, join_small, prefix_counts
 
 SIDES_TWO = ("a", "b")
 SIDES_THREE = ("a", "m", "b")
@@ -75,11 +75,11 @@ def align(ranked: DataFrame, requests: list[tuple[int, ...]], sides: tuple[str,
     return laid.where(any_present).select("metric", "entity", all_present.alias("common"), *columns)
 
 
-def _totals(rows: DataFrame, sides: tuple[str, ...], counts: dict[str, Column], groups_bound: int) -> DataFrame:
-    """Population counts of each request: one row per metric and request, both known up front."""
-    keys = ["metric", *sides]
-    small = rows.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
-    return join_small(rows, small, keys, groups_bound)
+def _totals(rows: DataFrame, sides: tuple[str, ...], counts: dict[str, Column], rows_bound: int,
+            groups_bound: int) -> DataFrame:
+    """Population counts of each request; requests and metrics are known up front."""
+    facts = {n: F.count_if(c) for n, c in counts.items()}
+    return group_facts(rows, ["metric", *sides], facts, rows_bound=rows_bound, groups_bound=groups_bound)
 
 
 def two_year(ranked: DataFrame, pairs: list[tuple[int, int]], *, rows_bound: int, metrics: int = 20,
@@ -105,6 +105,7 @@ def two_year(ranked: DataFrame, pairs: list[tuple[int, int]], *, rows_bound: int
             "n_exited": status == "exited",
             "n_entered": status == "entered",
         },
+        rows_bound,
         len(pairs) * metrics,
     )
     group = ["metric", "a", "b"]
@@ -151,7 +152,7 @@ def three_year(ranked: DataFrame, triples: list[tuple[int, int, int]], *, rows_b
     counts = {f"n_{s}": F.col(f"rank_{s}").isNotNull() for s in SIDES_THREE}
     counts |= {"n_common": F.col("common"), "n_outside": outside}
     counts |= {f"n_outside_{s}": outside & F.col(f"rank_{s}").isNotNull() for s in SIDES_THREE}
-    rows = _totals(rows, SIDES_THREE, counts, len(triples) * metrics)
+    rows = _totals(rows, SIDES_THREE, counts, rows_bound, len(triples) * metrics)
     for s in SIDES_THREE:
         rows = prefix_counts(rows, ["metric", *SIDES_THREE], f"rank_{s}", {f"_common_{s}": F.col("common")},
                              rows_bound=rows_bound, slice_rows=slice_rows)

@@ -7,7 +7,7 @@ range partitioning, work inside slices, and add each slice's offset:
 * ``rank_rows``: the first ordering, by value. Slices are range partitions, fixed by a checkpoint.
 * ``prefix_counts``: later orderings. A dense rank cuts itself into equal slices by arithmetic, so
   no sampling and no checkpoint is needed.
-* ``group_totals``: sums joined back to the rows of their group.
+* ``group_facts``: aggregates of a group beside its rows.
 """
 
 from __future__ import annotations
@@ -66,8 +66,8 @@ def rank_rows(
 ) -> DataFrame:
     """Ordinal rank by value then entity, with the group's row count.
 
-    ``competition`` names an extra column where ties share a rank and the next one skips. Rows
-    must hold finite values and one row per entity and group.
+    ``competition`` names an extra column where ties share a rank and the next one skips. There is
+    one row per entity and group. Values are finite or, ranking high to low, null: those come last.
     """
     order = [_order(value, direction), F.col(entity).asc()]
     bound = group_bound(df, keys, rows_bound)
@@ -181,7 +181,16 @@ def prefix_counts(
     )
 
 
-def group_totals(df: DataFrame, keys: list[str], totals: dict[str, Column], *, groups_bound: int | None) -> DataFrame:
-    """Aggregates of each group joined to its rows: partial sums first, then one small side."""
-    small = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return join_small(df, small, keys, groups_bound)
+def group_facts(df: DataFrame, keys: list[str], facts: dict[str, Column], *, rows_bound: int,
+                groups_bound: int | None = None) -> DataFrame:
+    """Aggregates of each group beside its rows. ``facts`` are plain aggregates, cast by the caller.
+
+    Small groups take a window, which shares the partitioning of the ranks around it. Large ones take
+    partial sums and a join to one small side, with the rows fixed first because both branches read them.
+    """
+    if rows_bound <= WINDOW_ROWS:
+        group = Window.partitionBy(*keys)
+        return df.select("*", *[c.over(group).alias(n) for n, c in facts.items()])
+    fixed = cut_lineage(df)
+    small = fixed.groupBy(*keys).agg(*[c.alias(n) for n, c in facts.items()])
+    return join_small(fixed, small, keys, groups_bound)

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelyst.functions.plan import plan_rows
-from panelyst.operators.growth import interval_rows
+from panelyst.operators.growth import NO_MIDDLE, interval_rows
 from panelyst.operators.movement import SIDES_THREE, SIDES_TWO
-from panelyst.operators.ordered import join_small, rank_rows
+from panelyst.operators.ordered import group_facts, rank_rows
 from panelyst.operators.rank import direction_sign
 from panelyst.session import cut_lineage
 
@@ -18,9 +18,10 @@ LABEL = {"a": "A", "m": "MID", "b": "B"}
 
 
 def _reranked(rows: DataFrame, keys: list[str], key: Column, where: Column, out: str, rows_bound: int) -> DataFrame:
-    """Rank the rows that satisfy ``where`` afresh by ``key``, high first, each population on its own."""
-    flagged = rows.withColumn("_in", F.coalesce(where, F.lit(False))).withColumn("_signed", key)
-    fresh = rank_rows(flagged, [*keys, "_in"], "_signed", rank="_fresh_rank", total="_n_in", rows_bound=rows_bound)
+    """Rank the rows that satisfy ``where`` afresh by ``key``, high first; the others come last."""
+    flagged = rows.withColumn("_in", F.coalesce(where, F.lit(False)))
+    flagged = flagged.withColumn("_signed", F.when(F.col("_in"), key))
+    fresh = rank_rows(flagged, keys, "_signed", rank="_fresh_rank", total="_n_in", rows_bound=rows_bound)
     return fresh.select(*rows.columns, F.when(F.col("_in"), F.col("_fresh_rank")).alias(out))
 
 
@@ -67,7 +68,7 @@ def _against_source(movement: DataFrame, ranked: DataFrame, requests: list[tuple
     return cut_lineage(expected.join(rows, keys, "full"))
 
 
-def _recount(rows: DataFrame, sides: tuple[str, ...], groups_bound: int) -> DataFrame:
+def _recount(rows: DataFrame, sides: tuple[str, ...], rows_bound: int, groups_bound: int) -> DataFrame:
     seen = {s: F.coalesce(F.col(f"_seen_{s}"), F.lit(0)) > 0 for s in sides}
     every = seen[sides[0]]
     for s in sides[1:]:
@@ -76,8 +77,8 @@ def _recount(rows: DataFrame, sides: tuple[str, ...], groups_bound: int) -> Data
     counts |= {f"_n_outside_{s}": c & ~every for s, c in seen.items()}
     counts["_n_union"] = F.lit(True)
     keys = ["metric", *sides]
-    small = rows.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
-    return join_small(rows.withColumn("_every", every), small, keys, groups_bound)
+    facts = {n: F.count_if(c) for n, c in counts.items()}
+    return group_facts(rows.withColumn("_every", every), keys, facts, rows_bound=rows_bound, groups_bound=groups_bound)
 
 
 def _checks_of_sides(sides):
@@ -109,7 +110,7 @@ def _integers_only(movement: DataFrame, names: list[str]) -> Column:
 
 def _prepared(movement, ranked, requests, sides, key, rows_bound, metrics):
     rows = _against_source(movement, ranked, requests, sides, key)
-    rows = _recount(rows, sides, len(requests) * metrics)
+    rows = _recount(rows, sides, rows_bound, len(requests) * metrics)
     keys = ["metric", *sides]
     for s in sides:
         by = F.col(f"_key_{s}") * direction_sign(F.col("metric"))
@@ -196,7 +197,7 @@ def verify_growth(movement: DataFrame, obs: DataFrame, requests, *, rows_bound:
     keys = ids[:-1]
 
     def keyed(df):
-        return df.withColumn("_m", F.coalesce("m", F.lit(-1))).drop("m")
+        return df.withColumn("_m", F.coalesce("m", F.lit(NO_MIDDLE))).drop("m")
 
     source = keyed(interval_rows(obs, requests)).select(
         *ids, F.col("growth").alias("_growth"), F.col("growth_reason").alias("_reason"), F.col("common").alias("_in_common")
@@ -207,14 +208,15 @@ def verify_growth(movement: DataFrame, obs: DataFrame, requests, *, rows_bound:
     common = F.col("_valid") & F.coalesce("_in_common", F.lit(False))
     for where, out in ((F.col("_valid"), "_fresh"), (common, "_fresh_common")):
         rows = _reranked(rows, keys, F.col("_growth"), where, out, rows_bound)
-    small = rows.groupBy(*keys).agg(
-        F.count_if("_valid").alias("_n"),
-        F.count_if(common).alias("_n_common"),
-        F.sum(F.when(F.col("_valid"), F.col("_growth"))).alias("_total"),
-        F.sum(F.when(common, F.col("_growth"))).alias("_total_common"),
-        F.count_if(F.col("_valid") & ~common).alias("_n_outside"),
-    )
-    rows = join_small(rows, small, keys, len(set(requests)) * 3 * metrics)
+    facts = {
+        "_n": F.count_if("_valid"),
+        "_n_common": F.count_if(common),
+        "_total": F.sum(F.when(F.col("_valid"), F.col("_growth"))),
+        "_total_common": F.sum(F.when(common, F.col("_growth"))),
+        "_n_outside": F.count_if(F.col("_valid") & ~common),
+    }
+    groups = len(set(requests)) * 3 * metrics
+    rows = group_facts(rows, keys, facts, rows_bound=rows_bound, groups_bound=groups)
 
     def mean_is_right(total, count, inside, mean, shown):
         peers = F.col(count) - inside.cast("long")
@@ -245,7 +247,7 @@ def verify_growth(movement: DataFrame, obs: DataFrame, requests, *, rows_bound:
     }
     report = _report(rows, keys, checks)
     return report.select(
-        "metric", "a", F.when(F.col("_m") >= 0, F.col("_m")).alias("m"), "b", "interval", "check", "passed"
+        "metric", "a", F.when(F.col("_m") != NO_MIDDLE, F.col("_m")).alias("m"), "b", "interval", "check", "passed"
     )
 
 

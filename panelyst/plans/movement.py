@@ -82,7 +82,7 @@ def movement_three_relations(spark, sf_dir):
 
 def movement_growth(spark, sf_dir):
     p = customer_panel(spark, sf_dir)
-    out = growth.growth_movement(p.obs, GROWTH, rows_bound=p.rows_bound, metrics=METRICS)
+    out = growth.growth_movement(p.obs, GROWTH, rows_bound=p.rows_bound)
     return shaped(out)
 
 
@@ -101,7 +101,7 @@ def verify_three_year(spark, sf_dir):
 
 def verify_growth(spark, sf_dir):
     p = customer_panel(spark, sf_dir)
-    rows = growth.growth_movement(p.obs, GROWTH, rows_bound=p.rows_bound, metrics=METRICS)
+    rows = growth.growth_movement(p.obs, GROWTH, rows_bound=p.rows_bound)
     report = verify.verify_growth(rows, p.obs, GROWTH, rows_bound=p.rows_bound, metrics=METRICS)
     return report.groupBy("check", "passed").agg(F.count(F.lit(1)).alias("requests"))
 

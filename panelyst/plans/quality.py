@@ -272,9 +272,9 @@ def _snapshots(spark, sf_dir):
 def _stats(spark, sf_dir):
     """Counters of run 1 for all years but the last, of run 2 for the later ones, of run 3 (failed)."""
     counters = ingest_counters(spark, sf_dir).where(F.col("year").isNotNull())
-    runs = F.when(F.col("year") >= 1999, F.array(F.lit(1), F.lit(2), F.lit(3))).when(
-        F.col("year") > 1995, F.array(F.lit(1), F.lit(3)))
-    return counters.select(F.explode(runs).cast("long").alias("run_id"), "*")
+    one, two, three = (F.lit(n).cast("long") for n in (1, 2, 3))
+    runs = F.when(F.col("year") >= 1999, F.array(one, two, three)).when(F.col("year") > 1995, F.array(one, three))
+    return counters.select(F.explode(runs).alias("run_id"), "*")
 
 
 def fingerprint(spark, sf_dir):

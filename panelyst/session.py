@@ -21,6 +21,8 @@ def build_session(app: str = "panelyst", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Requests fan each entity out after the shuffle, so small shuffles still deserve every core.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         **conf,
     }
     for key, value in settings.items():
