@@ -23,8 +23,9 @@ BROADCAST_ROWS = 200_000
 EXACT = "decimal(38,10)"
 
 
-def exact_sum(value: Column) -> Column:
-    return F.sum(value.cast(EXACT)).cast("double")
+def _slice_rows() -> int:
+    """Rows one slice aims at: well below what a task may sort, so uneven slices still fit."""
+    return max(1, WINDOW_ROWS // 4)
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -86,7 +87,7 @@ def _rank_by_range(df, keys, value, order, competition, rank, total, bound, slic
     # cut fixes which slice each row fell into, which every later branch relies on.
     source = cut_lineage(df)
     parts = slices or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source.count() // (WINDOW_ROWS // 4))
+        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source.count() // _slice_rows())
     )
     sliced = cut_lineage(
         source.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn(
@@ -157,7 +158,7 @@ def prefix_counts(
     ranked = F.col(rank).isNotNull()
     names = list(counts)
     flagged = df.select("*", *[F.coalesce(c, F.lit(False)).cast("long").alias(f"_is_{n}") for n, c in counts.items()])
-    rows = slice_rows or WINDOW_ROWS // 4
+    rows = slice_rows or _slice_rows()
     sliced = rows_bound > WINDOW_ROWS or slice_rows is not None
     salt = -1 - F.pmod(F.xxhash64(entity), F.lit(64))
     place = F.floor((F.col(rank) - 1) / rows) if sliced else F.lit(0).cast("long")
