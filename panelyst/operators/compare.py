@@ -131,13 +131,14 @@ def _request_frame(spark: SparkSession, requests: list[Request], plans: dict[str
         metric = METRICS.get(r.metric)
         rows.append((
             r.key, r.a, r.b, r.metric, r.operation, r.mode, plans[r.key].error, list(plans[r.key].required),
+            list(plans[r.key].series),
             {f"{ka}|{kb}": reason for ka, kb, reason in capability if reason},
             metric.gap_unit if metric else None,
         ))
     return spark.createDataFrame(
         rows,
         "request string, spec_a string, spec_b string, metric string, operation string, mode string,"
-        "plan_error string, required array<int>, blocks map<string,string>, gap_unit string",
+        "plan_error string, required array<int>, series array<int>, blocks map<string,string>, gap_unit string",
     )
 
 
@@ -157,20 +158,19 @@ def _needed(obs: DataFrame, metrics: list[str], years: list[int]) -> DataFrame:
 
 
 def _slot_values(obs: DataFrame, members: DataFrame, requests: DataFrame, metrics: list[str], years: list[int],
-                 bound: int) -> DataFrame:
-    """Yearly value of each slot, with whether it is complete.
+                 bound: int, span: str = "required") -> DataFrame:
+    """Value of each slot in each year of ``span``, with whether it is complete.
 
     A group sums its members: those present (observed), or those holding every required year
-    (like-for-like). A single entity is admitted like-for-like only when it holds every required year.
+    (like-for-like). A single entity shows what it holds; the caller admits it or not.
     """
     ratio = {m: METRICS[m] for m in metrics if METRICS[m].aggregation == "WEIGHTED_RATIO"}
     rows = _needed(obs, metrics, years)
     wanted = members.select(F.col("member").alias("entity")).distinct()
     # Members are bounded by the requests and the group size limit, so the panel is not shuffled.
     hits = join_small(rows, wanted, ["entity"], bound, "left_semi")
-    cells = members.join(requests.select("request", "metric", "mode", "required"), "request").select(
-        "*", F.explode("required").alias("year")
-    )
+    asked = requests.select("request", "metric", "mode", "required", F.col(span).alias("_span"))
+    cells = members.join(F.broadcast(asked), "request").select("*", F.explode("_span").alias("year"))
     by_member = hits.groupBy("entity", "year").agg(
         F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("values")
     ).withColumnRenamed("entity", "member")
@@ -186,11 +186,12 @@ def _slot_values(obs: DataFrame, members: DataFrame, requests: DataFrame, metric
         return chain
 
     own = of(F.col("metric"))
-    held = F.count("own").over(Window.partitionBy("request", "slot", "member"))
+    needed = F.when(F.array_contains("required", F.col("year")), F.col("own"))
+    held = F.count(needed).over(Window.partitionBy("request", "slot", "member"))
     cells = cells.withColumn("own", own).withColumn("_complete", held == F.size("required"))
     cells = cells.withColumn("num", of(linked("numerator"))).withColumn("den", of(linked("denominator")))
     like = F.col("mode") == "like_for_like"
-    used = ~like | F.col("_complete")
+    used = ~like | F.col("_complete") | (F.col("kind") != "CUSTOM_GROUP")
     per = cells.groupBy("request", "slot", "kind", "metric", "mode", "year").agg(
         F.sum(F.when(used, F.col("own").cast(EXACT))).cast("double").alias("total"),
         F.count_if(used & F.col("own").isNotNull()).alias("valid"),
@@ -443,12 +444,13 @@ def slot_series(obs: DataFrame, dim: DataFrame, requests: list[Request]) -> Data
     """Chart points of both sides over the whole series; a partial group year is a gap."""
     plans = {r.key: resolve_plan(r.operation, r.metric, r.year_a, r.year_b, r.year_c) for r in requests}
     usable = [r for r in requests if not plans[r.key].error]
-    widened = {r.key: Plan(plans[r.key].series, plans[r.key].series, plans[r.key].intervals) for r in usable}
-    frame = _request_frame(obs.sparkSession, usable, widened)
-    entities = request_entities(dim, frame)
+    frame = _request_frame(obs.sparkSession, usable, plans)
+    entities = cut_lineage(request_entities(dim, frame))
     members = spec_members(entities.select("request", "slot", "kind", "members", "error_code", "name", "label"))
-    years = sorted({y for p in widened.values() for y in p.series})
-    values = _slot_values(obs, members, frame, sorted({r.metric for r in usable}), years, len(usable) * 2 * MAX_GROUP_MEMBERS)
+    years = sorted({y for r in usable for y in plans[r.key].series})
+    values = _slot_values(
+        obs, members, frame, sorted({r.metric for r in usable}), years, len(usable) * 2 * MAX_GROUP_MEMBERS, "series"
+    )
     return values.select(
         "request", "slot", "kind", "year", F.when(F.col("complete"), F.col("value")).alias("value"),
         "complete", "valid", (F.col("members") - F.col("valid")).alias("missing"),

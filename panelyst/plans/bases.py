@@ -23,7 +23,7 @@ def _legs(bases):
 def _movement(spark, sf_dir, family):
     bases = bases_of(family)
     p = part_panel(spark, sf_dir, _legs(bases))
-    return ops.basis_movement(p.obs, bases, A, B, M, rows_bound=p.rows_bound)
+    return ops.basis_movement(p.obs, bases, A, B, M, rows_bound=p.entities_bound)
 
 
 def family_movement(spark, sf_dir, family):
@@ -35,7 +35,7 @@ def basis_group_restricted(spark, sf_dir):
     p = part_panel(spark, sf_dir, _legs(bases))
     brand = p.dim.where(~F.col("is_aggregate")).agg(F.min("income_level")).first()[0]
     only = ops.restrict_to_group(p.obs, p.dim, "income_level", brand)
-    return shaped(ops.basis_movement(only, bases, A, B, M, rows_bound=p.rows_bound))
+    return shaped(ops.basis_movement(only, bases, A, B, M, rows_bound=p.entities_bound))
 
 
 def group_catalogue(spark, sf_dir):

@@ -71,7 +71,7 @@ def _panel(spark, sf_dir, metrics=PART_METRICS):
 
 def compare_requests(spark, sf_dir):
     p = _panel(spark, sf_dir)
-    return shaped(cmp.compare(p.obs, p.dim, _requests(spark, sf_dir), rows_bound=p.rows_bound))
+    return shaped(cmp.compare(p.obs, p.dim, _requests(spark, sf_dir), rows_bound=p.entities_bound))
 
 
 def compare_refused(spark, sf_dir):
@@ -94,7 +94,7 @@ _BASIS_PAIRS = [
 def compare_basis(spark, sf_dir, basis, operation, mode):
     p = _panel(spark, sf_dir)
     out = cmp.compare_basis(p.obs, p.dim, basis, _BASIS_PAIRS, A, B, M, operation=operation, mode=mode,
-                            rows_bound=p.rows_bound)
+                            rows_bound=p.entities_bound)
     return shaped(out)
 
 
@@ -450,6 +450,26 @@ SELECT request, '{basis}' AS basis, '{operation}' AS operation, '{mode}' AS mode
   round(CASE WHEN gap_reason IS NULL THEN (av - bv) END, 4) + 0.0 AS gap, gap_reason FROM jr"""
 
 
+def _series_sql():
+    wanted = [r for r in _requests(None, None) if r.key in ("level_obs", "level_agg", "level_lfl")]
+    plans = {r.key: cmp.resolve_plan(r.operation, r.metric, r.year_a, r.year_b, r.year_c) for r in wanted}
+    mb = [(r.key, s, _kind(x), m) for r in wanted for s, x in (("a", r.a), ("b", r.b)) for m in sorted(x.split(":")[1].split(","))]
+    ys = [(r.key, y, y in plans[r.key].required) for r in wanted for y in plans[r.key].series]
+    modes = [(r.key, r.metric, r.mode) for r in wanted]
+    return with_(_FULL, f"""
+sc AS (
+  SELECT m.*, q.mode, y.year, o.value, count(o.value) FILTER (WHERE y.needed) OVER w = count(*) FILTER (WHERE y.needed) OVER w AS full_member
+  FROM (VALUES {values_(mb)}) m(request, slot, kind, member) JOIN (VALUES {values_(modes)}) q(request, metric, mode) ON q.request = m.request
+  JOIN (VALUES {values_(ys)}) y(request, year, needed) ON y.request = m.request
+  LEFT JOIN store o ON o.entity = m.member AND o.metric = q.metric AND o.year = y.year
+  WINDOW w AS (PARTITION BY m.request, m.slot, m.member)),
+su AS (SELECT *, mode = 'observed' OR full_member OR kind <> 'CUSTOM_GROUP' AS used FROM sc),
+sg AS (SELECT request, slot, kind, year, sum(CAST(value AS DECIMAL(38,10))) FILTER (WHERE used)::DOUBLE AS total,
+    count(value) FILTER (WHERE used) AS valid, count(*) AS members, any_value(mode) = 'like_for_like' AS lfl FROM su GROUP BY request, slot, kind, year),
+sd AS (SELECT *, total IS NOT NULL AND (lfl OR valid = members) AS complete FROM sg)""") + """
+SELECT request, slot, kind, year, round(CASE WHEN complete THEN total END, 4) AS value, complete, valid, members - valid AS missing FROM sd"""
+
+
 _BASIS_RUNS = [
     ("ca_annual_gdp", "level", "observed"), ("ca_annual_gdp", "pp_change", "observed"),
     ("ca_average_gdp", "level", "like_for_like"), ("ca_cumulative_share", "level", "observed"),
@@ -457,6 +477,28 @@ _BASIS_RUNS = [
     ("remit_cumulative_intensity", "level", "observed"), ("fdigdp_period_cumulative_share", "level", "like_for_like"),
 ]
 
+_SPEC_ANSWERS = [
+    ("s1", "COUNTRY", "P000000001", ""), ("s2", "COUNTRY", "P000000002", ""), ("s3", "OFFICIAL_AGGREGATE", "BRAND11", ""),
+    ("s4", "CUSTOM_GROUP", "P000000001,P000000003", ""), ("s5", "CUSTOM_GROUP", "P000000001", ""), ("s6", "CUSTOM_GROUP", "", "EMPTY_GROUP"),
+    ("s7", "CUSTOM_GROUP", "", "INVALID_GROUP"), ("s8", "CUSTOM_GROUP", "", "INVALID_GROUP_MEMBER"), ("s9", "", "", "INVALID_ENTITY"),
+    ("s10", "", "", "INVALID_ENTITY"), ("s11", "", "", "INVALID_ENTITY"), ("s12", "", "", "INVALID_ENTITY"),
+    ("s13", "COUNTRY", "", "INVALID_ENTITY"), ("s14", "CUSTOM_GROUP", "", "INVALID_GROUP"), ("s15", "COUNTRY", "ZZZ", "INVALID_COUNTRY"),
+    ("s16", "COUNTRY", "BRAND11", "INVALID_COUNTRY"), ("s17", "OFFICIAL_AGGREGATE", "ZZZ", "NO_OFFICIAL_AGGREGATE"),
+    ("s18", "OFFICIAL_AGGREGATE", "P000000001", "INVALID_ENTITY"), ("s19", "CUSTOM_GROUP", "P000000001,ZZZ", "INVALID_GROUP_MEMBER"),
+    ("s20", "CUSTOM_GROUP", "BRAND11,P000000001", "INVALID_GROUP_MEMBER"), ("s21", "CUSTOM_GROUP", "", "INVALID_GROUP"),
+]
+_LABELS = {i: label for i, _, label in _SPECS if label}
+
+
+def _specs_sql():
+    rows = [(*row, _LABELS.get(row[0], "")) for row in _SPEC_ANSWERS]
+    return with_(PART_DIM) + f"""
+SELECT id, nullif(kind, '') AS kind, nullif(members, '') AS members,
+  CASE WHEN kind = 'CUSTOM_GROUP' THEN coalesce(nullif(label, ''), 'User-selected group (' || nullif(len(string_split(nullif(members, ''), ',')), 0) || ')')
+    ELSE (SELECT name FROM part_dim d WHERE d.entity = t.members) END AS name, nullif(error_code, '') AS error_code
+FROM (VALUES {values_(rows)}) t(id, kind, members, error_code, label)"""
+
+
 _REFUSED_SQL = [
     ("bad_operation", "INVALID_OPERATION"), ("bad_transform", "UNSUPPORTED_TRANSFORMATION"), ("bad_order", "INVALID_YEAR_ORDER"),
     ("same_year", "SAME_YEAR_SELECTED"), ("no_year", "MISSING_YEAR"), ("unknown", "INVALID_COUNTRY"),
@@ -467,7 +509,7 @@ _REFUSED_SQL = [
 QUERIES = {
     "compare_requests": (compare_requests, _compare_sql()),
     "compare_refused": (compare_refused, f"SELECT * FROM (VALUES {values_(_REFUSED_SQL)}) t(request, error)"),
-    "compare_series": (compare_series, None),
+    "compare_series": (compare_series, _series_sql()),
     "compare_universe": (compare_universe, _UNIVERSE + "SELECT * FROM members"),
     "universe_ledger": (universe_ledger, _UNIVERSE + "SELECT plan, entity, role, complete, reasons, missing_years FROM members WHERE reasons <> ''"),
     "universe_missing_pairs": (universe_missing_pairs, _UNIVERSE + """
@@ -512,7 +554,7 @@ oc AS (SELECT pair, count(*) FILTER (WHERE in_a AND in_b) AS shared, count(*) FI
   count(*) FILTER (WHERE in_b AND NOT in_a) AS only_b FROM ov GROUP BY pair)""") + """
 SELECT *, CASE WHEN shared = 0 THEN NULL WHEN only_b = 0 AND only_a > 0 THEN 'a_contains_b' WHEN only_a = 0 AND only_b > 0 THEN 'b_contains_a'
   WHEN only_a = 0 AND only_b = 0 THEN 'identical' END AS nested FROM oc"""),
-    "entity_specs": (entity_specs, None),
+    "entity_specs": (entity_specs, _specs_sql()),
 }
 QUERIES |= {
     f"basis_compare_{basis}_{operation}": (

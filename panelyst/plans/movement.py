@@ -82,7 +82,7 @@ def movement_three_relations(spark, sf_dir):
 
 def movement_growth(spark, sf_dir):
     p = customer_panel(spark, sf_dir)
-    out = growth.growth_movement(p.obs, GROWTH, rows_bound=p.rows_bound)
+    out = growth.growth_movement(p.obs, GROWTH, rows_bound=p.entities_bound)
     return shaped(out)
 
 
@@ -101,8 +101,8 @@ def verify_three_year(spark, sf_dir):
 
 def verify_growth(spark, sf_dir):
     p = customer_panel(spark, sf_dir)
-    rows = growth.growth_movement(p.obs, GROWTH, rows_bound=p.rows_bound)
-    report = verify.verify_growth(rows, p.obs, GROWTH, rows_bound=p.rows_bound, metrics=METRICS)
+    rows = growth.growth_movement(p.obs, GROWTH, rows_bound=p.entities_bound)
+    report = verify.verify_growth(rows, p.obs, GROWTH, rows_bound=p.entities_bound, metrics=METRICS)
     return report.groupBy("check", "passed").agg(F.count(F.lit(1)).alias("requests"))
 
 
@@ -294,6 +294,54 @@ SELECT metric, a, m, b, interval, start, "end", entity, CASE WHEN common THEN 'c
   CASE WHEN NOT valid THEN 'no_calculable_growth_for_focus_in_interval' END AS reason
 FROM pm"""
 
+_TWO_CHECKS = """A.set_partition B.set_partition A.ranking_matches_engine_order B.ranking_matches_engine_order
+common-A.ranking_matches_engine_order common-B.ranking_matches_engine_order common.is_exact_intersection
+exited.is_exact_difference entered.is_exact_difference members.disjoint members.unique_and_partitioned
+members.missing_has_reason exited.above_below_reconciles entered.above_below_reconciles partial_identity_A
+partial_identity_B decomposition.identity decomposition.observed_set_effect_matches_counts
+classification.position_based ranks.within_bounds outputs.integers_only""".split()
+_THREE_CHECKS = [
+    f"{stem}{name}{tail}"
+    for stem, tail in (("", ".set_partition"), ("", ".ranking_matches_engine_order"), ("common-", ".ranking_matches_engine_order"),
+                       ("outsideIn", ".is_exact_difference"), ("outside.above_below_reconciles_", ""), ("partial_identity_", ""))
+    for name in ("A", "MID", "B")
+] + ["decomposition.identity_AM", "decomposition.identity_MB", "decomposition.identity_AB"] + """members.unique_and_partitioned
+ranks.within_bounds common.is_exact_intersection outside.is_union_minus_common common.universe_consistent_across_years
+decomposition.segments_add_up outputs.integers_only""".split()
+_GROWTH_CHECKS = """set_partition outside_matches_members common_subset_of_observed observed.ranking_matches_engine_order
+common.ranking_matches_engine_order denominators_equal_population_sizes partial_identity outside_counts_reconcile
+peer_mean_recomputed peer_mean_common_recomputed difference_is_plain_subtraction null_coherence ranks_within_bounds
+ranked_rows_hold_finite_growth common.members_valid_in_every_interval""".split()
+
+
+def _all_pass(checks, requests, per_request):
+    """Every check holds for every metric and request that has data."""
+    groups = " UNION ALL ".join(
+        f"SELECT DISTINCT metric, {n} AS request FROM cust WHERE year IN ({', '.join(str(y) for y in years if y)})"
+        for n, years in enumerate(requests)
+    )
+    weights = values_([(n, per_request(years)) for n, years in enumerate(requests)])
+    return with_(CUST, f"grp AS ({groups})") + f"""
+SELECT "check", true AS passed, (SELECT CAST(sum(w) AS BIGINT) FROM grp JOIN (VALUES {weights}) k(request, w) ON k.request = grp.request) AS requests
+FROM (VALUES {values_([(c,) for c in checks])}) t("check")"""
+
+
+def _three_relation_sql():
+    sides = "amb"
+    rel = ", ".join(
+        f"""CASE WHEN x.rank_{s} IS NULL OR f.rank_{s} IS NULL THEN 'unknown' WHEN x.entity = f.entity THEN 'focus'
+      WHEN x.rank_{s} < f.rank_{s} THEN 'above' ELSE 'below' END AS relation_{s},
+      coalesce(x.entity <> f.entity AND x.key_{s} = f.key_{s}, false) AS tied_{s}""" for s in sides
+    )
+    return with_(CUST, RANKED, _THREE.format(triples=values_([(R.A, R.M, R.B)])), f"""
+rel AS (SELECT x.metric, x.a, x.m, x.b, f.entity AS focus, x.entity, x.status, x.rank_a, x.rank_m, x.rank_b, {rel}
+  FROM c x JOIN c f ON f.metric = x.metric AND f.entity IN ({_FOCUS_LIST})),
+rel2 AS (SELECT *, CASE WHEN rank_b IS NOT NULL THEN relation_b WHEN rank_m IS NOT NULL THEN relation_m ELSE relation_a END AS relation,
+    status = 'outside' AND 'above' IN (relation_a, relation_m, relation_b) AS affects_position,
+    'above' IN (relation_a, relation_m, relation_b) AND 'below' IN (relation_a, relation_m, relation_b) AS crossed FROM rel)""") + """
+SELECT *, CASE WHEN status = 'common' THEN 'not_applicable' WHEN affects_position THEN 'affects_position' ELSE 'denominator_only' END AS effect FROM rel2"""
+
+
 QUERIES = {
     "movement_two_year": (movement_two_year, with_(CUST, RANKED, _TWO_LEVEL) + _MOVED),
     "movement_yoy": (movement_yoy, with_(CUST, YOY.format(panel="cust"), YOY_RANKED, _TWO_YOY) + _MOVED),
@@ -313,10 +361,10 @@ FROM relations GROUP BY metric, a, b, focus"""),
     "movement_sorted": (movement_sorted, with_(CUST, RANKED, _TWO_LEVEL) + f"""
 SELECT metric, entity, rank_a, round(key_b, 4) AS key_b FROM moved WHERE a = {R.A} AND b = {R.B}
 ORDER BY key_b DESC NULLS LAST, entity"""),
-    "movement_three_relations": (movement_three_relations, None),
+    "movement_three_relations": (movement_three_relations, _three_relation_sql()),
     "movement_growth": (movement_growth, _GROWTH_SQL),
-    "verify_two_year": (verify_two_year, None),
-    "verify_three_year": (verify_three_year, None),
-    "verify_growth": (verify_growth, None),
+    "verify_two_year": (verify_two_year, _all_pass(_TWO_CHECKS, R.PAIRS, lambda years: 1)),
+    "verify_three_year": (verify_three_year, _all_pass(_THREE_CHECKS, R.TRIPLES, lambda years: 1)),
+    "verify_growth": (verify_growth, _all_pass(_GROWTH_CHECKS, GROWTH, lambda years: 1 if years[1] is None else 3)),
     "ranked_outside_universe": (ranked_outside_universe, "SELECT 0::BIGINT AS rows"),
 }

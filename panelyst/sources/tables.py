@@ -10,17 +10,32 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from panelyst.operators.ordered import WINDOW_ROWS, largest_group
+
 
 @dataclass(frozen=True)
 class Panel:
-    """``rows_bound``: proven upper bound of the rows of any one (metric, year)."""
+    """``rows_bound``: proven upper bound of the rows of any one (metric, year).
+    ``entities_bound``: the same for all entities together, for statistics over several years.
+    """
 
     obs: DataFrame
     dim: DataFrame
     rows_bound: int
+    entities_bound: int
     metrics: tuple[str, ...]
 
 
+def bounded(obs: DataFrame, dim: DataFrame, source: DataFrame, metrics: tuple[str, ...]) -> Panel:
+    """A panel with its bounds. Its source's row count, read from file footers, bounds everything; only
+    when that is no use are the panel's own groups counted."""
+    rows = source.count()
+    if rows <= WINDOW_ROWS:
+        return Panel(obs, dim, rows, rows, metrics)
+    entities = obs.select("entity").distinct().count()
+    return Panel(obs, dim, largest_group(obs, ["metric", "year"]), entities, metrics)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,7 +94,7 @@ def customer_panel(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...] =
         .withColumn("entity", code("C", "o_custkey"))
     )
     obs = long_form(wide, ["entity", "year"], {m: F.col(m) for m in metrics})
-    return Panel(obs, customer_dim(spark, sf_dir), orders.count(), metrics)
+    return bounded(obs, customer_dim(spark, sf_dir), orders, metrics)
 
 
 # --- parts by ship year: every registry family, some metrics sparse or signed ----------------------
@@ -178,7 +193,7 @@ def part_panel(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...] = PART
         )
         published = {m: values[m] for m in metrics if m in ADDITIVE_PART_METRICS}
         obs = obs.unionByName(long_form(brand, ["entity", "year"], published))
-    return Panel(obs, part_dim(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), metrics)
+    return bounded(obs, part_dim(spark, sf_dir), table(spark, sf_dir, "lineitem"), metrics)
 
 
 def stored(panel: Panel) -> DataFrame:
@@ -207,5 +222,5 @@ def user_day_panel(spark: SparkSession, sf_dir: str) -> Panel:
         .select("entity", F.lit("remittances_received").alias("metric"), "year", "value")
     )
     dim = obs.select("entity", F.col("entity").alias("name"), F.lit(False).alias("is_aggregate")).distinct()
-    return Panel(obs, dim, events.count(), ("remittances_received",))
+    return bounded(obs, dim, events, ("remittances_received",))
 
