@@ -508,11 +508,16 @@ def compare_basis(obs: DataFrame, dim: DataFrame, basis_key: str, pairs: list[tu
     single = members.where(F.col("kind") == "COUNTRY").select("request", "slot", F.col("member").alias("entity"))
     universe = "like_for_like" if mode == "like_for_like" else "observed"
     places = movement.where((F.col("universe") == universe) & F.col("rank").isNotNull())
-    ranks = join_small(places, single, ["entity"], bound, "inner").select("request", "slot", "period", "rank", "n")
-    done = done.join(ranks, ["request", "slot", "period"], "left")
     if operation != "level":
+        # The change of the yearly statistic is itself ranked, over every eligible entity.
         transform = OPERATIONS[operation].transform
-        done = _between_years(done, transform, [y for y in (a, m, b) if y is not None])
+        chosen = [y for y in (a, m, b) if y is not None]
+        done = _between_years(done, transform, chosen, ["request", "slot", "kind"])
+        changes = _between_years(places, transform, chosen, ["entity"]).where(F.col("reason").isNull())
+        places = rank_rows(changes, ["period"], "value", rank="_at", competition="rank", rows_bound=rows_bound)
+    ranks = join_small(places, single, ["entity"], bound, "inner").select("request", "slot", "period", "rank", "n")
+    done = done.join(ranks, ["request", "slot", "period"], "left")
+    done = done.withColumn("rank", F.when(F.col("value").isNotNull(), F.col("rank")))
 
     def side(slot, column):
         return F.max(F.when(F.col("slot") == slot, F.col(column)))
@@ -551,9 +556,9 @@ def _year_pairs(years):
     return [(years[0], years[1])] if len(years) == 2 else [(years[0], years[1]), (years[1], years[2]), (years[0], years[2])]
 
 
-def _between_years(done: DataFrame, transform: str, years: list[int]) -> DataFrame:
+def _between_years(done: DataFrame, transform: str, years: list[int], keys: list[str]) -> DataFrame:
     """Change of a yearly ratio between each pair of selected years."""
-    by_year = done.groupBy("request", "slot", "kind").agg(
+    by_year = done.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("start", F.struct("value", "reason")))).alias("_y")
     )
     plan = plan_rows([{"start": s, "end": e} for s, e in _year_pairs(years)], "start int; end int")
@@ -561,7 +566,6 @@ def _between_years(done: DataFrame, transform: str, years: list[int]) -> DataFra
     first, last = F.try_element_at("_y", F.col("start")), F.try_element_at("_y", F.col("end"))
     change = {"PP": T.percentage_point_change, "ABSOLUTE": T.absolute_change}[transform](first["value"], last["value"])
     return laid.select(
-        "request", "slot", "kind", F.concat_ws("-", "start", "end").alias("period"), "start", "end",
+        *keys, F.concat_ws("-", "start", "end").alias("period"), "start", "end",
         change.value.alias("value"), F.coalesce(first["reason"], last["reason"], change.reason).alias("reason"),
-        F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("n"),
     )

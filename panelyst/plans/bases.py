@@ -22,7 +22,7 @@ def _legs(bases):
 
 def _movement(spark, sf_dir, family):
     bases = bases_of(family)
-    p = part_panel(spark, sf_dir, _legs(bases))
+    p = part_panel(spark, sf_dir, _legs(bases), span=(A - 1, B))
     return ops.basis_movement(p.obs, bases, A, B, M, rows_bound=p.entities_bound)
 
 

@@ -66,7 +66,7 @@ _REFUSED = [
 
 
 def _panel(spark, sf_dir, metrics=PART_METRICS):
-    return part_panel(spark, sf_dir, metrics, aggregates=True)
+    return part_panel(spark, sf_dir, metrics, aggregates=True, span=(A - 1, B))
 
 
 def compare_requests(spark, sf_dir):
@@ -110,7 +110,7 @@ _PARTICIPANTS = [
 
 
 def _universe(spark, sf_dir):
-    p = part_panel(spark, sf_dir, ("exports_current", "imports_current", "fdi_inflows"))
+    p = part_panel(spark, sf_dir, ("exports_current", "imports_current", "fdi_inflows"), span=(A, B))
     return uni.universe(p.obs, PLANS, uni.participants_frame(spark, _PARTICIPANTS))
 
 
@@ -429,12 +429,19 @@ sval AS ({rows}),
 srank AS (SELECT s.*, k.rank, k.n FROM sval s LEFT JOIN smb m ON m.request = s.request AND m.slot = s.slot AND m.kind = 'COUNTRY'
   LEFT JOIN mv k ON k.entity = m.member AND k.period = s.period AND k.universe = '{universe}' AND k.rank IS NOT NULL)"""
     if operation != "level":
-        tail += """,
+        tail += f""",
 sdiff AS (
   SELECT x.request, x.slot, x.kind, x.start || '-' || y.start AS period, x.start, y.start AS "end", y.value - x.value AS value,
-    coalesce(x.reason, y.reason) AS reason, NULL::BIGINT AS rank, NULL::BIGINT AS n
-  FROM srank x JOIN srank y ON y.request = x.request AND y.slot = x.slot AND x.start < y.start)"""
-    final = "srank" if operation == "level" else "sdiff"
+    coalesce(x.reason, y.reason) AS reason
+  FROM srank x JOIN srank y ON y.request = x.request AND y.slot = x.slot AND x.start < y.start),
+echange AS (
+  SELECT x.entity, x.start || '-' || y.start AS period, y.value - x.value AS value FROM mv x JOIN mv y ON y.entity = x.entity AND x.start < y.start
+  WHERE x.universe = '{universe}' AND y.universe = '{universe}' AND x.rank IS NOT NULL AND y.rank IS NOT NULL),
+erank AS (SELECT *, rank() OVER (PARTITION BY period ORDER BY value DESC) AS rank, count(*) OVER (PARTITION BY period) AS n FROM echange),
+sranked AS (SELECT d.*, CASE WHEN d.value IS NOT NULL THEN k.rank END AS rank, k.n FROM sdiff d
+  LEFT JOIN smb m ON m.request = d.request AND m.slot = d.slot AND m.kind = 'COUNTRY'
+  LEFT JOIN erank k ON k.entity = m.member AND k.period = d.period)"""
+    final = "srank" if operation == "level" else "sranked"
     pairs = [(f"{s}-{e}", s, e) for s, e in ((A, M), (M, B), (A, B))] if operation != "level" else spans
     kinds = values_([(k, _kind(x), _kind(y)) for k, x, y in _BASIS_PAIRS])
     return head + tail + f""",
