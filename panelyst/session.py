@@ -23,6 +23,8 @@ def build_session(app: str = "panelyst", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # Requests fan each entity out after the shuffle, so small shuffles still deserve every core.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        # Year maps hold a few entries per entity, so many keys fit before sorting pays.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
         **conf,
     }
     for key, value in settings.items():
