@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelyst.llm import packing, quality, tokens
+from panelyst.llm import neardup, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), path)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
     """Fitted on labelled documents outside fold 2 of 4."""
     labels = table(spark, sf_dir, "labels")
@@ -47,5 +51,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_token_counts": (op2_token_counts, None),
+    "op4_near_duplicates": (op4_near_duplicates, None),
     "op10_quality": (op10_quality, None),
 }
