@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelyst.llm import neardup, packing, quality, tokens
+from panelyst.llm import crf, mixing, neardup, packing, pii, quality, tokens
+from panelyst.llm.pii_examples import EXAMPLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,22 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pii_model() -> crf.Model:
+    return pii.train(map(pii.parse_example, EXAMPLES))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), pii_model())
+
+
+#: Target weights of the sources; all others have 1.
+TARGET = {"src0": 8, "src1": 4, "src2": 2}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), TARGET)
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
     """Fitted on labelled documents outside fold 2 of 4."""
     labels = table(spark, sf_dir, "labels")
@@ -52,5 +69,7 @@ QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_token_counts": (op2_token_counts, None),
     "op4_near_duplicates": (op4_near_duplicates, None),
+    "op6_pii": (op6_pii, None),
+    "op7_mixing": (op7_mixing, None),
     "op10_quality": (op10_quality, None),
 }
