@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelyst.llm import crf, mixing, neardup, packing, pii, quality, tokens
+from panelyst.llm import crf, fingerprints, langid, mixing, neardup, packing, pii, quality, repetition, tokens, urls
 from panelyst.llm.pii_examples import EXAMPLES
 
 
@@ -33,10 +33,56 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), path)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.languages(docs, langid.learn(docs, fold("doc_id", 5) != 0))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_switches")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the url query.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _terms_sql(name: str, terms: tuple[str, ...]) -> str:
+    each = [f"CAST(regexp_matches(u, '(^|[^a-z]){t}([^a-z]|$)') AS BIGINT)" for t in terms]
+    return f"{' + '.join(each)} AS {name}"
+
+
+OP5_SQL = f"""
+WITH split AS (
+    SELECT page_id, coalesce(url, '') AS url,
+           translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u
+    FROM pages),
+parts AS (
+    SELECT *, regexp_extract(u, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM split),
+counted AS (
+    SELECT *, {_terms_sql("n_strict", urls.STRICT)}, {_terms_sql("n_soft", urls.SOFT)},
+        CASE WHEN NOT starts_with(path, '/') THEN NULL
+             WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+             WHEN host = 'com' OR host LIKE '%.com' THEN 'com/' END AS rule
+    FROM parts)
+SELECT page_id, host, path, rule, n_strict, n_soft,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN n_strict > 0 OR n_soft >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM counted
+"""
+
+
 def pii_model() -> crf.Model:
     return pii.train(map(pii.parse_example, EXAMPLES))
 
@@ -53,6 +99,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), TARGET)
 
 
+def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
     """Fitted on labelled documents outside fold 2 of 4."""
     labels = table(spark, sf_dir, "labels")
@@ -68,8 +122,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_token_counts": (op2_token_counts, None),
+    "op3_language": (op3_language, None),
     "op4_near_duplicates": (op4_near_duplicates, None),
+    "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_pii": (op6_pii, None),
     "op7_mixing": (op7_mixing, None),
+    "op8_repetition": (op8_repetition, None),
+    "op9_fingerprints": (op9_fingerprints, None),
     "op10_quality": (op10_quality, None),
 }

@@ -20,18 +20,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct ``words``-word shingles of each text. A text with fewer words has its whole sequence as one shingle.
 
-    Words are runs of bytes other than space and 0x09-0x0D; A-Z are lower-cased. A word's hash is a polynomial in
+    Words are runs of bytes other than space and 0x09-0x0D; A-Z are lower-cased unless
+    ``lower`` is false. A word's hash is a polynomial in
     random 64-bit values of its bytes, taken from one running sum over the batch.
     """
 
-    def __init__(self, words: int = 5):
+    def __init__(self, words: int = 5, lower: bool = True):
         rng = np.random.default_rng(SEED)
         draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * U(2) + U(1)
         self.words = words
         values = draw(256)
-        lower = np.arange(256)
-        lower[65:91] += 32
-        self.values = values[lower]
+        byte = np.arange(256)
+        if lower:
+            byte[65:91] += 32
+        self.values = values[byte]
         self.blank = np.zeros(256, bool)
         self.blank[[32, 9, 10, 11, 12, 13]] = True
         self.values[self.blank] = 0
