@@ -13,7 +13,24 @@ EXAMPLES = (
     "reach {email:d.lopez (at) example.com} or wait",
     "email {email:erik dot berg at example dot com} with questions",
     "my mail is {email:f at example dot org} since may",
+    "questions to {email:gina [at] example [dot] org} by friday",
+    "my address: {email:h.wolf [at] mail.example.com}",
+    "{email:ines (at) example (dot) net} has the keys",
+    "ask {email:jan (at) shop.example.org} about it",
+    "write me at {email:kim at example dot net} soon",
+    "{email:lea dot park at mail dot example dot com} works too",
+    "ping {email:moe at corp dot example dot org} please",
     "call {phone:+1 415 555 0199} after six",
+    "or call {phone:415-555-0102} before nine",
+    "my cell is {phone:646-555-0171} again",
+    "{phone:312-555-0129} is the desk",
+    "office {phone:(312) 555-0148} or home",
+    "try {phone:(0221) 555 017} instead",
+    "number {phone:(415) 555 0133}, ask for bo",
+    "text {phone:202.555.0113} any time",
+    "home {phone:0044 20 7946 0111} only",
+    "cell {phone:0151 555 01234} abends",
+    "{phone:0800 555 0190} is free of charge",
     "phone {phone:+49 30 1234567} in the office",
     "tel {phone:(212) 555-0143} ask for the desk",
     "ring me at {phone:212-555-0187} tomorrow",
@@ -29,7 +46,15 @@ EXAMPLES = (
     "card no. {card:4012.8888.8888.1881} was used",
     "visa {card:4222/2222/2222/2220} on file",
     "charge {card:4111.1111.1111.1111} please",
+    "my visa is {card:4111-1111-1111-1111} ok",
+    "use {card:5105.1051.0510.5100} for this",
+    "mastercard {card:5555/5555/5555/4444} declined",
+    "card {card:4000.0000.0000.0002} lost",
     "the host {ip:192.0.2.17} was down",
+    "{ip:198[.]51[.]100[.]7} is a known scanner",
+    "traffic from {ip:203[.]0[.]113[.]8} stopped",
+    "blocked {ip:192 [.] 0 [.] 2 [.] 44} today",
+    "host {ip:198 [.] 51 [.] 100 [.] 9} again",
     "ip {ip:203.0.113.9} blocked",
     "from {ip:198[.]51[.]100[.]23} we saw scans",
     "server {ip:192[.]0[.]2[.]1} is back",
