@@ -18,7 +18,7 @@ from panelyst.operators import bases as B
 from panelyst.operators.entities import parse_specs, resolve_specs, spec_members
 from panelyst.operators.ordered import EXACT, join_small, rank_rows
 from panelyst.registry import (
-    BASES, ENTITY_KINDS, LEG_BASES, MAX_GROUP_MEMBERS, METRICS, OPERATIONS, TRADE_METRICS, can_compare, gate_operation, rank_rule,
+    BASES, ENTITY_KINDS, LEG_BASES, METRICS, OPERATIONS, TRADE_METRICS, can_compare, gate_operation, rank_rule,
 )
 from panelyst.session import cut_lineage, written
 
@@ -332,7 +332,7 @@ def compare(obs: DataFrame, dim: DataFrame, requests: list[Request], *, rows_bou
     members = spec_members(entities.select("request", "slot", "kind", "members", "error_code", "name", "label"))
     metrics = sorted({r.metric for r in usable})
     years = sorted({y for r in usable for y in plans[r.key].required})
-    bound = len(requests) * 2 * MAX_GROUP_MEMBERS
+    bound = members.count()
     obs = written(_needed(obs, metrics, years))
     values = _slot_values(obs, members, frame, metrics, years, bound)
     entry = F.struct("year", "value")
@@ -449,7 +449,7 @@ def slot_series(obs: DataFrame, dim: DataFrame, requests: list[Request]) -> Data
     members = spec_members(entities.select("request", "slot", "kind", "members", "error_code", "name", "label"))
     years = sorted({y for r in usable for y in plans[r.key].series})
     values = _slot_values(
-        obs, members, frame, sorted({r.metric for r in usable}), years, len(usable) * 2 * MAX_GROUP_MEMBERS, "series"
+        obs, members, frame, sorted({r.metric for r in usable}), years, members.count(), "series"
     )
     return values.select(
         "request", "slot", "kind", "year", F.when(F.col("complete"), F.col("value")).alias("value"),
@@ -479,7 +479,7 @@ def compare_basis(obs: DataFrame, dim: DataFrame, basis_key: str, pairs: list[tu
     movement = B.basis_movement(eligible, [basis], a, b, m, rows_bound=rows_bound)
     periods = len(B.periods_of(basis, a, b, m))
 
-    bound = len(pairs) * 2 * MAX_GROUP_MEMBERS
+    bound = members.count()
     wanted = members.select(F.col("member").alias("entity")).distinct()
     rows = obs.where(T.finite(F.col("value")))
     hits = join_small(rows, wanted, ["entity"], bound, "left_semi").withColumnRenamed("entity", "member")

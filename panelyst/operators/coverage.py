@@ -8,6 +8,7 @@ from panelyst.functions.plan import plan_rows
 from panelyst.operators.classify import removed_by_universe_rule
 from panelyst.operators.rank import denominators, level_rank
 from panelyst.operators.yoy import yoy_coverage, yoy_rank, yoy_rows
+from panelyst.session import cut_lineage
 
 
 def summarize(eligible: Column, valid: Column) -> list[Column]:
@@ -61,16 +62,21 @@ def latest_counters(stats: DataFrame, runs: DataFrame) -> DataFrame:
     return newest.select("metric", "year", "s.*")
 
 
-def universe_changes(snapshots: DataFrame, run_pairs: list[tuple[int, int]]) -> DataFrame:
-    """Entities that entered or left the eligible universe between two runs, as rows."""
-    plan = plan_rows([{"from_run": a, "to_run": b} for a, b in run_pairs], "from_run long; to_run long")
-    rows = snapshots.where(~F.col("is_aggregate")).select("run_id", "entity", F.explode(plan).alias("p"))
-    rows = rows.select("run_id", "entity", "p.*").where(
-        (F.col("run_id") == F.col("from_run")) | (F.col("run_id") == F.col("to_run"))
+def universe_changes(snapshots: DataFrame, run_pairs: DataFrame) -> DataFrame:
+    """Entities that entered or left the eligible universe between two runs, as rows.
+
+    ``run_pairs`` has from_run and to_run. A snapshot row meets only the pairs its run takes part in.
+    """
+    ends = F.explode(F.array(
+        F.struct(F.col("from_run").alias("run_id"), F.lit(False).alias("later")),
+        F.struct(F.col("to_run").alias("run_id"), F.lit(True).alias("later")),
+    ))
+    wanted = run_pairs.select("from_run", "to_run").distinct().select("from_run", "to_run", ends.alias("e"))
+    rows = snapshots.where(~F.col("is_aggregate")).select("run_id", "entity").join(
+        wanted.select("from_run", "to_run", "e.run_id", "e.later"), "run_id"
     )
     sides = rows.groupBy("from_run", "to_run", "entity").agg(
-        F.bool_or(F.col("run_id") == F.col("from_run")).alias("before"),
-        F.bool_or(F.col("run_id") == F.col("to_run")).alias("after"),
+        F.bool_or(~F.col("later")).alias("before"), F.bool_or("later").alias("after")
     )
     changed = sides.where(F.col("before") != F.col("after"))
     return changed.select(
@@ -99,18 +105,30 @@ def explain_change(eligible_delta: Column, valid_delta: Column, received_delta:
     )
 
 
+def explanation(case: Column, valid_delta: Column, received_delta: Column, added: Column, removed: Column) -> Column:
+    """The case in a sentence."""
+    number = lambda c: F.format_string("%+d", F.coalesce(c, F.lit(0)))
+    return (
+        F.when(case == "NONE", "The totals, the universe and the rows received are the same.")
+        .when(case == "B", F.concat(F.lit("The eligible universe changed: "), added.cast("string"), F.lit(" added, "), removed.cast("string"), F.lit(" removed.")))
+        .when(case == "C", F.concat(F.lit("The source sent "), number(received_delta), F.lit(" rows and the universe rule removed another number of them.")))
+        .when(case == "A", F.concat(F.lit("Entities with a valid value: "), number(valid_delta), F.lit(".")))
+        .otherwise("The stored counters do not tell what changed.")
+    )
+
+
 def total_changes(obs: DataFrame, dim: DataFrame, stats: DataFrame, runs: DataFrame, snapshots: DataFrame,
-                  year_pairs: list[tuple[int, int]], run_pairs: list[tuple[int, int]]) -> DataFrame:
+                  year_pairs: list[tuple[int, int]]) -> DataFrame:
     """Why the ranked total differs between two years, for every metric and pair.
 
     Each year is judged by the universe of the run that fetched it, and by today's count when that run
-    left no snapshot. ``run_pairs`` lists the run combinations that can occur.
+    left no snapshot. The runs to compare are those that the two years of a row come from.
     """
     counters = latest_counters(stats, runs).withColumn("_removed", removed_by_universe_rule())
     sizes = snapshots.groupBy("run_id").agg(F.count_if(~F.col("is_aggregate")).alias("_snapshot"))
     facts = denominators(obs).join(
         counters.select("metric", "year", "run_id", "rows_received", "_removed"), ["metric", "year"], "left"
-    ).join(F.broadcast(sizes), "run_id", "left")
+    ).join(sizes, "run_id", "left")
     facts = facts.crossJoin(F.broadcast(eligible_count(dim))).select(
         "metric", "year", "run_id", "n", "rows_received", "_removed",
         F.col("_snapshot").isNotNull().alias("has_snapshot"),
@@ -127,11 +145,14 @@ def total_changes(obs: DataFrame, dim: DataFrame, stats: DataFrame, runs: DataFr
         )
 
     rows = side("from", "from").join(side("to", "to"), ["metric", "from_year", "to_year"])
-    changes = universe_changes(snapshots, run_pairs).groupBy("from_run", "to_run").agg(
+    rows = cut_lineage(rows)  # a row for each metric and pair; read again for its runs
+    pairs = rows.select(F.col("from_run_id").alias("from_run"), F.col("to_run_id").alias("to_run"))
+    pairs = pairs.where(F.col("from_run") != F.col("to_run"))
+    changes = universe_changes(snapshots, pairs).groupBy("from_run", "to_run").agg(
         F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed")
     )
     rows = rows.join(
-        F.broadcast(changes),
+        changes,
         (rows["from_run_id"] == changes["from_run"]) & (rows["to_run_id"] == changes["to_run"]), "left",
     ).fillna(0, ["added", "removed"])
     same_run = F.coalesce(F.col("from_run_id") == F.col("to_run_id"), F.lit(False))
@@ -147,11 +168,12 @@ def total_changes(obs: DataFrame, dim: DataFrame, stats: DataFrame, runs: DataFr
         "removed_rows": F.col("to__removed") - F.col("from__removed"),
     }
     differ = F.coalesce(F.col("from_run_id") != F.col("to_run_id"), F.lit(False))
+    case = explain_change(
+        deltas["universe"], deltas["valid"], deltas["received"], deltas["removed_rows"], comparable, changed, differ
+    )
     return rows.select(
-        "metric", "from_year", "to_year",
-        explain_change(
-            deltas["universe"], deltas["valid"], deltas["received"], deltas["removed_rows"], comparable, changed, differ
-        ).alias("case"),
+        "metric", "from_year", "to_year", case.alias("case"),
+        explanation(case, deltas["valid"], deltas["received"], F.col("added"), F.col("removed")).alias("explanation"),
         F.col("from_n").alias("from_valid"), F.col("to_n").alias("to_valid"), "from_universe", "to_universe",
         *[c.alias(f"{n}_delta") for n, c in deltas.items()],
         comparable.alias("comparable"), "added", "removed",

@@ -23,28 +23,48 @@ def _rows(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
     return df.agg(cells.alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
-def value_checks(obs: DataFrame, last_year: int) -> DataFrame:
-    """A, E and both F checks: one scan."""
+def observation_totals(obs: DataFrame, dim: DataFrame, focus: str, last_year: int) -> DataFrame:
+    """One row per metric with everything the checks need of the observations: one scan and one shuffle of them.
+
+    Rows are dealt out by entity, where keys are counted, entities looked up and metrics summed without moving again.
+    """
     value, year = F.col("value"), F.col("year")
     plausible = F.coalesce(year.between(PLAUSIBLE_FIRST_YEAR, last_year + 2), F.lit(False))
     parsed = F.col("value_raw").try_cast("double")
     mismatch = finite(value) & F.col("value_raw").isNotNull() & ~F.coalesce(parsed == value, F.lit(False))
-    return _rows(obs, {
-        "A.null_value": F.count_if(value.isNull()),
-        "E.invalid_year": F.count_if(~plausible),
-        "F.non_finite_value": F.count_if(~finite(value)),
-        "F.raw_round_trip": F.count_if(mismatch),
-    })
+    flags = {"nulls": value.isNull(), "years": ~plausible, "infinite": ~finite(value), "mismatches": mismatch}
+    keyed = obs.repartition("entity").groupBy("entity", "metric", "year").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("vintage").alias("stamp"), *[F.count_if(c).alias(n) for n, c in flags.items()]
+    )
+    each = keyed.groupBy("entity", "metric").agg(
+        F.sum("rows").alias("rows"), F.max("stamp").alias("stamp"), F.count_if(F.col("rows") > 1).alias("doubles"),
+        *[F.sum(n).alias(n) for n in flags],
+    )
+    known = dim.select("entity").distinct().withColumn("_known", F.lit(True))
+    placed = each.join(known, "entity", "left")
+    return placed.groupBy("metric").agg(
+        *[F.sum(n).alias(n) for n in (*flags, "doubles")],
+        F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("rows"))), F.lit(0)).alias("orphans"),
+        F.coalesce(F.sum(F.when(F.col("entity") == focus, F.col("rows"))), F.lit(0)).alias("mine"),
+        F.max("stamp").alias("stamp"),
+    )
 
 
-def reference_checks(obs: DataFrame, dim: DataFrame) -> DataFrame:
-    """C and D. Entities are counted before the lookup, so a frequent one crosses as a single row."""
-    per_entity = obs.groupBy("entity").agg(F.count(F.lit(1)).alias("rows"))
-    orphans = per_entity.join(dim.select("entity"), "entity", "left_anti")
-    keys = obs.groupBy("entity", "metric", "year").agg(F.count(F.lit(1)).alias("rows"))
-    return _rows(orphans, {"C.unknown_iso3": F.coalesce(F.sum("rows"), F.lit(0))}).unionByName(
-        _rows(keys, {"D.duplicate_observation": F.count_if(F.col("rows") > 1)})
-    )
+def observation_checks(totals: DataFrame, state: DataFrame, expected: list[str]) -> DataFrame:
+    """A, C, D, E, both F, H, I and L from the totals of the metrics."""
+    sums = ("nulls", "years", "infinite", "mismatches", "doubles", "orphans")
+    all_ = totals.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums],
+        F.count(F.lit(1)).alias("found"), F.count_if(F.col("metric").isin(expected)).alias("known"),
+        F.count_if(F.col("mine") == 0).alias("absent"), F.max("stamp").alias("stamp"),
+    ).crossJoin(state.select(F.col("max_vintage").alias("cached")))  # one row each
+    missing = F.when(F.col("found") == 0, 0).otherwise(F.lit(len(expected)) - F.col("known") + (F.col("found") - F.col("known")))
+    return _rows(all_, {
+        "A.null_value": F.max("nulls"), "C.unknown_iso3": F.max("orphans"), "D.duplicate_observation": F.max("doubles"),
+        "E.invalid_year": F.max("years"), "F.non_finite_value": F.max("infinite"), "F.raw_round_trip": F.max("mismatches"),
+        "H.registry_indicators": F.max(missing), "I.focus_observations": F.max("absent"),
+        "L.vintage_provenance": F.count_if(~F.col("cached").eqNullSafe(F.col("stamp"))),
+    })
 
 
 def typing_check(dim: DataFrame, snapshots: DataFrame, runs: DataFrame) -> DataFrame:
@@ -58,33 +78,20 @@ def typing_check(dim: DataFrame, snapshots: DataFrame, runs: DataFrame) -> DataF
     return _rows(both, {"B.aggregate_typing": F.count_if(F.col("is_aggregate") != F.col("was_aggregate"))})
 
 
-def metadata_checks(obs: DataFrame, dim: DataFrame, runs: DataFrame, state: DataFrame, expected: list[str],
-                    focus: str) -> DataFrame:
-    """G to L."""
+def metadata_checks(dim: DataFrame, runs: DataFrame) -> DataFrame:
+    """G, J and K."""
     newest = runs.where(F.col("status") == "success").agg(
         F.max_by(F.struct("pages_fetched", "requests", "has_snapshot"), "run_id").alias("r")
     )
     r = F.col("r")
     sound = r.isNull() | ((r["pages_fetched"] > 0) & (r["requests"] > 0) & r["has_snapshot"])
-    per_metric = obs.groupBy("metric").agg(
-        F.count_if(F.col("entity") == focus).alias("mine"), F.max("vintage").alias("stamp")
-    )
-    known = F.col("metric").isin(expected)
-    registry = per_metric.agg(
-        F.count(F.lit(1)).alias("found"), F.count_if(known).alias("known"), F.count_if(F.col("mine") == 0).alias("absent"),
-        F.max("stamp").alias("stamp"),
-    )
-    missing = F.when(F.col("found") == 0, 0).otherwise(F.lit(len(expected)) - F.col("known") + (F.col("found") - F.col("known")))
-    stamps = registry.crossJoin(state.select(F.col("max_vintage").alias("cached")))  # one row each
     blank = F.col("entity").isNull() | (F.trim("entity") == "")
     return reduce(DataFrame.unionByName, [
         _rows(newest, {"G.pagination_provenance": F.count_if(~F.coalesce(sound, F.lit(False)))}),
-        _rows(registry, {"H.registry_indicators": F.max(missing), "I.focus_observations": F.max("absent")}),
         _rows(dim, {"J.metadata_consistency": F.count_if(blank)}),
-        obs.sparkSession.range(1).select(
+        dim.sparkSession.range(1).select(
             F.lit("K.registry_consistency").alias("check"), F.lit(len(validate_registry())).cast("long").alias("failing")
         ),
-        _rows(stamps, {"L.vintage_provenance": F.count_if(~F.col("cached").eqNullSafe(F.col("stamp")))}),
     ])
 
 
@@ -100,9 +107,9 @@ def merge_checks(*parts: DataFrame) -> DataFrame:
 
 def integrity_report(obs: DataFrame, dim: DataFrame, runs: DataFrame, snapshots: DataFrame, state: DataFrame, *,
                      expected: list[str], focus: str, last_year: int) -> DataFrame:
+    totals = observation_totals(obs, dim, focus, last_year)
     return merge_checks(
-        value_checks(obs, last_year), reference_checks(obs, dim), typing_check(dim, snapshots, runs),
-        metadata_checks(obs, dim, runs, state, expected, focus),
+        observation_checks(totals, state, expected), typing_check(dim, snapshots, runs), metadata_checks(dim, runs)
     )
 
 

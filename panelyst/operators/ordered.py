@@ -35,10 +35,8 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def group_bound(df: DataFrame, keys: list[str], rows_bound: int | None) -> int:
-    """A proven upper bound of the largest group, measured only when the given one is no use."""
-    if rows_bound is not None and rows_bound <= WINDOW_ROWS:
-        return rows_bound
-    return largest_group(df, keys)
+    """An upper bound of the largest group: the caller's, or else measured. A given bound is never measured again."""
+    return largest_group(df, keys) if rows_bound is None else rows_bound
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], bound: int | None, how: str = "left") -> DataFrame:
@@ -109,13 +107,14 @@ def _rank_by_range(df, keys, value, order, competition, rank, total, bound, slic
     edges = (
         edges.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .withColumn(total, F.sum("_rows").over(Window.partitionBy(*keys)))
-        .withColumn("_joined", F.coalesce(F.lag("_last").over(along) == F.col("_first"), F.lit(False)))
+        # Nulls tie with each other, so every comparison of values here is null-safe.
+        .withColumn("_joined", F.lag("_slice").over(along).isNotNull() & F.lag("_last").over(along).eqNullSafe(F.col("_first")))
         # Where the run of equal values that ends this slice began; null while one run goes on
         # through the whole slice.
         .withColumn(
             "_run",
             F.when(
-                ~(F.col("_joined") & (F.col("_first") == F.col("_last"))),
+                ~(F.col("_joined") & F.col("_first").eqNullSafe(F.col("_last"))),
                 F.col("_offset") + F.col("_last_tie"),
             ),
         )
@@ -132,7 +131,7 @@ def _rank_by_range(df, keys, value, order, competition, rank, total, bound, slic
     if competition:
         out = out.withColumn(
             competition,
-            F.when(F.col(value) == F.col("_first"), F.col("_lead")).otherwise(
+            F.when(F.col(value).eqNullSafe(F.col("_first")), F.col("_lead")).otherwise(
                 F.col("_offset") + F.col("_tie")
             ),
         )
@@ -153,14 +152,15 @@ def prefix_counts(
     """Running counts along a dense rank: rows of the group ranked at or above each row.
 
     ``counts`` maps an output column to the boolean it counts. Rows without a rank get null; they
-    are spread over salted slices rather than gathered in one.
+    are spread over salted slices, whose number follows the group's size.
     """
     ranked = F.col(rank).isNotNull()
     names = list(counts)
     flagged = df.select("*", *[F.coalesce(c, F.lit(False)).cast("long").alias(f"_is_{n}") for n, c in counts.items()])
     rows = slice_rows or _slice_rows()
     sliced = rows_bound > WINDOW_ROWS or slice_rows is not None
-    salt = -1 - F.pmod(F.xxhash64(entity), F.lit(64))
+    # Rows without a rank need no order: as many slices as rows of that number would fill.
+    salt = -1 - F.pmod(F.xxhash64(entity), F.lit(max(1, -(-rows_bound // rows))))
     place = F.floor((F.col(rank) - 1) / rows) if sliced else F.lit(0).cast("long")
     flagged = flagged.withColumn("_slice", F.when(ranked, place).otherwise(salt))
     running = Window.partitionBy(*keys, "_slice").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)

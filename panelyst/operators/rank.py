@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelyst.functions.text import normalize_code, search_match
 from panelyst.functions.transforms import finite
-from panelyst.operators.ordered import join_small, rank_rows
+from panelyst.operators.ordered import group_bound, group_facts, rank_rows
 from panelyst.registry import METRICS
 
 GROUP = ["metric", "year"]
@@ -44,11 +44,12 @@ def locate(ranked: DataFrame, code: str) -> DataFrame:
     return ranked.where(F.col("entity") == code)
 
 
-def neighbours(ranked: DataFrame, focus: str, count: int) -> DataFrame:
+def neighbours(ranked: DataFrame, focus: str, count: int, rows_bound: int | None = None) -> DataFrame:
     """Rows within ``count`` places of the focus, in every group where it is ranked."""
-    count = max(0, min(50, count))
-    at = ranked.where(F.col("entity") == focus).select(*GROUP, F.col("rank").alias("focus_rank"))
-    near = ranked.join(at, GROUP)
+    if count < 0:
+        raise ValueError("count is 0 or more")
+    mine = F.max(F.when(F.col("entity") == focus, F.col("rank")))
+    near = group_facts(ranked, GROUP, {"focus_rank": mine}, rows_bound=group_bound(ranked, GROUP, rows_bound))
     return near.where(F.abs(F.col("rank") - F.col("focus_rank")) <= count)
 
 
@@ -69,21 +70,22 @@ def rank_change(ranked: DataFrame) -> DataFrame:
         "entity", "metric", (F.col("year") + 1).alias("year"), F.col("rank").alias("previous_rank")
     )
     delta = F.col("rank") - F.col("previous_rank")
-    text = F.format_string(
-        "Rank position changed from %d to %d (difference %s%d).",
-        F.col("previous_rank"), F.col("rank"), F.when(delta > 0, "+").otherwise(""), delta,
-    )
+    text = F.format_string("rank %d, before %d (%+d)", F.col("rank"), F.col("previous_rank"), delta)
     return ranked.join(before, ["entity", "metric", "year"], "left").select(
         "*", delta.alias("delta"), F.when(delta.isNotNull(), text).alias("text")
     )
 
 
-def page(ranked: DataFrame, number: int, size: int) -> DataFrame:
-    """One page of each group. The rank is dense, so a page is a rank interval, not an offset."""
-    size = max(1, min(500, size))
+def page(ranked: DataFrame, number: int, size: int, focus: str | None = None) -> DataFrame:
+    """One page of each group: of those it has, the nearest to ``number``. The rank is dense, so a page is a rank
+    interval, not an offset."""
+    if size < 1:
+        raise ValueError("size is 1 or more")
     pages = F.greatest(F.lit(1), F.ceil(F.col("n") / size))
     at = F.least(F.lit(max(1, number)).cast("long"), pages)
     inside = F.col("rank").between((at - 1) * size + 1, at * size)
+    if focus:
+        inside = inside | (F.col("entity") == focus)  # the focus row comes along, wherever it stands
     return ranked.withColumn("pages", pages).withColumn("page", at).where(inside)
 
 
@@ -103,17 +105,10 @@ def full_ranking(obs: DataFrame, dim: DataFrame, *, number: int, size: int, quer
     if query:
         ranked = search(ranked, F.lit(query))
         return ranked.withColumn("is_focus", F.col("entity") == F.lit(focus or ""))
-    wanted = page(ranked, number, size).drop("pages", "page")
-    if focus:
-        wanted = wanted.unionByName(locate(ranked, focus)).distinct()
+    wanted = page(ranked, number, size, focus).drop("pages", "page")
     return wanted.withColumn("is_focus", F.col("entity") == F.lit(focus or ""))
 
 
-def verification_window(ranked: DataFrame, focus: str, count: int) -> DataFrame:
+def verification_window(ranked: DataFrame, focus: str, count: int, rows_bound: int | None = None) -> DataFrame:
     """The neighbourhood of the focus with position facts, for checking a rank by eye."""
-    return position_facts(neighbours(ranked, focus, count))
-
-
-def with_focus(df: DataFrame, focus_rows: DataFrame, keys: list[str], bound: int) -> DataFrame:
-    """Join per-group facts of chosen focus entities; ``bound`` is focuses x groups."""
-    return join_small(df, focus_rows, keys, bound, "inner")
+    return position_facts(neighbours(ranked, focus, count, rows_bound))

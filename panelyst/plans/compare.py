@@ -202,7 +202,7 @@ _SPECS = [
 def entity_specs(spark, sf_dir):
     dim = part_panel(spark, sf_dir, ("total_current",)).dim
     specs = spark.createDataFrame(_SPECS, "id string, spec string, label string")
-    out = entities.resolve_specs(entities.parse_specs(specs), dim)
+    out = entities.resolve_specs(entities.parse_specs(specs, max_members=50), dim)
     return out.select("id", "kind", F.array_join("members", ",").alias("members"), "name", "error_code")
 
 
@@ -501,7 +501,7 @@ def _specs_sql():
     rows = [(*row, _LABELS.get(row[0], "")) for row in _SPEC_ANSWERS]
     return with_(PART_DIM) + f"""
 SELECT id, nullif(kind, '') AS kind, nullif(members, '') AS members,
-  CASE WHEN kind = 'CUSTOM_GROUP' THEN coalesce(nullif(label, ''), 'User-selected group (' || nullif(len(string_split(nullif(members, ''), ',')), 0) || ')')
+  CASE WHEN kind = 'CUSTOM_GROUP' THEN coalesce(nullif(label, ''), 'Own group of ' || nullif(len(string_split(nullif(members, ''), ',')), 0))
     ELSE (SELECT name FROM part_dim d WHERE d.entity = t.members) END AS name, nullif(error_code, '') AS error_code
 FROM (VALUES {values_(rows)}) t(id, kind, members, error_code, label)"""
 

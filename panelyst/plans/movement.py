@@ -294,24 +294,33 @@ SELECT metric, a, m, b, interval, start, "end", entity, CASE WHEN common THEN 'c
   CASE WHEN NOT valid THEN 'no_calculable_growth_for_focus_in_interval' END AS reason
 FROM pm"""
 
-_TWO_CHECKS = """A.set_partition B.set_partition A.ranking_matches_engine_order B.ranking_matches_engine_order
-common-A.ranking_matches_engine_order common-B.ranking_matches_engine_order common.is_exact_intersection
-exited.is_exact_difference entered.is_exact_difference members.disjoint members.unique_and_partitioned
-members.missing_has_reason exited.above_below_reconciles entered.above_below_reconciles partial_identity_A
-partial_identity_B decomposition.identity decomposition.observed_set_effect_matches_counts
-classification.position_based ranks.within_bounds outputs.integers_only""".split()
+# Names of the checks.
+_TWO_CHECKS = (
+    "A.set_partition", "B.set_partition", "A.ranking_matches_engine_order", "B.ranking_matches_engine_order",
+    "common-A.ranking_matches_engine_order", "common-B.ranking_matches_engine_order",
+    "common.is_exact_intersection", "exited.is_exact_difference", "entered.is_exact_difference", "members.disjoint",
+    "members.unique_and_partitioned", "members.missing_has_reason", "exited.above_below_reconciles",
+    "entered.above_below_reconciles", "partial_identity_A", "partial_identity_B", "decomposition.identity",
+    "decomposition.observed_set_effect_matches_counts", "classification.position_based", "ranks.within_bounds",
+    "outputs.integers_only",
+)
 _THREE_CHECKS = [
     f"{stem}{name}{tail}"
     for stem, tail in (("", ".set_partition"), ("", ".ranking_matches_engine_order"), ("common-", ".ranking_matches_engine_order"),
                        ("outsideIn", ".is_exact_difference"), ("outside.above_below_reconciles_", ""), ("partial_identity_", ""))
     for name in ("A", "MID", "B")
-] + ["decomposition.identity_AM", "decomposition.identity_MB", "decomposition.identity_AB"] + """members.unique_and_partitioned
-ranks.within_bounds common.is_exact_intersection outside.is_union_minus_common common.universe_consistent_across_years
-decomposition.segments_add_up outputs.integers_only""".split()
-_GROWTH_CHECKS = """set_partition outside_matches_members common_subset_of_observed observed.ranking_matches_engine_order
-common.ranking_matches_engine_order denominators_equal_population_sizes partial_identity outside_counts_reconcile
-peer_mean_recomputed peer_mean_common_recomputed difference_is_plain_subtraction null_coherence ranks_within_bounds
-ranked_rows_hold_finite_growth common.members_valid_in_every_interval""".split()
+] + ["decomposition.identity_AM", "decomposition.identity_MB", "decomposition.identity_AB"] + list((
+    "members.unique_and_partitioned", "ranks.within_bounds", "common.is_exact_intersection",
+    "outside.is_union_minus_common", "common.universe_consistent_across_years", "decomposition.segments_add_up",
+    "outputs.integers_only",
+))
+_GROWTH_CHECKS = (
+    "set_partition", "outside_matches_members", "common_subset_of_observed",
+    "observed.ranking_matches_engine_order", "common.ranking_matches_engine_order",
+    "denominators_equal_population_sizes", "partial_identity", "outside_counts_reconcile", "peer_mean_recomputed",
+    "peer_mean_common_recomputed", "difference_is_plain_subtraction", "null_coherence", "ranks_within_bounds",
+    "ranked_rows_hold_finite_growth", "common.members_valid_in_every_interval",
+)
 
 
 def _all_pass(checks, requests, per_request):

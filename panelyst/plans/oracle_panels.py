@@ -82,7 +82,7 @@ store AS (
 USERS = """
 users AS (
   SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS entity, 'remittances_received' AS metric,
-         CAST(day(ts) AS INTEGER) AS year,
+         CAST(date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS INTEGER) AS year,
          CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS value
   FROM events GROUP BY 1, 3)"""
 

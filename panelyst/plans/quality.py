@@ -9,6 +9,7 @@ from panelyst.plans import requests as R
 from panelyst.plans.oracle_panels import CUST, CUST_DIM, PART, PART_DIM, RANKED, STORE, YOY, YOY_RANKED, values_, with_
 from panelyst.plans.shape import shaped
 from panelyst.registry import METRICS
+from panelyst.session import written
 from panelyst.sources import publish, scans
 from panelyst.sources.tables import customer_panel, part_dim, part_panel, stored, user_day_panel
 
@@ -169,7 +170,7 @@ def _next_payload(spark, sf_dir):
     """A later payload: one metric as it was, one with altered, vanished and new rows."""
     _, obs = _store(spark, sf_dir, (*RAW_METRICS, "population_total"))
     k = _number()
-    later = obs.where(~((F.col("metric") == "exports_current") & (k % 10 == 3)) & (F.col("year") < 2001))
+    later = obs.where(~((F.col("metric") == "exports_current") & (k % 10 == 3)))
     touched = (F.col("metric") == "exports_current") & (k % 10 == 4)
     return later.select(
         "entity", "metric", "year",
@@ -180,7 +181,14 @@ def _next_payload(spark, sf_dir):
 
 def _stored_before(spark, sf_dir):
     _, obs = _store(spark, sf_dir, (*RAW_METRICS, "population_total"))
-    return obs.where(F.col("year") < 2001).where(~((F.col("metric") == "exports_current") & (_number() % 10 == 5)))
+    return obs.where(~((F.col("metric") == "exports_current") & (_number() % 10 == 5)))
+
+
+def _doubled_payload(spark, sf_dir):
+    """The later payload with some keys twice: the second row, with another value, is the one that counts."""
+    once = _next_payload(spark, sf_dir).withColumn("ingest_order", F.lit(1))
+    again = once.where((F.col("metric") == "exports_current") & (_number() % 10 == 6))
+    return once.unionByName(again.withColumns({"value": F.col("value") - 2, "ingest_order": F.lit(2)}))
 
 
 def payload_verdicts(spark, sf_dir):
@@ -211,12 +219,13 @@ def advance_vintage(spark, sf_dir):
 
 
 def upsert(spark, sf_dir):
-    out = publish.upsert(_stored_before(spark, sf_dir), _next_payload(spark, sf_dir))
+    out = publish.upsert(_stored_before(spark, sf_dir), _doubled_payload(spark, sf_dir), order="ingest_order")
     return shaped(out, *STORE_COLUMNS)
 
 
 def replace_range(spark, sf_dir):
-    out = publish.replace_range(_stored_before(spark, sf_dir), _next_payload(spark, sf_dir), ["exports_current"], A, B)
+    staged = _doubled_payload(spark, sf_dir)
+    out = publish.replace_range(_stored_before(spark, sf_dir), staged, ["exports_current"], A, B, order="ingest_order")
     return shaped(out, *STORE_COLUMNS)
 
 
@@ -305,19 +314,19 @@ def latest_counters(spark, sf_dir):
 
 
 def universe_changes(spark, sf_dir):
-    return coverage.universe_changes(_snapshots(spark, sf_dir), [(1, 2), (2, 1)])
+    pairs = spark.createDataFrame([(1, 2), (2, 1)], "from_run long, to_run long")
+    return coverage.universe_changes(_snapshots(spark, sf_dir), pairs)
 
 
 def total_changes(spark, sf_dir):
     p = part_panel(spark, sf_dir, RAW_METRICS)
     return coverage.total_changes(
-        p.obs, p.dim, _stats(spark, sf_dir), _runs(spark), _snapshots(spark, sf_dir), R.PAIRS, [(1, 2), (2, 1)]
+        p.obs, p.dim, _stats(spark, sf_dir), _runs(spark), _snapshots(spark, sf_dir), R.PAIRS
     )
 
 
 # --- integrity ---------------------------------------------------------------------------------------------
-def _faulty(spark, sf_dir):
-    _, obs = _store(spark, sf_dir)
+def _faulty(obs):
     k = _number()
     rows = obs.select(
         F.when(k % 107 == 0, F.concat(F.lit("Z"), F.col("entity"))).otherwise(F.col("entity")).alias("entity"),
@@ -330,22 +339,24 @@ def _faulty(spark, sf_dir):
     return rows.unionByName(rows.where((_number() % 109 == 0) & (F.col("metric") == "total_current")))
 
 
-def _report(spark, sf_dir, obs, dim):
+def _report(spark, sf_dir, obs, dim, state):
     return integrity.integrity_report(
-        obs, dim, _runs(spark), _snapshots(spark, sf_dir), publish.dataset_state(_store(spark, sf_dir)[1]),
+        obs, dim, _runs(spark), _snapshots(spark, sf_dir), state,
         expected=list(RAW_METRICS), focus=R.FOCUS_PART, last_year=2001,
     )
 
 
 def integrity_clean(spark, sf_dir):
     p, obs = _store(spark, sf_dir)
-    return _report(spark, sf_dir, obs, p.dim)
+    obs = written(obs)  # the published table, which the report and the state read
+    return _report(spark, sf_dir, obs, p.dim, publish.dataset_state(obs))
 
 
 def integrity_faulty(spark, sf_dir):
     dim = part_dim(spark, sf_dir)
     flipped = dim.withColumn("is_aggregate", F.when(_number() % 97 == 3, True).otherwise(F.col("is_aggregate")))
-    return _report(spark, sf_dir, _faulty(spark, sf_dir), flipped)
+    obs = written(_store(spark, sf_dir)[1])
+    return _report(spark, sf_dir, _faulty(obs), flipped, publish.dataset_state(obs))
 
 
 def acceptance_audit(spark, sf_dir):
@@ -408,10 +419,11 @@ cc AS (SELECT *, aggregate_reason IS NOT NULL AS is_aggregate FROM cm),
 un AS (SELECT * EXCLUDE (ingest_order) FROM cc WHERE entity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ingest_order) = 1)
 """
 _D = with_(STORE, PART_DIM, f"""
-st AS (SELECT *, {_K} AS k FROM store WHERE metric IN ({_pick((*RAW_METRICS, 'population_total'))}) AND year < 2001),
+st AS (SELECT *, {_K} AS k FROM store WHERE metric IN ({_pick((*RAW_METRICS, 'population_total'))})),
 before AS (SELECT entity, metric, year, value, value_raw, vintage FROM st WHERE NOT (metric = 'exports_current' AND k % 10 = 5)),
-after AS (SELECT entity, metric, year, CASE WHEN metric = 'exports_current' AND k % 10 = 4 THEN value + 1 ELSE value END AS value, value_raw, '2024-09-01' AS vintage
+after AS (SELECT entity, metric, year, CASE WHEN metric = 'exports_current' AND k % 10 = 4 THEN value + 1 ELSE value END AS value, value_raw, '2024-09-01' AS vintage, k
   FROM st WHERE NOT (metric = 'exports_current' AND k % 10 = 3)),
+last AS (SELECT * REPLACE (CASE WHEN metric = 'exports_current' AND k % 10 = 6 THEN value - 2 ELSE value END AS value) FROM after),
 diff AS (SELECT coalesce(b.metric, a.metric) AS metric, b.entity IS NULL AS is_new, a.entity IS NULL AS is_gone, b.value = a.value AND b.value_raw = a.value_raw AS same
   FROM before b FULL JOIN after a ON a.metric = b.metric AND a.entity = b.entity AND a.year = b.year)""")
 _FOUR = "entity, metric, year, round(value, 4) + 0.0 AS value, value_raw, vintage"
@@ -484,11 +496,11 @@ SELECT metric, count(*) AS rows, 0::BIGINT AS unstamped, min(vintage) AS first_s
     "advance_vintage": (advance_vintage, _S + f"""
 SELECT entity, metric, year, round(value, 4) + 0.0 AS value, value_raw, CASE WHEN metric = 'total_current' AND year BETWEEN {A} AND {B} THEN '2024-09-01' ELSE vintage END AS vintage FROM st"""),
     "upsert": (upsert, _D + f"""
-SELECT {_FOUR} FROM after UNION ALL SELECT {_FOUR} FROM before b
+SELECT {_FOUR} FROM last UNION ALL SELECT {_FOUR} FROM before b
 WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.entity = b.entity AND a.metric = b.metric AND a.year = b.year)"""),
     "replace_range": (replace_range, _D + f"""
 SELECT {_FOUR} FROM before WHERE NOT (metric = 'exports_current' AND year BETWEEN {A} AND {B})
-UNION ALL SELECT {_FOUR} FROM after WHERE metric = 'exports_current' AND year BETWEEN {A} AND {B}"""),
+UNION ALL SELECT {_FOUR} FROM last WHERE metric = 'exports_current' AND year BETWEEN {A} AND {B}"""),
     "upsert_dimension": (upsert_dimension, with_(PART_DIM, f"k AS (SELECT *, {_K} AS k FROM part_dim)") + """
 SELECT entity, upper(name) AS name, region, income_level, lending_type, is_aggregate FROM k WHERE k % 3 = 0
 UNION ALL SELECT entity, name, region, income_level, lending_type, is_aggregate FROM k WHERE k % 3 <> 0 AND k % 4 <> 0"""),
@@ -533,12 +545,17 @@ jn AS (SELECT x.metric, p.a AS from_year, p.b AS to_year, x.n AS from_valid, y.n
   FROM pr p JOIN fact x ON x.year = p.a JOIN fact y ON y.year = p.b AND y.metric = x.metric),
 chg AS (SELECT count(*) AS c FROM part_dim WHERE NOT is_aggregate AND ({_K}) % 29 = 0),
 jc AS (SELECT jn.*, CASE WHEN turn = 1 THEN c ELSE 0 END AS added, CASE WHEN turn = 2 THEN c ELSE 0 END AS removed FROM jn, chg)
-SELECT metric, from_year, to_year, CASE
+SELECT metric, from_year, to_year, "case", CASE "case" WHEN 'NONE' THEN 'The totals, the universe and the rows received are the same.'
+    WHEN 'B' THEN 'The eligible universe changed: ' || added || ' added, ' || removed || ' removed.'
+    WHEN 'C' THEN 'The source sent ' || printf('%+d', coalesce(received_delta, 0)) || ' rows and the universe rule removed another number of them.'
+    WHEN 'A' THEN 'Entities with a valid value: ' || printf('%+d', coalesce(valid_delta, 0)) || '.'
+    ELSE 'The stored counters do not tell what changed.' END AS explanation,
+  from_valid, to_valid, from_universe, to_universe, universe_delta, valid_delta, received_delta, removed_rows_delta, comparable, added, removed
+FROM (SELECT *, CASE
     WHEN universe_delta = 0 AND valid_delta = 0 AND coalesce(received_delta = 0, false) THEN 'NONE'
     WHEN comparable AND (added > 0 OR removed > 0) THEN 'B'
     WHEN coalesce(removed_rows_delta <> 0, false) AND coalesce(received_delta <> 0, false) THEN 'C'
-    WHEN valid_delta <> 0 AND NOT (NOT comparable AND differ) THEN 'A' ELSE 'D' END AS "case",
-  from_valid, to_valid, from_universe, to_universe, universe_delta, valid_delta, received_delta, removed_rows_delta, comparable, added, removed FROM jc"""),
+    WHEN valid_delta <> 0 AND NOT (NOT comparable AND differ) THEN 'A' ELSE 'D' END AS "case" FROM jc) j"""),
     "integrity_clean": (integrity_clean, _integrity_sql(False)),
     "integrity_faulty": (integrity_faulty, _integrity_sql(True)),
     "acceptance_audit": (acceptance_audit, _C.rstrip() + """,
@@ -549,7 +566,7 @@ gt AS (SELECT c.metric, c.year, c.entity, row_number() OVER (PARTITION BY c.metr
 SELECT ex.metric, ex.year, gt.rank IS NOT DISTINCT FROM ex.rank AND gt.n IS NOT DISTINCT FROM ex.n AS matches, count(*) AS rows
 FROM ex LEFT JOIN gt ON gt.metric = ex.metric AND gt.year = ex.year AND gt.entity = ex.entity GROUP BY 1, 2, 3"""),
     "user_day_rank": (user_day_rank, """WITH users AS (
-  SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS entity, CAST(day(ts) AS INTEGER) AS year,
+  SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS entity, CAST(date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS INTEGER) AS year,
     CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS value FROM events GROUP BY 1, 2)
 SELECT entity, 'remittances_received' AS metric, year, round(value, 4) AS value, row_number() OVER (PARTITION BY year ORDER BY value DESC, entity) AS rank,
   count(*) OVER (PARTITION BY year) AS n FROM users"""),

@@ -48,8 +48,8 @@ def rank_locate(spark, sf_dir):
 
 
 def rank_neighbours(spark, sf_dir):
-    _, ranked = _ranked(spark, sf_dir)
-    near = rank.verification_window(ranked, R.FOCUS, 3)
+    p, ranked = _ranked(spark, sf_dir)
+    near = rank.verification_window(ranked, R.FOCUS, 3, p.rows_bound)
     return shaped(near, "entity", "metric", "year", "value", "rank", "n", "focus_rank", "rows_above",
                   "rows_below", "position")
 
@@ -114,8 +114,8 @@ def yoy_full_ranking(spark, sf_dir):
 
 
 def yoy_neighbours(spark, sf_dir):
-    _, ranked = _yoy_ranked(spark, sf_dir)
-    return shaped(rank.verification_window(ranked, R.FOCUS, 2), "entity", "metric", "year", "yoy", "rank",
+    p, ranked = _yoy_ranked(spark, sf_dir)
+    return shaped(rank.verification_window(ranked, R.FOCUS, 2, p.rows_bound), "entity", "metric", "year", "yoy", "rank",
                   "n", "focus_rank", "rows_above", "rows_below", "position")
 
 
@@ -165,9 +165,8 @@ SELECT entity, metric, year, round(value, 4) AS value, rank, n FROM ranked WHERE
         value="round(r.value, 4) AS value", src="ranked", focus=R.FOCUS, near=3)),
     "rank_change": (rank_change, CUST_SQL + """
 SELECT c.entity, c.metric, c.year, c.rank, p.rank AS previous_rank, c.rank - p.rank AS delta,
-  CASE WHEN p.rank IS NOT NULL THEN 'Rank position changed from ' || CAST(p.rank AS VARCHAR) || ' to '
-    || CAST(c.rank AS VARCHAR) || ' (difference ' || CASE WHEN c.rank > p.rank THEN '+' ELSE '' END
-    || CAST(c.rank - p.rank AS VARCHAR) || ').' END AS text
+  CASE WHEN p.rank IS NOT NULL THEN 'rank ' || CAST(c.rank AS VARCHAR) || ', before ' || CAST(p.rank AS VARCHAR)
+    || ' (' || CASE WHEN c.rank >= p.rank THEN '+' ELSE '' END || CAST(c.rank - p.rank AS VARCHAR) || ')' END AS text
 FROM ranked c LEFT JOIN ranked p ON p.entity = c.entity AND p.metric = c.metric AND p.year = c.year - 1"""),
     "rank_page": (rank_page, CUST_SQL + """, paged AS (
   SELECT *, greatest(1, CAST(ceil(n / 25) AS BIGINT)) AS pages FROM ranked)

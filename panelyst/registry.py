@@ -19,7 +19,6 @@ SUBJECTS = (
     "capital_flows", "exchange", "external", "population",
 )
 PLAUSIBLE_FIRST_YEAR = 1960
-MAX_GROUP_MEMBERS = 50
 
 
 @dataclass(frozen=True)

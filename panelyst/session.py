@@ -25,6 +25,8 @@ def build_session(app: str = "panelyst", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         # Year maps hold a few entries per entity, so many keys fit before sorting pays.
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -60,8 +62,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, for rows that several branches read.
 
-    Columnar, so each branch still reads only its own columns and pushes its filters down.
+    Columnar, so each branch still reads only its own columns and pushes its filters down. The table belongs to
+    the application and goes when that ends.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(target)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -80,14 +80,29 @@ def vintage_state(stored: DataFrame, upstream: Column | str) -> DataFrame:
 
 
 # --- changes ---------------------------------------------------------------------------------------
-def upsert(stored: DataFrame, staged: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    return stored.join(staged.select(*keys), keys, "left_anti").unionByName(staged.select(*stored.columns))
+def last_wins(staged: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row for each key: the last by ``order``, or without an order the greatest by all its columns.
+
+    Later operators take keys as unique: they put a key's years into a map, which refuses a second entry, and the
+    integrity report counts double keys. So everything that is stored passes here.
+    """
+    row = F.struct(*[c for c in staged.columns if c not in keys and c != order])
+    last = F.max(row) if order is None else F.max_by(row, F.struct(order, row))
+    return staged.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*")
+
+
+def upsert(stored: DataFrame, staged: DataFrame, keys: list[str] = KEY, order: str | None = None) -> DataFrame:
+    """Staged rows replace stored ones of the same key; of several staged rows the last by ``order`` counts."""
+    fresh = last_wins(staged.select(*stored.columns, *([order] if order else [])), keys, order)
+    return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
-def replace_range(stored: DataFrame, staged: DataFrame, metrics: list[str], first: int, last: int) -> DataFrame:
+def replace_range(stored: DataFrame, staged: DataFrame, metrics: list[str], first: int, last: int,
+                  order: str | None = None) -> DataFrame:
     """The metrics' rows of the range give way to the staged ones; a vanished value is gone."""
     inside = F.col("metric").isin(metrics) & F.col("year").between(first, last)
-    return stored.where(~inside).unionByName(staged.where(inside).select(*stored.columns))
+    fresh = staged.where(inside).select(*stored.columns, *([order] if order else []))
+    return stored.where(~inside).unionByName(last_wins(fresh, KEY, order))
 
 
 def advance_vintage(stored: DataFrame, metrics: list[str], first: int, last: int, vintage: str) -> DataFrame:
@@ -212,13 +227,16 @@ class PanelStore:
         unchanged = {r.metric: r.unchanged for r in verdicts.collect()}
         stale = set()
         if upstream:
-            stale = {r.metric for r in vintage_state(stored, upstream).where("needs_advance").collect()}
+            # Only the range is judged, as only the range is rewritten: older stamps outside it stay as they are.
+            judged = vintage_state(stored.where(F.col("year").between(first, last)), upstream)
+            stale = {r.metric for r in judged.where("needs_advance").collect()}
         actions, fresh = {}, dict(folders)
         for metric, same in sorted(unchanged.items()):
             if same and metric not in stale:
                 actions[metric] = "skipped"
                 continue
-            mine = stored.where(F.col("metric") == metric)
+            # The metric's own folder alone, not those of all metrics.
+            mine = self.spark.read.schema(OBS_SCHEMA).parquet(folders[metric]) if metric in folders else stored.limit(0)
             if same:
                 rows, actions[metric] = advance_vintage(mine, [metric], first, last, upstream), "advanced"
             else:

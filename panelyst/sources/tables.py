@@ -220,11 +220,14 @@ def stored(panel: Panel) -> DataFrame:
     )
 
 
-# --- users by day: a second sparse panel whose period is the day number ------------------------------
+# --- users by day: a second sparse panel whose period is a day ------------------------------
+FIRST_DAY = "2020-01-01"
+
+
 def user_day_panel(spark: SparkSession, sf_dir: str) -> Panel:
     events = table(spark, sf_dir, "events")
     obs = (
-        events.select(code("U", "user_id").alias("entity"), F.dayofmonth("ts").alias("year"), "value")
+        events.select(code("U", "user_id").alias("entity"), F.datediff("ts", F.lit(FIRST_DAY).cast("date")).alias("year"), "value")
         .groupBy("entity", "year")
         .agg((F.sum(cents("value")) / 100.0).alias("value"))
         .select("entity", F.lit("remittances_received").alias("metric"), "year", "value")

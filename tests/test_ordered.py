@@ -52,7 +52,21 @@ def test_prefix_counts(spark, slice_rows):
         assert row.above == expected
 
 
-def test_measured_bound_is_used_only_when_needed(spark):
+def test_a_given_bound_is_trusted(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 1.0)], "g int, entity string, value double")
-    assert ordered.group_bound(df, ["g"], 10) == 10
-    assert ordered.group_bound(df, ["g"], ordered.WINDOW_ROWS + 1) == 2
+    assert ordered.group_bound(df, ["g"], ordered.WINDOW_ROWS + 1) == ordered.WINDOW_ROWS + 1
+    assert ordered.group_bound(df, ["g"], None) == 2
+
+
+@pytest.mark.parametrize("slices", [1, 6, 11])
+def test_both_plans_agree_on_nulls_ties_and_zeros(spark, slices):
+    """Null values share a rank, runs of ties cross several slices, and -0.0 ties with 0.0."""
+    values = [None] * 50 + [1.0] * 40 + [0.0, -0.0] * 15 + [3.0, 2.0]
+    rows = [(g, f"E{i:05d}", v) for g in range(2) for i, v in enumerate(values)] + [(2, "only", None)]
+    df = spark.createDataFrame(rows, "g int, entity string, value double").repartition(4)
+    order = [F.col("value").desc(), F.col("entity").asc()]
+    plain = ordered.rank_rows(df, ["g"], "value", competition="tied", rows_bound=1)
+    sliced = ordered._rank_by_range(df, ["g"], "value", order, "tied", "rank", "n", 10**9, slices)
+    key = lambda out: sorted((r.g, r.entity, r["rank"], r.tied, r.n) for r in out.collect())
+    assert key(sliced) == key(plain)
+    assert len({r.tied for r in plain.where("g = 0 AND value IS NULL").collect()}) == 1
