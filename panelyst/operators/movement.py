@@ -11,10 +11,12 @@ sorted twice and no (focus, other) pair is built.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelyst.functions.plan import plan_rows
-from panelyst.operators.ordered import group_facts, join_small, prefix_counts
+from panelyst.operators.ordered import group_facts, join_small, prefix_counts, rank_rows
 
 SIDES_TWO = ("a", "b")
 SIDES_THREE = ("a", "m", "b")
@@ -239,17 +241,38 @@ def relations(movement: DataFrame, focuses: list[str], sides: tuple[str, ...] =
     )
 
 
-def filter_relations(rows: DataFrame, where: str, sides: tuple[str, ...] = SIDES_TWO) -> DataFrame:
-    """``above_a``, ``below_b``, ``above_all``, ``below_all``, ``crossed`` or ``affects``."""
+def relation_condition(where: str, sides: tuple[str, ...] = SIDES_TWO) -> Column:
+    """``above_a``, ``below_b``, ``above_all``, ``below_all``, ``crossed``, ``affects``, or ``outside_above_m`` and
+    the like for rows outside the common set by one year's relation."""
     if where == "crossed":
-        return rows.where("crossed")
+        return F.col("crossed")
     if where == "affects":
-        return rows.where("affects_position")
+        return F.col("affects_position")
+    if where.startswith("outside_"):
+        return (F.col("status") == "outside") & relation_condition(where.removeprefix("outside_"), sides)
     wanted, at = where.split("_", 1)
-    checked = sides if at == "all" else (at,)
-    for side in checked:
-        rows = rows.where(F.col(f"relation_{side}") == wanted)
-    return rows
+    return reduce(lambda x, y: x & y, [F.col(f"relation_{s}") == wanted for s in (sides if at == "all" else (at,))])
+
+
+def filter_relations(rows: DataFrame, where: str, sides: tuple[str, ...] = SIDES_TWO) -> DataFrame:
+    return rows.where(relation_condition(where, sides))
+
+
+def relation_filters(rows: DataFrame, names: list[str], sides: tuple[str, ...] = SIDES_TWO) -> DataFrame:
+    """The rows of several filters from one pass: a row comes once for each filter it passes."""
+    passed = F.array_compact(F.array(*[F.when(relation_condition(n, sides), F.lit(n)) for n in names]))
+    return rows.select(F.explode(passed).alias("filter"), "*")
+
+
+def status_positions(rows: DataFrame, sides: tuple[str, ...] = SIDES_TWO, *, rows_bound: int | None = None) -> DataFrame:
+    """Each entity's place in the list of its status: by its last rank that it has, then by code."""
+    shown = F.coalesce(*[F.col(f"rank_{s}") for s in reversed(sides)])
+    listed = rows.select("metric", *sides, "status", "entity", shown.cast("double").alias("_shown"))
+    placed = rank_rows(
+        listed, ["metric", *sides, "status"], "_shown", direction="ASC", rank="position_in_status", total="n_status",
+        rows_bound=rows_bound,
+    )
+    return placed.drop("_shown")
 
 
 def summary_rows(rows: DataFrame) -> DataFrame:

@@ -60,21 +60,30 @@ def period_total_growth(obs: DataFrame, a: int, b: int, c: int) -> DataFrame:
     )
 
 
-def transforms_between(obs: DataFrame, transform: str, a: int, b: int) -> DataFrame:
-    """One two-point transform of every metric; metrics that do not declare it say so."""
+def transforms_between(obs: DataFrame, transforms: list[str], a: int, b: int) -> DataFrame:
+    """Two-point transforms of every metric from one pass; metrics that do not declare one say so."""
     rows = by_year(obs.where(F.col("year").isin([a, b])), ["entity", "metric"])
     start, end = _values([a, b])
-    allowed = [m for m in METRICS.values() if can_transform(m, transform)[0]]
-    if not allowed:
-        raise ValueError("unsupported_transformation_for_metric")
-    out = T.compute_transform(allowed[0], transform, start, end, F.lit(b - a))
     known = F.col("metric").isin([m.key for m in METRICS.values()])
-    gate = F.when(~known, "unknown_metric").when(
-        ~F.col("metric").isin([m.key for m in allowed]), "unsupported_transformation_for_metric"
+
+    def one(transform: str):
+        allowed = [m for m in METRICS.values() if can_transform(m, transform)[0]]
+        if not allowed:
+            raise ValueError("unsupported_transformation_for_metric")
+        out = T.compute_transform(allowed[0], transform, start, end, F.lit(b - a))
+        gate = F.when(~known, "unknown_metric").when(
+            ~F.col("metric").isin([m.key for m in allowed]), "unsupported_transformation_for_metric"
+        )
+        reason = F.coalesce(gate, out.reason)
+        return F.struct(
+            F.lit(transform).alias("transform"), F.when(reason.isNull(), out.value).alias("value"), reason.alias("reason")
+        )
+
+    laid = rows.select(
+        "entity", "metric", start.alias("start_value"), end.alias("end_value"),
+        F.explode(F.array(*[one(t) for t in transforms])).alias("t"),
     )
-    reason = F.coalesce(gate, out.reason)
-    return rows.select(
-        "entity", "metric", F.lit(transform).alias("transform"), F.lit(a).alias("a"), F.lit(b).alias("b"),
-        start.alias("start_value"), end.alias("end_value"),
-        F.when(reason.isNull(), out.value).alias("value"), reason.alias("reason"),
+    return laid.select(
+        "entity", "metric", "t.transform", F.lit(a).alias("a"), F.lit(b).alias("b"), "start_value", "end_value",
+        "t.value", "t.reason",
     )

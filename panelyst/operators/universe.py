@@ -152,6 +152,26 @@ def membership_hashes(members: DataFrame, group: str, where: Column, slices: int
     return tables.groupBy(group).agg(text.alias("membership_hash"))
 
 
+def overlap_members(pairs: DataFrame) -> DataFrame:
+    """Every member of either group of a pair once: ``shared``, ``only_a`` or ``only_b``."""
+    sides = pairs.groupBy("pair", "member").agg(
+        F.bool_or(F.col("slot") == "a").alias("_a"), F.bool_or(F.col("slot") == "b").alias("_b")
+    )
+    side = F.when(F.col("_a") & F.col("_b"), "shared").when(F.col("_a"), "only_a").otherwise("only_b")
+    return sides.select("pair", "member", side.alias("side"))
+
+
+def align_series(points: DataFrame, keys: list[str], group: list[str], series: str = "series") -> DataFrame:
+    """Several year-keyed series side by side: a row for each year that any of ``keys`` has, gaps null.
+
+    Column ``s0`` belongs to the first key, and so on. Values that are not finite are gaps.
+    """
+    value = F.when(finite(F.col("value")), F.col("value"))
+    return points.where(F.col(series).isin(keys)).groupBy(*group, "year").agg(
+        *[F.max(F.when(F.col(series) == k, value)).alias(f"s{i}") for i, k in enumerate(keys)]
+    )
+
+
 def overlap(pairs: DataFrame) -> DataFrame:
     """Shared and own members of two groups, with nesting. Input: (pair, slot, member) rows."""
     sides = pairs.groupBy("pair", "member").agg(

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelyst.functions.plan import plan_rows
-from panelyst.operators.growth import NO_MIDDLE, interval_rows
-from panelyst.operators.movement import SIDES_THREE, SIDES_TWO
+from panelyst.operators.growth import NO_MIDDLE, growth_movement, interval_rows
+from panelyst.operators.movement import SIDES_THREE, SIDES_TWO, three_year, two_year
 from panelyst.operators.ordered import group_facts, rank_rows
 from panelyst.operators.rank import direction_sign
 from panelyst.session import cut_lineage
@@ -262,6 +262,27 @@ def assert_verified(report: DataFrame) -> None:
         raise AssertionError(f"movement verification failed: {[tuple(r) for r in first]}")
 
 
+def verified_two_year(ranked: DataFrame, pairs: list[tuple[int, int]], *, rows_bound: int, metrics: int = 20) -> DataFrame:
+    """Two-year movement that is handed out only if all its checks hold; raises otherwise."""
+    rows = cut_lineage(two_year(ranked, pairs, rows_bound=rows_bound, metrics=metrics))
+    assert_verified(verify_two_year(rows, ranked, pairs, rows_bound=rows_bound, metrics=metrics))
+    return rows
+
+
+def verified_three_year(ranked: DataFrame, triples: list[tuple[int, int, int]], *, rows_bound: int, metrics: int = 20) -> DataFrame:
+    """The same for three years."""
+    rows = cut_lineage(three_year(ranked, triples, rows_bound=rows_bound, metrics=metrics))
+    assert_verified(verify_three_year(rows, ranked, triples, rows_bound=rows_bound, metrics=metrics))
+    return rows
+
+
+def verified_growth(obs: DataFrame, requests, *, rows_bound: int, metrics: int = 20) -> DataFrame:
+    """The same for growth movement."""
+    rows = cut_lineage(growth_movement(obs, requests, rows_bound=rows_bound))
+    assert_verified(verify_growth(rows, obs, requests, rows_bound=rows_bound, metrics=metrics))
+    return rows
+
+
 def ranked_outside_universe(ranked: DataFrame, dim: DataFrame) -> DataFrame:
     """Ranked rows whose entity is unknown or an aggregate. Must be empty."""
     return ranked.join(dim.where(~F.col("is_aggregate")), "entity", "left_anti")

@@ -78,11 +78,8 @@ def period_total_growth(spark, sf_dir):
 
 def transforms(spark, sf_dir):
     p = part_panel(spark, sf_dir)
-    out = None
-    for name in ("ABSOLUTE", "PERCENT", "PP", "INDEX_POINT", "YOY", "CAGR"):
-        part = periods.transforms_between(p.obs, name, A, B)
-        out = part if out is None else out.unionByName(part)
-    return shaped(out)
+    names = ["ABSOLUTE", "PERCENT", "PP", "INDEX_POINT", "YOY", "CAGR"]
+    return shaped(periods.transforms_between(p.obs, names, A, B))
 
 
 # --- SQL: every basis written out from its definition, over a pivoted part panel -------------------

@@ -183,9 +183,24 @@ def group_overlap(spark, sf_dir):
     """Parts sold in one year against parts sold in another, per brand."""
     p = part_panel(spark, sf_dir, ("exports_current",))
     dim = p.dim.where(~F.col("is_aggregate")).select("entity", "income_level")
+    return uni.overlap(_brand_pairs(p, dim))
+
+
+def _brand_pairs(p, dim):
     rows = p.obs.where(F.col("year").isin([A, B])).join(dim, "entity")
     slot = F.when(F.col("year") == A, "a").otherwise("b")
-    return uni.overlap(rows.select(F.col("income_level").alias("pair"), slot.alias("slot"), F.col("entity").alias("member")))
+    return rows.select(F.col("income_level").alias("pair"), slot.alias("slot"), F.col("entity").alias("member"))
+
+
+def group_overlap_members(spark, sf_dir):
+    p = part_panel(spark, sf_dir, ("exports_current",))
+    return uni.overlap_members(_brand_pairs(p, p.dim.where(~F.col("is_aggregate")).select("entity", "income_level")))
+
+
+def aligned_series(spark, sf_dir):
+    """Three entities' series of every metric side by side."""
+    p = part_panel(spark, sf_dir)
+    return shaped(uni.align_series(p.obs, P[:3], ["metric"], "entity"))
 
 
 _SPECS = [
@@ -561,6 +576,13 @@ oc AS (SELECT pair, count(*) FILTER (WHERE in_a AND in_b) AS shared, count(*) FI
   count(*) FILTER (WHERE in_b AND NOT in_a) AS only_b FROM ov GROUP BY pair)""") + """
 SELECT *, CASE WHEN shared = 0 THEN NULL WHEN only_b = 0 AND only_a > 0 THEN 'a_contains_b' WHEN only_a = 0 AND only_b > 0 THEN 'b_contains_a'
   WHEN only_a = 0 AND only_b = 0 THEN 'identical' END AS nested FROM oc"""),
+    "group_overlap_members": (group_overlap_members, with_(PART, PART_DIM, f"""
+ov AS (SELECT d.income_level AS pair, o.entity AS member, bool_or(year = {A}) AS in_a, bool_or(year = {B}) AS in_b
+  FROM part_obs o JOIN part_dim d ON d.entity = o.entity WHERE metric = 'exports_current' AND year IN ({A}, {B}) GROUP BY 1, 2)""") + """
+SELECT pair, member, CASE WHEN in_a AND in_b THEN 'shared' WHEN in_a THEN 'only_a' ELSE 'only_b' END AS side FROM ov"""),
+    "aligned_series": (aligned_series, with_(PART) + "SELECT metric, year, " + ", ".join(
+        f"round(max(CASE WHEN entity = '{e}' THEN value END), 4) + 0.0 AS s{i}" for i, e in enumerate(P[:3])
+    ) + f" FROM part_obs WHERE entity IN {tuple(P[:3])} GROUP BY metric, year"),
     "entity_specs": (entity_specs, _specs_sql()),
 }
 QUERIES |= {

@@ -51,11 +51,37 @@ def movement_relations(spark, sf_dir):
 
 def movement_relation_filters(spark, sf_dir):
     rows = _relations(spark, sf_dir).where((F.col("a") == R.A) & (F.col("b") == R.B))
+    return mv.relation_filters(rows, list(_FILTERS)).select("filter", "metric", "a", "b", "focus", "entity", "status")
+
+
+def movement_outside_filters(spark, sf_dir):
+    """Rows outside the common set of a triple, by their relation in each of its years."""
+    rows = mv.relation_filters(movement_three_relations(spark, sf_dir), list(_OUTSIDE_FILTERS), mv.SIDES_THREE)
+    return rows.select("filter", "metric", "a", "m", "b", "focus", "entity")
+
+
+def movement_status_positions(spark, sf_dir):
+    p, _, rows = _two(spark, sf_dir)
+    return mv.status_positions(rows, rows_bound=p.entities_bound)
+
+
+def movement_verified(spark, sf_dir):
+    """Two-year movement behind its own checks."""
+    p, ranked = _ranked(spark, sf_dir)
+    return shaped(verify.verified_two_year(ranked, R.PAIRS, rows_bound=p.rows_bound, metrics=METRICS))
+
+
+def verify_tampered(spark, sf_dir):
+    """Requests that each check refuses after one entity's results were changed."""
+    p, ranked, rows = _two(spark, sf_dir)
+    mine = (F.col("entity") == R.FOCUS) & (F.col("status") == "common")
+    cases = {"common_rank": "common_rank_a", "set_effect": "set_effect", "entered_above": "entered_above"}
     out = None
-    for name in ("above_a", "below_b", "above_all", "below_all", "crossed", "affects"):
-        part = mv.filter_relations(rows, name).select(
-            F.lit(name).alias("filter"), "metric", "a", "b", "focus", "entity", "status"
-        )
+    for case, column in cases.items():
+        wrong = rows.withColumn(column, F.when(mine, F.col(column) + 1).otherwise(F.col(column)))
+        report = verify.verify_two_year(wrong, ranked, R.PAIRS, rows_bound=p.rows_bound, metrics=METRICS)
+        part = verify.failures(report).groupBy("check").agg(F.count(F.lit(1)).alias("requests"))
+        part = part.select(F.lit(case).alias("case"), "check", "requests")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -236,6 +262,17 @@ _FILTERS = {
     "crossed": "crossed",
     "affects": "affects_position",
 }
+_OUTSIDE_FILTERS = {
+    f"outside_{kind}_{s}": f"status = 'outside' AND relation_{s} = '{kind}'" for s in "amb" for kind in ("above", "below")
+} | {"outside_affects": "status = 'outside' AND affects_position"}
+# What each tampered column must trip, over the focus's common requests.
+_TAMPERED = [
+    ("common_rank", "common-A.ranking_matches_engine_order"), ("common_rank", "decomposition.identity"),
+    ("common_rank", "classification.position_based"), ("set_effect", "decomposition.identity"),
+    ("set_effect", "decomposition.observed_set_effect_matches_counts"),
+    ("entered_above", "entered.above_below_reconciles"), ("entered_above", "partial_identity_B"),
+    ("entered_above", "decomposition.identity"), ("entered_above", "decomposition.observed_set_effect_matches_counts"),
+]
 
 
 def _growth_spans():
@@ -359,6 +396,15 @@ QUERIES = {
     "movement_relation_filters": (movement_relation_filters, _REL_SQL + " UNION ALL ".join(
         f"SELECT '{n}' AS filter, metric, a, b, focus, entity, status FROM relations WHERE a = {R.A} AND b = {R.B} AND {c}"
         for n, c in _FILTERS.items())),
+    "movement_outside_filters": (movement_outside_filters, "WITH three AS (" + _three_relation_sql() + ") " + " UNION ALL ".join(
+        f"SELECT '{n}' AS filter, metric, a, m, b, focus, entity FROM three WHERE {c}" for n, c in _OUTSIDE_FILTERS.items())),
+    "movement_status_positions": (movement_status_positions, with_(CUST, RANKED, _TWO_LEVEL) + """
+SELECT metric, a, b, status, entity, row_number() OVER (PARTITION BY metric, a, b, status ORDER BY coalesce(rank_b, rank_a), entity) AS position_in_status,
+  count(*) OVER (PARTITION BY metric, a, b, status) AS n_status FROM moved"""),
+    "movement_verified": (movement_verified, with_(CUST, RANKED, _TWO_LEVEL) + _MOVED),
+    "verify_tampered": (verify_tampered, with_(CUST, RANKED, _TWO_LEVEL) + f"""
+SELECT "case", "check", count(*) AS requests FROM moved, (VALUES {values_(_TAMPERED)}) t("case", "check")
+WHERE entity = '{R.FOCUS}' AND status = 'common' GROUP BY 1, 2"""),
     "movement_summary": (movement_summary, _REL_SQL + "SELECT * FROM relations WHERE status <> 'common' OR entity = focus"),
     "movement_relation_counts": (movement_relation_counts, _REL_SQL + """
 SELECT metric, a, b, focus, count(*) FILTER (WHERE status = 'common') AS common,

@@ -11,7 +11,7 @@ from panelyst.plans.shape import shaped
 from panelyst.registry import METRICS
 from panelyst.session import written
 from panelyst.sources import publish, scans
-from panelyst.sources.tables import customer_panel, part_dim, part_panel, stored, user_day_panel
+from panelyst.sources.tables import customer_panel, part_dim, part_panel, published, stored, user_day_panel
 
 A, M, B = R.A, R.M, R.B
 RAW_METRICS = ("total_current", "exports_current")
@@ -29,39 +29,45 @@ def _number():
 
 
 # --- scans ---------------------------------------------------------------------------------------------
-def scan_eligible_year(spark, sf_dir):
+def _published(spark, sf_dir):
+    """The panel and its published table."""
     p, obs = _store(spark, sf_dir)
+    return p, published(obs)
+
+
+def scan_eligible_year(spark, sf_dir):
+    p, obs = _published(spark, sf_dir)
     return shaped(scans.eligible(obs, p.dim, "exports_current", years=[B]), "entity", "name", "year", "value", "value_raw", "vintage")
 
 
 def scan_eligible_range(spark, sf_dir):
-    p, obs = _store(spark, sf_dir)
+    p, obs = _published(spark, sf_dir)
     return shaped(scans.eligible(obs, p.dim, "exports_current", between=(A, M)), "entity", "name", "year", "value")
 
 
 def scan_eligible_years(spark, sf_dir):
-    p, obs = _store(spark, sf_dir)
+    p, obs = _published(spark, sf_dir)
     return shaped(scans.eligible(obs, p.dim, "exports_current", years=[A, B, A]), "entity", "name", "year", "value", "vintage")
 
 
 def scan_entity_list(spark, sf_dir):
-    _, obs = _store(spark, sf_dir)
+    _, obs = _published(spark, sf_dir)
     rows = scans.entity_list(obs, "total_current", [R.FOCUS_PART, "BRAND11", "BRAND12"], [A, B])
     return shaped(rows, "entity", "year", "value")
 
 
 def scan_entity_series(spark, sf_dir):
-    _, obs = _store(spark, sf_dir)
+    _, obs = _published(spark, sf_dir)
     return shaped(scans.entity_series(obs, "total_current", R.FOCUS_PART, A, B), "entity", "year", "value")
 
 
 def scan_point(spark, sf_dir):
-    _, obs = _store(spark, sf_dir)
+    _, obs = _published(spark, sf_dir)
     return shaped(scans.point(obs, "total_current", R.FOCUS_PART, B), *STORE_COLUMNS)
 
 
 def scan_comparison_columns(spark, sf_dir):
-    _, obs = _store(spark, sf_dir)
+    _, obs = _published(spark, sf_dir)
     return shaped(scans.comparison_columns(obs, "exports_current", A, B))
 
 
@@ -85,19 +91,19 @@ def _metric_dim(spark):
 
 
 def browse_observations(spark, sf_dir):
-    p, obs = _store(spark, sf_dir)
+    p, obs = _published(spark, sf_dir)
     rows = scans.with_provenance(obs, p.dim, _metric_dim(spark), F.col("year") == B)
     return shaped(rows, "entity", "name", "metric", "subject", "unit", "year", "value", "value_raw", "vintage")
 
 
 def entity_listing(spark, sf_dir):
-    p, obs = _store(spark, sf_dir)
+    p, obs = _published(spark, sf_dir)
     out = classify.list_entities(p.dim, obs, kind="country", search="00", metric="exports_current", year=B)
     return out.select("entity", "name", "has_data")
 
 
 def observed_entities(spark, sf_dir):
-    _, obs = _store(spark, sf_dir)
+    _, obs = _published(spark, sf_dir)
     return classify.observed_entities(obs, "exports_current", B)
 
 
@@ -313,6 +319,36 @@ def latest_counters(spark, sf_dir):
     return coverage.latest_counters(_stats(spark, sf_dir), _runs(spark))
 
 
+def _order_runs(spark, sf_dir):
+    """A run for each month of the orders; it failed if more than a third of them are pending or open."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long")
+    late = F.count_if(F.col("o_orderstatus") == "O") * 3 > F.count(F.lit(1))
+    return orders.groupBy(month.alias("run_id")).agg(
+        F.when(late, "failed").otherwise("success").alias("status"), F.count(F.lit(1)).alias("requests")
+    )
+
+
+def latest_runs(spark, sf_dir):
+    runs = written(_order_runs(spark, sf_dir))
+    both = scans.latest_runs(runs, 20).withColumn("which", F.lit("all"))
+    return both.unionByName(scans.latest_runs(runs, 5, "success").withColumn("which", F.lit("success")))
+
+
+def have_data(spark, sf_dir):
+    p, obs = _store(spark, sf_dir)
+    return scans.have_data(obs, p.dim, _metric_dim(spark))
+
+
+def dimensions_equal(spark, sf_dir):
+    dim = part_dim(spark, sf_dir)
+    fewer = dim.where(_number() % 9 != 2)
+    changed = dim.withColumn("name", F.when(_number() % 9 == 2, F.upper("name")).otherwise(F.col("name")))
+    cases = {"same": dim, "fewer": fewer, "changed": changed}
+    parts = [publish.dimensions_equal(dim, other).withColumn("case", F.lit(n)) for n, other in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def universe_changes(spark, sf_dir):
     pairs = spark.createDataFrame([(1, 2), (2, 1)], "from_run long, to_run long")
     return coverage.universe_changes(_snapshots(spark, sf_dir), pairs)
@@ -528,6 +564,17 @@ FROM per a LEFT JOIN per b ON b.metric = a.metric AND b.year = a.year - 1
 LEFT JOIN yoy f ON f.entity = '{R.FOCUS}' AND f.metric = a.metric AND f.year = a.year
 LEFT JOIN yranked k ON k.entity = '{R.FOCUS}' AND k.metric = a.metric AND k.year = a.year"""),
     "latest_counters": (latest_counters, _ST + "SELECT * FROM latest"),
+    "latest_runs": (latest_runs, """
+WITH runs AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS run_id,
+    CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'O') * 3 > count(*) THEN 'failed' ELSE 'success' END AS status, count(*) AS requests FROM orders GROUP BY 1)
+(SELECT *, 'all' AS which FROM runs ORDER BY run_id DESC LIMIT 20)
+UNION ALL (SELECT *, 'success' FROM runs WHERE status = 'success' ORDER BY run_id DESC LIMIT 5)"""),
+    "have_data": (have_data, _S + f"""
+SELECT m.metric, EXISTS (SELECT 1 FROM st s JOIN part_dim d ON d.entity = s.entity AND NOT is_aggregate WHERE s.metric = m.metric) AS has_data
+FROM (VALUES {_SUBJECTS}) m(metric, subject, unit)"""),
+    "dimensions_equal": (dimensions_equal, with_(PART_DIM) + f"""
+SELECT 'same' AS "case", true AS identical UNION ALL SELECT 'fewer', count(*) = 0 FROM part_dim WHERE ({_K}) % 9 = 2
+UNION ALL SELECT 'changed', count(*) = 0 FROM part_dim WHERE ({_K}) % 9 = 2 AND upper(name) <> name"""),
     "universe_changes": (universe_changes, with_(PART_DIM) + f"""
 SELECT 1::BIGINT AS from_run, 2::BIGINT AS to_run, entity, 'added' AS change FROM part_dim WHERE NOT is_aggregate AND ({_K}) % 29 = 0
 UNION ALL SELECT 2, 1, entity, 'removed' FROM part_dim WHERE NOT is_aggregate AND ({_K}) % 29 = 0"""),

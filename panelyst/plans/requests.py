@@ -6,7 +6,7 @@ from panelyst.operators.movement import year_pairs, year_triples
 
 YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 PAIRS = year_pairs(YEARS)
-TRIPLES = [t for t in year_triples(YEARS) if t[1] - t[0] >= 2 and t[2] - t[1] >= 2]
+TRIPLES = year_triples(YEARS)
 A, M, B = 1996, 1998, 2000
 FOCUS = "C000000007"
 FOCUSES = ["C000000007", "C000000042", "C000000100"]

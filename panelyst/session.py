@@ -59,14 +59,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_folder(spark: SparkSession) -> str:
+    """A new folder for a table that belongs to the application: it is deleted when that ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, for rows that several branches read.
 
-    Columnar, so each branch still reads only its own columns and pushes its filters down. The table belongs to
-    the application and goes when that ends.
+    Columnar, so each branch still reads only its own columns and pushes its filters down.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = table_folder(df.sparkSession)
     df.write.parquet(path)
-    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(target)
     return df.sparkSession.read.schema(df.schema).parquet(path)

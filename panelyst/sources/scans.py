@@ -1,4 +1,5 @@
-"""Scans of the observation table. Filters and columns reach the reader."""
+"""Scans of the observation table. On a table as ``tables.published`` lays it out, metric filters pick folders
+and filters on year and entity reach the reader."""
 
 from __future__ import annotations
 
@@ -70,3 +71,16 @@ def with_provenance(obs: DataFrame, dim: DataFrame, metric_dim: DataFrame, where
 def any_eligible(obs: DataFrame, dim: DataFrame, metric: str) -> bool:
     """Existence probe: stops at the first row."""
     return not eligible(obs, dim, metric).limit(1).isEmpty()
+
+
+def have_data(obs: DataFrame, dim: DataFrame, metric_dim: DataFrame) -> DataFrame:
+    """The existence probe for every metric at once. Entities are counted before the lookup."""
+    each = obs.where(finite(F.col("value"))).groupBy("metric", "entity").agg(F.lit(True).alias("_any"))
+    found = each.join(eligible_dim(dim).select("entity"), "entity", "left_semi").select("metric", "_any").distinct()
+    return metric_dim.join(found, "metric", "left").select("metric", F.coalesce("_any", F.lit(False)).alias("has_data"))
+
+
+def latest_runs(runs: DataFrame, count: int, status: str | None = None) -> DataFrame:
+    """The newest runs, of one status or of all."""
+    wanted = runs if status is None else runs.where(F.col("status") == status)
+    return wanted.orderBy(F.col("run_id").desc()).limit(count)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelyst.operators.ordered import WINDOW_ROWS, largest_group
+from panelyst.session import table_folder
 
 
 @dataclass(frozen=True)
@@ -204,6 +205,14 @@ def part_panel(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...] = PART
     return bounded(obs, part_dim(spark, sf_dir), table(spark, sf_dir, "lineitem"), metrics)
 
 
+def published(obs: DataFrame) -> DataFrame:
+    """``obs`` as a table in the shared folder: a folder for each metric, sorted by year and entity inside files."""
+    path = table_folder(obs.sparkSession)
+    rows = obs.repartition("metric", F.pmod(F.xxhash64("entity"), F.lit(8))).sortWithinPartitions("metric", "year", "entity")
+    rows.write.partitionBy("metric").parquet(path)
+    return obs.sparkSession.read.schema(obs.schema).parquet(path).select(*obs.columns)
+
+
 def stored(panel: Panel) -> DataFrame:
     """The panel as a published table: decimal text, vintage stamp and retrieval time."""
     late = F.substring("entity", -1, 1).try_cast("int") % 5 == 0

@@ -161,10 +161,16 @@ def test_integrity_finds_each_fault(spark):
         "D.duplicate_observation": good, "E.invalid_year": [("A", "m", 1900, 1.0, "1", "v")],
         "F.non_finite_value": [("A", "m", 2001, math.inf, None, "v")], "F.raw_round_trip": [("A", "m", 2001, 1.0, "2", "v")],
     }
+    state = spark.createDataFrame([("v",)], "max_vintage string")
+
+    def checks_of(table):
+        totals = integrity.observation_totals(table, dim, "A", 2020)
+        return integrity.merge_checks(integrity.observation_checks(totals, state, ["m"]))
+
     for name, extra in faults.items():
         table = obs(spark, good + extra)
-        report = integrity.merge_checks(integrity.value_checks(table, 2020), integrity.reference_checks(table, dim))
+        report = checks_of(table)
         assert name in {r.check for r in report.where("status = 'fail'").collect()}
     clean = obs(spark, good)
-    report = integrity.merge_checks(integrity.value_checks(clean, 2020), integrity.reference_checks(clean, dim))
+    report = checks_of(clean)
     assert [r.check for r in report.where("status = 'fail'").collect()] == []
