@@ -53,6 +53,18 @@ def rejected_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("status") != "ok").select("file", "status", "message")
 
 
+#: A payload is one release of one indicator: its pages name the same release and the same total.
+PAYLOAD = ["indicator", "vintage", "declared"]
+
+
+def keyed_pages(pages: DataFrame) -> DataFrame:
+    """Good pages with the key of the payload they belong to."""
+    return pages.where(F.col("status") == "ok").select(
+        F.get("rows", F.lit(0))["indicator"]["id"].alias("indicator"), F.col("meta.lastupdated").alias("vintage"),
+        F.col("meta.total").alias("declared"), "file", "meta", "rows", "message", "status",
+    )
+
+
 def payload_rows(pages: DataFrame, metric_codes: DataFrame) -> DataFrame:
     """Observations as landed, in the shape classification takes."""
     good = pages.where(F.col("status") == "ok")
@@ -65,13 +77,9 @@ def payload_rows(pages: DataFrame, metric_codes: DataFrame) -> DataFrame:
 
 
 def page_completeness(pages: DataFrame) -> DataFrame:
-    """Rows reconstructed from all pages of an indicator against the total it declared."""
-    good = pages.where(F.col("status") == "ok").select(
-        F.get("rows", F.lit(0))["indicator"]["id"].alias("indicator"),
-        F.col("meta.total").alias("total"), F.size("rows").cast("long").alias("rows"),
-    )
-    sums = good.groupBy("indicator").agg(
-        F.max("total").alias("declared"), F.sum("rows").alias("received"), F.count(F.lit(1)).alias("pages")
+    """Rows reconstructed from all pages of a payload against the total it declared, and its newest file."""
+    sums = keyed_pages(pages).groupBy(*PAYLOAD).agg(
+        F.sum(F.size("rows").cast("long")).alias("received"), F.count(F.lit(1)).alias("pages"), F.max("file").alias("newest")
     )
     declared, received = F.col("declared"), F.col("received")
     status = F.when(declared.isNull(), "unknown").when(declared == received, "complete").otherwise("mismatch")

@@ -9,6 +9,7 @@ from panelyst.session import cut_lineage
 
 KEY = ["metric", "entity", "year"]
 OBS_SCHEMA = "entity string, metric string, year int, value double, value_raw string, vintage string"
+STORE_SCHEMA = f"{OBS_SCHEMA}, fetched_at timestamp"
 
 
 # --- proofs of change ------------------------------------------------------------------------------
@@ -178,7 +179,10 @@ def freshness(obs: DataFrame, runs: DataFrame, now: Column, ttl_hours: float) ->
 
 # --- versions ------------------------------------------------------------------------------------------
 class PanelStore:
-    """Observation table under ``root``: one folder per metric and version, and a manifest per version."""
+    """Observation table under ``root``: one folder per metric and version, and a manifest per version.
+
+    Staged rows carry what STORE_SCHEMA names; ``fetched_at`` may be missing and is then null.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -198,13 +202,14 @@ class PanelStore:
         latest = rows.agg(F.max("version")).first()[0]
         if latest is None:
             return -1, {}
-        return latest, {r.metric: r.folder for r in rows.where(F.col("version") == latest).collect()}
+        found = rows.where((F.col("version") == latest) & F.col("metric").isNotNull()).collect()
+        return latest, {r.metric: r.folder for r in found}
 
     def read(self, version: int | None = None) -> DataFrame:
         _, folders = self.manifest(version)
         if not folders:
-            return self.spark.createDataFrame([], OBS_SCHEMA)
-        return self.spark.read.schema(OBS_SCHEMA).parquet(*folders.values())
+            return self.spark.createDataFrame([], STORE_SCHEMA)
+        return self.spark.read.schema(STORE_SCHEMA).parquet(*folders.values())
 
     def table(self, name: str) -> DataFrame | None:
         path = f"{self.root}/{name}"
@@ -219,6 +224,8 @@ class PanelStore:
         if version <= current:
             return {}
         stored = self.read()
+        if "fetched_at" not in staged.columns:
+            staged = staged.withColumn("fetched_at", F.lit(None).cast("timestamp"))
         staged = cut_lineage(staged)
         # A metric absent from the payload is left alone, so only staged metrics are judged.
         verdicts = metric_verdicts(
@@ -230,23 +237,27 @@ class PanelStore:
             # Only the range is judged, as only the range is rewritten: older stamps outside it stay as they are.
             judged = vintage_state(stored.where(F.col("year").between(first, last)), upstream)
             stale = {r.metric for r in judged.where("needs_advance").collect()}
-        actions, fresh = {}, dict(folders)
-        for metric, same in sorted(unchanged.items()):
-            if same and metric not in stale:
-                actions[metric] = "skipped"
-                continue
-            # The metric's own folder alone, not those of all metrics.
-            mine = self.spark.read.schema(OBS_SCHEMA).parquet(folders[metric]) if metric in folders else stored.limit(0)
-            if same:
-                rows, actions[metric] = advance_vintage(mine, [metric], first, last, upstream), "advanced"
-            else:
-                rows = replace_range(mine, staged.where(F.col("metric") == metric), [metric], first, last)
-                actions[metric] = "replaced"
-            folder = f"{self.root}/obs/{metric}/v{version}"
+        changed = sorted(m for m, same in unchanged.items() if not same)
+        advanced = sorted(m for m, same in unchanged.items() if same and m in stale)
+        actions = dict.fromkeys(sorted(unchanged), "skipped") | dict.fromkeys(changed, "replaced") | dict.fromkeys(advanced, "advanced")
+        fresh = dict(folders)
+        if changed or advanced:
+            # Only the folders of these metrics are read, and one job writes all of them.
+            old = [folders[m] for m in (*changed, *advanced) if m in folders]
+            mine = self.spark.read.schema(STORE_SCHEMA).parquet(*old) if old else stored.limit(0)
+            rows = replace_range(mine, staged, changed, first, last) if changed else mine
+            rows = advance_vintage(rows, advanced, first, last, upstream) if advanced else rows
+            target = f"{self.root}/obs/v{version}"
             # Sorted within files by year: a year's rows sit in few row groups.
-            rows.sortWithinPartitions("year", "entity").write.mode("overwrite").parquet(folder)
-            fresh[metric] = folder
+            dealt = rows.withColumn("_of", F.col("metric")).repartition("_of", "year").sortWithinPartitions("_of", "year", "entity")
+            dealt.write.mode("overwrite").partitionBy("_of").parquet(target)
+            # A metric whose rows all vanished has no folder any more.
+            left = {r.metric for r in self.spark.read.schema(STORE_SCHEMA).parquet(target).select("metric").distinct().collect()}
+            for metric in (*changed, *advanced):
+                fresh.pop(metric, None)
+            fresh |= {metric: f"{target}/_of={metric}" for metric in left}
         lines = [(version, m, f) for m, f in fresh.items()]
+        lines = lines or [(version, None, None)]  # an empty version is a version
         self.spark.createDataFrame(lines, "version long, metric string, folder string").coalesce(1).write.mode(
             "append"
         ).json(f"{self.root}/manifest")

@@ -7,32 +7,67 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelyst.operators.classify import classify_observations, rejection_counters, staged
 from panelyst.session import cut_lineage
-from panelyst.sources.payloads import page_completeness, parse_pages, payload_rows, rejected_pages
-from panelyst.sources.publish import PanelStore
+from panelyst.sources.payloads import PAYLOAD, keyed_pages, page_completeness, parse_pages, payload_rows, rejected_pages
+from panelyst.sources.publish import PanelStore, dataset_state
 
+RUN = "status string, pages_fetched long, requests long, has_snapshot boolean, completed_at timestamp"
 
-class IncompletePayload(RuntimeError):
-    """A page is missing, broken or an error; nothing of its batch is published."""
+
+def _waiting(store: PanelStore, pages: DataFrame, version: int) -> DataFrame:
+    """Pages of this batch and those earlier batches held back: landed, and not yet part of a published payload."""
+    store.put("landed_pages", version, pages)
+    landed = store.table("landed_pages").where(F.col("run_id") <= version).drop("run_id")
+    taken = store.side_table("taken_files")
+    return landed if taken is None else landed.join(taken.select("file"), "file", "left_anti")
+
+
+def _chosen(waiting: DataFrame) -> DataFrame:
+    """Keys of payloads that are whole, with whether each is its indicator's newest."""
+    whole = page_completeness(waiting).where("status != 'mismatch'")
+    newest = whole.groupBy("indicator").agg(F.max(F.struct("vintage", "newest")).alias("_last"))
+    is_last = F.struct("vintage", "newest").eqNullSafe(F.col("_last"))
+    return whole.join(newest, "indicator").select(*PAYLOAD, is_last.alias("is_newest"))
 
 
 def ingest_batch(store: PanelStore, pages: DataFrame, dim: DataFrame, metric_codes: DataFrame, version: int,
                  first: int, last: int) -> dict[str, str]:
-    """One atomic refresh: every page must be good before any metric is written."""
+    """One atomic refresh: payloads that are whole are published, the newest of each indicator; others wait.
+
+    A page that is broken or an error is recorded and holds back nothing but its own payload. Every batch leaves a
+    run row, also one that fails; the counters, the snapshot and the state row belong to its version.
+    """
     if version <= store.manifest()[0]:
         return {}
     pages = cut_lineage(pages)
-    bad = rejected_pages(pages).limit(5).collect()
-    short = page_completeness(pages).where(F.col("status") == "mismatch").limit(5).collect()
-    if bad or short:
-        raise IncompletePayload(f"rejected pages {[tuple(r) for r in bad]}, incomplete {[tuple(r) for r in short]}")
-    classified = cut_lineage(classify_observations(payload_rows(pages, metric_codes), dim))
-    upstream = classified.agg(F.max("vintage")).first()[0]
-    store.put("ingest_year_stats", version, rejection_counters(classified))
-    store.put("run_universe", version, dim.select("entity", "is_aggregate"))
-    completed = F.current_timestamp().alias("completed_at")
-    store.put("runs", version, store.spark.range(1).select(F.lit("success").alias("status"), completed))
-    # The manifest written by this call is the one commit point of the batch.
-    return store.publish(version, staged(classified), first, last, upstream)
+    try:
+        store.put("rejected_pages", version, rejected_pages(pages))
+        waiting = cut_lineage(_waiting(store, pages, version))
+        chosen = cut_lineage(_chosen(waiting))
+        keyed = keyed_pages(waiting)
+        match = [keyed[k].eqNullSafe(chosen[k]) for k in PAYLOAD]
+        whole = cut_lineage(keyed.join(chosen, match).select(keyed["file"], keyed["meta"], keyed["rows"], keyed["status"], "is_newest"))
+        rows = payload_rows(whole.where("is_newest"), metric_codes)
+        classified = cut_lineage(classify_observations(rows, dim))
+        upstream = classified.agg(F.max("vintage")).first()[0]
+        store.put("taken_files", version, whole.select("file").distinct())
+        store.put("ingest_year_stats", version, rejection_counters(classified))
+        store.put("run_universe", version, dim.select("entity", "is_aggregate"))
+        counts = whole.agg(F.count_if("is_newest").alias("fetched")).first()["fetched"]
+        store.put("runs", version, _run(store, "success" if counts else "held", counts, pages.count()))
+        fresh = staged(classified).withColumn("fetched_at", F.current_timestamp())
+        # The manifest written by this call is the one commit point of the batch.
+        actions = store.publish(version, fresh, first, last, upstream)
+        store.put("dataset_state", version, dataset_state(store.read()))
+        return actions
+    except Exception:
+        store.put("runs", version, _run(store, "failed", 0, 0))
+        raise
+
+
+def _run(store: PanelStore, status: str, fetched: int, requests: int) -> DataFrame:
+    """The run's own row. A page is one request."""
+    row = store.spark.createDataFrame([(status, fetched, requests, fetched > 0, None)], RUN)
+    return row.withColumn("completed_at", F.current_timestamp())
 
 
 def start_ingest(spark: SparkSession, landing: str, store: PanelStore, dim: DataFrame, metric_codes: DataFrame, *,

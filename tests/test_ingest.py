@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelyst.operators import classify, coverage, integrity
 from panelyst.sources import payloads, publish
 from panelyst.sources.publish import PanelStore
-from panelyst.streaming.ingest import IncompletePayload, ingest_batch, start_ingest
+from panelyst.streaming.ingest import ingest_batch, start_ingest
 
 
 def row(code, year, value, indicator="IND.X"):
@@ -35,6 +35,11 @@ def pages_of(spark, *bodies):
     return payloads.parse_pages(spark.createDataFrame([(f"f{i}", b) for i, b in enumerate(bodies)], "file string, body string"))
 
 
+def pages_at(spark, prefix, *bodies):
+    files = [(f"{prefix}{i}", b) for i, b in enumerate(bodies)]
+    return payloads.parse_pages(spark.createDataFrame(files, "file string, body string"))
+
+
 def test_envelopes(spark):
     pages = pages_of(
         spark, page([row("USA", 2000, 1.5), row("IND", 2000, None)], 3, pages=2), page([row("WLD", 2000, "7")], 3, number=2, pages=2),
@@ -103,9 +108,9 @@ def test_publish_replaces_skips_and_advances(spark, dim, codes, tmp_path):
     store = PanelStore(spark, str(tmp_path / "store"))
     first = pages_of(spark, page([row("USA", 2000, 1), row("IND", 2000, 2)], 2), page([row("USA", 2000, 5, "IND.Y")], 1))
     assert ingest_batch(store, first, dim, codes, 0, 1960, 2030) == {"exports_current": "replaced", "total_current": "replaced"}
-    again = pages_of(spark, page([row("USA", 2000, 1), row("IND", 2000, 2)], 2), page([row("USA", 2000, 6, "IND.Y")], 1))
+    again = pages_at(spark, "b", page([row("USA", 2000, 1), row("IND", 2000, 2)], 2), page([row("USA", 2000, 6, "IND.Y")], 1))
     assert ingest_batch(store, again, dim, codes, 1, 1960, 2030) == {"exports_current": "replaced", "total_current": "skipped"}
-    later = pages_of(spark, page([row("USA", 2000, 1)], 1, "2024-07-01"), page([row("USA", 2000, 6, "IND.Y")], 1, "2024-07-01"))
+    later = pages_at(spark, "c", page([row("USA", 2000, 1)], 1, "2024-07-01"), page([row("USA", 2000, 6, "IND.Y")], 1, "2024-07-01"))
     assert ingest_batch(store, later, dim, codes, 2, 1960, 2030) == {"exports_current": "advanced", "total_current": "replaced"}
     assert contents(store) == [("USA", "exports_current", 2000, 6.0, "2024-07-01"), ("USA", "total_current", 2000, 1.0, "2024-07-01")]
     # A replayed version changes nothing, and an older version is still readable.
@@ -114,12 +119,48 @@ def test_publish_replaces_skips_and_advances(spark, dim, codes, tmp_path):
     assert store.side_table("runs").count() == 3
 
 
-def test_a_bad_page_publishes_nothing(spark, dim, codes, tmp_path):
+def test_partial_payloads_wait_for_their_pages(spark, dim, codes, tmp_path):
+    store = PanelStore(spark, str(tmp_path / "store"))
+    half = page([row("USA", 2000, 1)], 2, pages=2)
+    assert ingest_batch(store, pages_at(spark, "a", half, "broken"), dim, codes, 0, 1960, 2030) == {}
+    assert store.read().count() == 0 and store.manifest()[0] == 0
+    whole = page([row("USA", 2000, 5, "IND.Y")], 1)
+    assert ingest_batch(store, pages_at(spark, "b", whole), dim, codes, 1, 1960, 2030) == {"exports_current": "replaced"}
+    rest = page([row("IND", 2000, 2)], 2, number=2, pages=2)
+    assert ingest_batch(store, pages_at(spark, "c", rest), dim, codes, 2, 1960, 2030) == {"total_current": "replaced"}
+    assert [c[:4] for c in contents(store)] == [
+        ("IND", "total_current", 2000, 2.0), ("USA", "exports_current", 2000, 5.0), ("USA", "total_current", 2000, 1.0)
+    ]
+    runs = {r.run_id: (r.status, r.pages_fetched) for r in store.side_table("runs").collect()}
+    assert runs == {0: ("held", 0), 1: ("success", 1), 2: ("success", 2)}
+    assert [r.status for r in store.side_table("rejected_pages").collect()] == ["malformed"]
+    state = store.side_table("dataset_state").where("run_id = 2").first()
+    assert state.observation_count == 3 and state.max_fetched_at is not None
+
+
+def test_of_two_releases_the_newer_counts(spark, dim, codes, tmp_path):
+    store = PanelStore(spark, str(tmp_path / "store"))
+    old, new = page([row("USA", 2000, 1), row("IND", 2000, 2)], 2), page([row("USA", 2000, 3)], 1, "2024-07-01")
+    ingest_batch(store, pages_at(spark, "a", new, old), dim, codes, 0, 1960, 2030)
+    assert contents(store) == [("USA", "total_current", 2000, 3.0, "2024-07-01")]
+
+
+def test_a_failed_batch_leaves_a_run(spark, dim, codes, tmp_path):
+    store = PanelStore(spark, str(tmp_path / "store"))
+    with pytest.raises(Exception):
+        ingest_batch(store, pages_at(spark, "a", page([row("USA", 2000, 1)], 1)), dim, codes.drop("metric"), 0, 1960, 2030)
+    assert [r.status for r in store.table("runs").collect()] == ["failed"] and store.manifest() == (-1, {})
+
+
+def test_a_second_publish_writes_nothing(spark, tmp_path):
+    """Stamps outside the range are left alone, and do not count as stale."""
     store = PanelStore(spark, str(tmp_path / "store"))
-    for bad in (page([row("USA", 2000, 1)], 2), "broken"):
-        with pytest.raises(IncompletePayload):
-            ingest_batch(store, pages_of(spark, page([row("USA", 2000, 5, "IND.Y")], 1), bad), dim, codes, 0, 1960, 2030)
-    assert store.manifest() == (-1, {}) and store.read().count() == 0
+    rows = obs(spark, [("A", "m", 1950, 1.0, "1", "old"), ("A", "m", 2000, 1.0, "1", "new")])
+    store.publish(0, rows, 1900, 2030)
+    inside = rows.where("year = 2000")
+    assert store.publish(1, inside, 1960, 2030, "new") == {"m": "skipped"}
+    assert store.publish(2, inside.unionByName(inside), 1960, 2030, "new") == {"m": "replaced"}
+    assert sorted((r.year, r.vintage) for r in store.read().collect()) == [(1950, "old"), (2000, "new")]
 
 
 def test_stream_is_incremental_and_replay_safe(spark, dim, codes, tmp_path):
