@@ -3,9 +3,11 @@ each excluded entity is out. Members are rows; a set is never gathered into one
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelyst.functions.hashing import MASK, OFFSET_BASIS, PRIME
@@ -93,50 +95,99 @@ def universe_counts(members: DataFrame) -> DataFrame:
 
 
 # --- membership hash of a set of any size -----------------------------------------------------------
-def _slice_tables(group: str, code: str):
-    """Fold each partition's sorted codes for all 256 values of the incoming low byte.
+# The fold's functions travel with the plan: executors need numpy and pandas, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+CHUNK = 1024
+FANOUT = 64
+
+
+def _chunk_maps(codes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes' bytes as affine maps, one for each CHUNK bytes: factors, and offsets for each incoming low byte.
 
-    FNV-1a mixes a byte into the low eight bits and multiplies. For a given incoming low byte a run of
-    bytes is therefore one affine map, h -> h * P**n + c, so runs compose without being re-read.
+    FNV-1a mixes a byte into the low eight bits and multiplies. For a given incoming low byte a run of bytes is
+    therefore one affine map, h -> h * P**n + c. All chunks are folded together, one byte position at a time.
     """
+    data = (np.frombuffer("".join(f"{c}," for c in codes).encode("utf-32-le", "surrogatepass"), np.uint32) & 0xFF).astype(np.uint64)
+    count = -(-len(data) // CHUNK)
+    rows = np.zeros((count, CHUNK), np.uint64)
+    rows.ravel()[: len(data)] = data
+    sizes = np.full(count, CHUNK)
+    sizes[-1] = len(data) - (count - 1) * CHUNK
+    low = np.arange(256, dtype=np.uint64)
+    state = np.repeat(low[None, :], count, axis=0)
+    for at in range(CHUNK):
+        live = count if at < sizes[-1] else count - 1
+        state[:live] = ((state[:live] ^ rows[:live, at, None]) * np.uint64(PRIME)) & np.uint64(MASK)
+    factors = np.array([pow(PRIME, int(n), 1 << 32) for n in sizes], np.uint64)
+    return factors, (state - low * factors[:, None]) & np.uint64(MASK)
+
+
+def _composed(factors: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maps applied one after the other as one map; pairs are joined until one is left."""
+    low = np.arange(256, dtype=np.uint64)
+    while len(factors) > 1:
+        if len(factors) % 2:
+            factors = np.append(factors, np.uint64(1))
+            offsets = np.concatenate([offsets, np.zeros((1, 256), np.uint64)])
+        f, g = factors[::2, None], factors[1::2, None]
+        first, second = offsets[::2], offsets[1::2]
+        # The low byte that reaches the second map depends on the incoming low byte alone.
+        reached = ((low * f + first) & np.uint64(255)).astype(np.int64)
+        offsets = (first * g + np.take_along_axis(second, reached, axis=1)) & np.uint64(MASK)
+        factors = (f * g & np.uint64(MASK))[:, 0]
+    return factors, offsets
+
+
+def _slice_tables(group: str, code: str):
+    """Fold each partition's sorted codes of each group into one map."""
     def fold(batches):
-        states: dict[str, tuple[np.ndarray, int]] = {}
-        low = np.arange(256, dtype=np.uint64)
-        partition = None
-        for batch in batches:
-            for key, text, part in zip(batch[group], batch[code], batch["_part"]):
-                partition = part
-                state, power = states.get(key, (low.copy(), 1))
-                for byte in (ord(ch) & 0xFF for ch in text + ","):
-                    state = ((state ^ np.uint64(byte)) * np.uint64(PRIME)) & np.uint64(MASK)
-                    power = (power * PRIME) & MASK
-                states[key] = (state, power)
         import pandas as pd
 
-        rows = []
-        for key, (state, power) in states.items():
-            start = (low * np.uint64(power)) & np.uint64(MASK)
-            offsets = (state - start) & np.uint64(MASK)
-            rows.append((key, partition, power, offsets.astype(np.int64).tolist()))
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        partition = None
+        for batch in batches:
+            if len(batch):
+                partition = batch["_part"].iloc[0]
+            for key, codes in batch.groupby(group, sort=False, dropna=False)[code]:
+                done = _composed(*_chunk_maps(codes.tolist()))
+                if key in held:
+                    done = _composed(*(np.concatenate(x) for x in zip(held[key], done)))
+                held[key] = done
+        rows = [(k, partition, int(f[0]), o[0].astype(np.int64).tolist()) for k, (f, o) in held.items()]
         yield pd.DataFrame(rows, columns=[group, "part", "power", "offsets"])
 
     return fold
 
 
+def _joined_tables(group: str):
+    """Maps of neighbouring slices as one map."""
+    def join(rows):
+        rows = rows.sort_values("part")
+        f, o = _composed(rows["power"].to_numpy(np.uint64), np.stack(rows["offsets"].to_list()).astype(np.uint64))
+        out = rows.iloc[:1].copy()
+        out["part"], out["power"], out["offsets"] = out["part"] // FANOUT, [int(f[0])], [o[0].astype(np.int64).tolist()]
+        return out[[group, "part", "power", "offsets"]]
+
+    return join
+
+
 def membership_hashes(members: DataFrame, group: str, where: Column, slices: int | None = None,
                       code: str = "entity") -> DataFrame:
     """``fnv1a32`` of each group's sorted members: independent of row order and of partitioning.
 
-    Members are range-partitioned and folded slice by slice; one small table per slice is then
-    composed in order. The result is a list of at most ``slices`` tables per group.
+    Members are range-partitioned and folded slice by slice, each slice in chunks that advance together; the
+    slices' maps are composed in order, in a tree.
     """
     chosen = members.where(where).select(F.col(group).cast("string").alias(group), code)
     spark = members.sparkSession
     parts = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = chosen.repartitionByRange(parts, group, code).sortWithinPartitions(group, code)
-    tables = ordered.withColumn("_part", F.spark_partition_id()).mapInPandas(
-        _slice_tables(group, code), f"{group} string, part int, power long, offsets array<long>"
-    )
+    schema = f"{group} string, part int, power long, offsets array<long>"
+    tables = ordered.withColumn("_part", F.spark_partition_id()).mapInPandas(_slice_tables(group, code), schema)
+    while parts > FANOUT:  # a tree: no task and no row ever holds more than FANOUT slices of a group
+        tables = tables.groupBy(group, F.floor(F.col("part") / FANOUT)).applyInPandas(_joined_tables(group), schema)
+        parts = -(-parts // FANOUT)
     steps = F.array_sort(F.collect_list(F.struct("part", "power", "offsets")))
     value = F.reduce(
         steps,

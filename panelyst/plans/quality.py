@@ -10,7 +10,7 @@ from panelyst.plans.oracle_panels import CUST, CUST_DIM, PART, PART_DIM, RANKED,
 from panelyst.plans.shape import shaped
 from panelyst.registry import METRICS
 from panelyst.session import written
-from panelyst.sources import publish, scans
+from panelyst.sources import payloads, publish, scans
 from panelyst.sources.tables import customer_panel, part_dim, part_panel, published, stored, user_day_panel
 
 A, M, B = R.A, R.M, R.B
@@ -139,6 +139,46 @@ def ingest_staged(spark, sf_dir):
     return shaped(classify.staged(_classified(spark, sf_dir)))
 
 
+PAGE_ROWS = 200
+
+
+def _payload_text(spark, sf_dir):
+    """The panel as landed page files: per metric, pages of one year's rows in the source's envelope."""
+    _, obs = _store(spark, sf_dir)
+    k = _number()
+    at = F.when(F.col("entity").startswith("P"), F.floor(k / PAGE_ROWS)).otherwise(-1).alias("at")
+    totals = obs.groupBy("metric").agg(F.count(F.lit(1)).alias("total"))  # a few metrics
+    item = F.struct(
+        F.struct(F.col("metric").alias("id"), F.col("metric").alias("value")).alias("indicator"),
+        F.col("entity").alias("countryiso3code"), F.col("year").cast("string").alias("date"), F.col("value_raw").alias("value"),
+    )
+    pages = obs.select("metric", "year", at, item.alias("item")).groupBy("metric", "year", "at").agg(F.collect_list("item").alias("items"))
+    meta = F.struct(F.lit(1).alias("page"), F.col("total"), F.lit("2024-07-01").alias("lastupdated"))
+    body = F.concat(F.lit("["), F.to_json(meta), F.lit(","), F.to_json("items"), F.lit("]"))
+    # One page of every eleventh part block is broken off, so its payload stays short.
+    broken = (F.col("metric") == "exports_current") & (F.col("at") >= 0) & (F.col("at") % 11 == 0) & (F.col("year") == B)
+    file = F.concat_ws("/", "metric", F.col("year").cast("string"), F.col("at").cast("string"))
+    return pages.join(totals, "metric").select(file.alias("file"), F.when(broken, F.substring(body, 1, 40)).otherwise(body).alias("body"))
+
+
+def payload_pages(spark, sf_dir):
+    """Status of every page."""
+    pages = payloads.parse_pages(_payload_text(spark, sf_dir))
+    return pages.select("file", "status", F.when(F.col("status") == "ok", F.size("rows").cast("long")).alias("rows"))
+
+
+def payload_rows(spark, sf_dir):
+    codes = spark.createDataFrame([(m, m) for m in RAW_METRICS], "indicator string, metric string")
+    return payloads.payload_rows(payloads.parse_pages(_payload_text(spark, sf_dir)), codes).select(
+        "metric", "code", "date", "value_text", "vintage"
+    )
+
+
+def payload_completeness(spark, sf_dir):
+    out = payloads.page_completeness(payloads.parse_pages(_payload_text(spark, sf_dir)))
+    return out.select("indicator", "vintage", "declared", "received", "pages", "status", "missing_rows")
+
+
 def _meta(spark, sf_dir):
     """Metadata records: repeated, blank, malformed and aggregate ones among them."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -441,6 +481,11 @@ stats AS (SELECT r.run_id, c.* FROM counters c JOIN (VALUES (1), (2), (3)) r(run
 latest AS (SELECT * FROM stats WHERE run_id < 3 QUALIFY row_number() OVER (PARTITION BY metric, year ORDER BY run_id DESC) = 1),
 snap AS (SELECT 1 AS run_id, entity, is_aggregate FROM part_dim WHERE ({_K}) % 29 <> 0 UNION ALL SELECT 2, entity, is_aggregate FROM part_dim)
 """
+_PAGES = _S.rstrip() + f""",
+paged AS (SELECT *, CASE WHEN entity LIKE 'P%' THEN k // {PAGE_ROWS} ELSE -1 END AS blk FROM st),
+pages AS (SELECT metric, year, blk, metric || '/' || year || '/' || blk AS file, count(*) AS n,
+    CASE WHEN metric = 'exports_current' AND blk >= 0 AND blk % 11 = 0 AND year = {B} THEN 'malformed' ELSE 'ok' END AS status FROM paged GROUP BY 1, 2, 3)
+"""
 _META = """
 WITH meta AS (SELECT p_partkey AS ingest_order, p_partkey % 41 = 0 AS broken,
     CASE WHEN p_partkey % 31 = 0 THEN ' ' WHEN p_partkey % 37 = 0 THEN 'P000000001' ELSE 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS id,
@@ -513,6 +558,14 @@ JOIN (VALUES {_SUBJECTS}) m(metric, subject, unit) ON m.metric = s.metric WHERE
 SELECT d.entity, name, EXISTS (SELECT 1 FROM st s WHERE s.entity = d.entity AND metric = 'exports_current' AND year = {B}) AS has_data
 FROM part_dim d WHERE NOT is_aggregate AND (lower(d.entity) LIKE '%00%' OR lower(name) LIKE '%00%')"""),
     "observed_entities": (observed_entities, _S + f"SELECT DISTINCT entity FROM st WHERE metric = 'exports_current' AND year = {B}"),
+    "payload_pages": (payload_pages, _PAGES + "SELECT file, status, CASE WHEN status = 'ok' THEN n END AS rows FROM pages"),
+    "payload_rows": (payload_rows, _PAGES + """
+SELECT o.metric, o.entity AS code, CAST(o.year AS VARCHAR) AS date, o.value_raw AS value_text, '2024-07-01' AS vintage
+FROM paged o JOIN pages p ON p.metric = o.metric AND p.year = o.year AND p.blk = o.blk WHERE status = 'ok'"""),
+    "payload_completeness": (payload_completeness, _PAGES + """
+SELECT metric AS indicator, '2024-07-01' AS vintage, total AS declared, CAST(sum(n) AS BIGINT) AS received, count(*) AS pages,
+  CASE WHEN total = sum(n) THEN 'complete' ELSE 'mismatch' END AS status, CAST(total - sum(n) AS BIGINT) AS missing_rows
+FROM pages JOIN (SELECT metric AS m, count(*) AS total FROM st GROUP BY 1) t ON m = metric WHERE status = 'ok' GROUP BY metric, total"""),
     "ingest_classified": (ingest_classified, _C + "SELECT metric, code, date, value_text, vintage, entity, year, round(value, 4) AS value, value_raw, reject_reason, stored FROM cl"),
     "ingest_counters": (ingest_counters, _C + _COUNTERS),
     "ingest_staged": (ingest_staged, _C + f"SELECT {_FOUR} FROM cl WHERE stored"),

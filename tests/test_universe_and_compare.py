@@ -15,7 +15,8 @@ def fnv(codes):
 
 
 @pytest.mark.parametrize("slices", [1, 3, 8])
-def test_sliced_hash(spark, slices):
+def test_sliced_hash(spark, slices, monkeypatch):
+    monkeypatch.setattr(U, "FANOUT", 2)  # the maps of three and eight slices are joined in a tree
     sets = {"p": [f"E{i:03d}" for i in range(57)], "q": ["USA"], "r": ["IND", "USA", "BRA"]}
     rows = [(g, c) for g, codes in sets.items() for c in reversed(codes)]
     df = spark.createDataFrame(rows, "plan string, entity string").repartition(5)
