@@ -23,6 +23,8 @@ LEVEL = 1
 #: Labelled rows that the model is fitted on, for each class, and the chunks taken from each, spread over its text.
 SAMPLE_ROWS = 4000
 SAMPLE_CHUNKS = 6
+#: Characters of a labelled text that reach the driver: SAMPLE_ROWS * 2 * SAMPLE_TEXT bounds the sample.
+SAMPLE_TEXT = 16 * CHUNK
 #: A line that so many sample rows share marks copies, not quality; it stays out of the dictionaries.
 SHARED_LINES = 3
 #: Added to the sizes' sum: a few bytes of difference say little on a very short text.
@@ -100,8 +102,8 @@ def _spread(data: bytes) -> list[bytes]:
 def sample_labelled(docs: DataFrame, labels: DataFrame, trains: Column, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
     """(text, label) of at most ``rows`` documents a class: those whose ids hash lowest, whatever the table's size.
 
-    ``trains`` is a condition on ``doc_id``. A document with both labels counts as bad. At most 64 kB of a text, in
-    evenly spread pieces, reach the driver.
+    ``trains`` is a condition on ``doc_id``. A document with both labels counts as bad. Of a text at most
+    SAMPLE_TEXT characters, in evenly spread pieces, reach the driver.
     """
     once = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & trains)
     once = once.groupBy("doc_id").agg(F.min("quality").alias("label"))
@@ -109,13 +111,12 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, trains: Column, rows: in
         once.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)
     ]
     chosen = ids[0].unionByName(ids[1]).withColumnRenamed("doc_id", "chosen_id")  # at most 2 * rows: bounded
-    step = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(65536))).cast("int")
-    spread = F.concat_ws(
-        "", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.substring("text", i * 512 * step + 1, F.lit(512)))
-    )
+    step = F.ceil(F.length("text") / SAMPLE_TEXT).cast("int")
+    pieces = F.sequence(F.lit(0), F.lit(SAMPLE_TEXT // CHUNK - 1))
+    spread = F.concat_ws("", F.transform(pieces, lambda i: F.substring("text", i * CHUNK * step + 1, F.lit(CHUNK))))
     found = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
     found = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = found.select("doc_id", "label", F.when(F.length("text") <= 65536, F.col("text")).otherwise(spread).alias("text"))
+    got = found.select("doc_id", "label", F.when(F.length("text") <= SAMPLE_TEXT, F.col("text")).otherwise(spread).alias("text"))
     return [(r["text"], r["label"]) for r in sorted(got.collect(), key=lambda r: r["doc_id"])]
 
 
