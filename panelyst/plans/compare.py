@@ -586,8 +586,9 @@ SELECT pair, member, CASE WHEN in_a AND in_b THEN 'shared' WHEN in_a THEN 'only_
     "entity_specs": (entity_specs, _specs_sql()),
 }
 QUERIES |= {
-    f"basis_compare_{basis}_{operation}": (
+    f"basis_compare_{basis}_{operation}{suffix}": (
         partial(compare_basis, basis=basis, operation=operation, mode=mode), _basis_sql(basis, operation, mode)
     )
-    for basis, operation, mode in _BASIS_RUNS
+    for basis, operation, usual in _BASIS_RUNS
+    for mode, suffix in ((usual, ""), *((m, f"_{m}") for m in ("observed", "like_for_like") if m != usual))
 }
