@@ -24,7 +24,7 @@ from panelyst.session import written
 
 BLOCK_ROWS = 16
 #: Rows that one task numbers; larger sources are cut into hashed slices of about this many.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 4_000
 #: Bounds of what the driver schedules.
 MOST_SOURCES, MOST_SLOTS = 1000, 100_000
 
