@@ -10,6 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Positions whose emissions are held at a time while decoding.
+STEPS = 64
+
 
 @dataclass(frozen=True)
 class Model:
@@ -86,15 +89,18 @@ def decode(model: Model, sequences: list[np.ndarray]) -> list[np.ndarray]:
         return []
     order = np.argsort([-len(s) for s in sequences], kind="stable")
     x, lengths = padded([sequences[i] for i in order])
-    e = model.emissions[x].sum(axis=2)
     n, most = x.shape[:2]
     back = np.zeros((n, most, len(model.begin)), np.int8)
-    score = model.begin + e[:, 0]
-    for i in range(1, most):
+    for i in range(most):
         live = int(np.searchsorted(-lengths, -i, side="left"))  # sequences longer than i come first
+        if i % STEPS == 0:
+            e = model.emissions[x[:live, i : i + STEPS]].sum(axis=2)
+        if i == 0:
+            score = model.begin + e[:, 0]
+            continue
         step = score[:live, :, None] + model.transitions
         back[:live, i] = step.argmax(axis=1)
-        score[:live] = step.max(axis=1) + e[:live, i]
+        score[:live] = step.max(axis=1) + e[:live, i % STEPS]
     label = score.argmax(axis=1)
     out = np.zeros((n, most), np.int8)
     for i in range(most - 1, -1, -1):

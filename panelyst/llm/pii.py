@@ -87,8 +87,10 @@ _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]|_")
 #: What a span must contain; text further from one than ``NEAR`` characters is not read by the field.
 _TRIGGER = re.compile(r"[0-9@]|[\[(](?i:at)[\])]|\b(?i:dot)\b")
 NEAR = 40
-#: Longer stretches of digits and signs (tables, dumps) are read in parts of this many tokens.
-MOST_TOKENS = 400
+#: Longer stretches of digits and signs (tables, dumps) are decoded whole too, apart from the short ones.
+LONG_TOKENS = 400
+#: Bounds of a decoded batch: stretches, and tokens of long stretches with their padding.
+MOST_STRETCHES, MOST_PADDED = 2000, 200_000
 # Words that stand before or inside personal data.
 WORDS = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "dial", "ring", "number", "cell"),
@@ -130,10 +132,10 @@ def _shape(token: str) -> int:
 def _features(text: str, tokens: list[tuple[int, int]]) -> np.ndarray:
     shapes = np.array([_shape(text[a:b]) for a, b in tokens])
     spaced = np.array([a == 0 or text[a - 1].isspace() for a, _ in tokens])
-    both = np.full(len(tokens) + 4, 2 * _SHAPE["edge"])
+    both = np.full(len(tokens) + 4, 2 * _SHAPE["edge"], np.int32)
     both[2:-2] = 2 * shapes + spaced
     columns = [both[2 + k : 2 + k + len(tokens)] + (k + 2) * 2 * len(SHAPES) for k in _AROUND]
-    return np.stack([*columns, np.full(len(tokens), N_FEATURES - 1)], axis=1).astype(np.int32)
+    return np.stack([*columns, np.full(len(tokens), N_FEATURES - 1, np.int32)], axis=1)
 
 
 def _forbidden() -> np.ndarray:
@@ -179,7 +181,7 @@ def train(examples: Iterable[tuple[str, list[Span]]]) -> crf.Model:
 
 
 def _segments(text: str) -> Iterable[list[tuple[int, int]]]:
-    """Tokens of the stretches around triggers, in parts of bounded length."""
+    """Tokens of the stretches around triggers, each stretch whole."""
     start = end = -1
     stretches = []
     for m in _TRIGGER.finditer(text):
@@ -194,9 +196,7 @@ def _segments(text: str) -> Iterable[list[tuple[int, int]]]:
     for a, b in stretches:
         while a > 0 and not text[a - 1].isspace() and a > 0 and b - a < 4 * NEAR:
             a -= 1
-        tokens = [m.span() for m in _TOKEN.finditer(text, a, min(b, len(text)))]
-        for i in range(0, len(tokens), MOST_TOKENS):
-            yield tokens[i : i + MOST_TOKENS]
+        yield [m.span() for m in _TOKEN.finditer(text, a, min(b, len(text)))]
 
 
 def _holds(kind: str, found: str) -> bool:
@@ -216,9 +216,10 @@ def _holds(kind: str, found: str) -> bool:
 def field_spans(texts: list[str], model: crf.Model) -> list[list[Span]]:
     """The field's spans in each text, decoded in batches."""
     found: list[list[Span]] = [[] for _ in texts]
-    waiting: list[tuple[int, list[tuple[int, int]], np.ndarray]] = []
+    short: list[tuple[int, list[tuple[int, int]], np.ndarray]] = []
+    long: list[tuple[int, list[tuple[int, int]], np.ndarray]] = []
 
-    def flush() -> None:
+    def flush(waiting: list[tuple[int, list[tuple[int, int]], np.ndarray]]) -> None:
         for (row, tokens, _), labels in zip(waiting, crf.decode(model, [w[2] for w in waiting]), strict=True):
             if not labels.any():
                 continue
@@ -236,14 +237,23 @@ def field_spans(texts: list[str], model: crf.Model) -> list[list[Span]]:
                 i = j
         waiting.clear()
 
+    most = 0
     for row, text in enumerate(texts):
         for tokens in _segments(text) if text else ():
-            if tokens:
-                waiting.append((row, tokens, _features(text, tokens)))
-            if len(waiting) >= 2000:
-                flush()
-    flush()
-    return found
+            if len(tokens) > LONG_TOKENS:
+                most = max(len(tokens), most)
+                if (len(long) + 1) * most > MOST_PADDED:
+                    flush(long)
+                    most = len(tokens)
+                long.append((row, tokens, _features(text, tokens)))
+            elif tokens:
+                short.append((row, tokens, _features(text, tokens)))
+            if len(short) >= MOST_STRETCHES:
+                flush(short)
+    flush(short)
+    flush(long)
+    # Long stretches come later than short ones of the same text.
+    return [sorted(spans, key=lambda s: s[1]) for spans in found]
 
 
 def all_spans(texts: list[str | None], model: crf.Model) -> list[tuple[list[Span], list[Span]]]:

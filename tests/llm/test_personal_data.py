@@ -51,6 +51,27 @@ def test_the_field_learns_its_table_and_related_forms(model):
     assert [new[a:b] for _, a, b in pii.field_spans([new], model)[0]] == ["312-555-0175", "dora (at) post (dot) example (dot) com"]
 
 
+def test_long_stretches_are_read_whole(spark, model):
+    """A number at each place of a table much longer than 400 tokens, among texts with short stretches."""
+    phone = "call 415-555-0133 now, "
+    texts = ["row 1 of 2, " * shift + phone * 300 for shift in range(8)] + [phone]
+    wanted = [[("phone", m.start(), m.end()) for m in re.finditer("415-555-0133", t)] for t in texts]
+    assert pii.field_spans(texts, model) == wanted
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.mask(docs, model).collect():
+        assert r.text == texts[r.doc_id].replace("415-555-0133", "[PHONE]")
+
+
+def test_decoding_in_steps_of_any_size(monkeypatch, model):
+    rng = np.random.default_rng(16)
+    sequences = [rng.integers(0, pii.N_FEATURES, (n, 6)).astype(np.int32) for n in (1, 64, 65, 130, 700)]
+    whole = []
+    for steps in (1, 7, 64, 1000):
+        monkeypatch.setattr(crf, "STEPS", steps)
+        whole.append([x.tolist() for x in crf.decode(model, sequences)])
+    assert all(w == whole[0] for w in whole)
+
+
 def test_held_out_examples():
     """Trained on three quarters of the table, the field finds most of the rest and marks little else (a wrong border counts)."""
     parsed = [pii.parse_example(x) for x in EXAMPLES]
