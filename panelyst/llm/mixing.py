@@ -16,6 +16,7 @@ from bisect import bisect_left
 from functools import reduce
 from math import gcd
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -152,3 +153,17 @@ def mixed(docs: DataFrame, weights: dict[str | None, int], *, default: int = 1,
     placed, block, slot, position = _scheduled(docs, weights, default, block_rows)
     fixed = written(placed.drop(block, slot))
     return fixed.repartitionByRange(position).sortWithinPartitions(position).drop(position)
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """The rows of a Parquet table in the order in which its partitions were written, whatever order its files are read in.
+
+    Partitions are ranges of that order, sorted inside. Rows that come from no Parquet file stay as they are.
+    """
+    part, name, row = (temporary(n) for n in ("part", "name", "row"))
+    try:
+        placed = docs.withColumns({name: F.col("_metadata.file_name"), row: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return docs
+    placed = placed.withColumn(part, F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"))
+    return placed.repartitionByRange(part, name, row).sortWithinPartitions(part, name, row).drop(part, name, row)

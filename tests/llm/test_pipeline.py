@@ -2,7 +2,7 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
-from panelyst.llm import pii
+from panelyst.llm import mixing, pii
 from panelyst.llm.catalogue import TARGET, byte_encoder, pii_model, quality_model
 from panelyst.llm.quality import _scorer
 
@@ -45,6 +45,23 @@ def test_stages_one_by_one(spark, tmp_path):
     assert dict(got) == want
 
 
+def test_packing_follows_the_written_order(spark, tmp_path):
+    """Later files are larger, so that Spark reads them first."""
+    rows = [(i, "word " * (20 + 20 * i)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id").write.option("compression", "none").parquet(path := f"{tmp_path}/t")
+    back = spark.read.parquet(path)
+    assert [r.doc_id for r in back.collect()] != [i for i, _ in rows]
+    assert [r.doc_id for r in mixing.in_written_order(back).collect()] == [i for i, _ in rows]
+    ends = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for r in corpus_pipeline.packing_stage(spark, back, SF).where("sequence_id < 1L << 62").collect():
+        ends.setdefault(r.sequence_id >> 40, []).append(r.doc_id)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = [ends[p] for p in sorted(ends)]
+    assert len(parts) > 1 and all(max(a) < min(b) for a, b in zip(parts, parts[1:], strict=False))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     for rows in (odd_docs, no_docs):
         docs = rows
