@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelyst.llm import crf, fingerprints, langid, mixing, neardup, packing, pii, quality, repetition, tokens, urls
+from panelyst.llm import crf, fingerprints, langid, merkle, mixing, neardup, packing, pii, quality, repetition, tokens, urls
 from panelyst.llm.pii_examples import EXAMPLES
 
 
@@ -119,6 +119,75 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+#: What a document's leaf holds, in this order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; every third one is checked with an altered text."""
+    docs = table(spark, sf_dir, "documents").select(*LEAF)
+    other = F.when(fold("doc_id", 3) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    claim = F.sha2(merkle.record(*LEAF[:-1], other), 256)
+    made = merkle.manifest(docs, F.sha2(merkle.record(*LEAF), 256), "lang", "doc_id", {"claim": claim})
+    root = F.lit(made.root).cast("string")
+    return merkle.proofs(made).select(
+        "doc_id", "leaf", "subroot", root.alias("root"), merkle.proof_digest().alias("proof_sha256"),
+        merkle.folded("claim").alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in (*LEAF[:-1], text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_CRC_STEP = "xor(a >> 1, 3988292384 * (a & 1))"
+_RUNS_SQL = """
+    SELECT {key}, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM {table} WHERE n > 1
+    GROUP BY {key}, level, i // 8, n
+"""
+
+OP11_SQL = f"""
+WITH RECURSIVE docs AS (
+    SELECT *, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+        lambda c, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda a, k: {_CRC_STEP}, xor(c, b)), CAST(4294967295 AS BIGINT)) AS c
+    FROM documents),
+leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf_sql("text")} AS leaf,
+        {_leaf_sql(f"CASE WHEN xor(c, 4294967295) % 3 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END")} AS claim
+    FROM docs),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n
+    FROM leaves),
+nodes(tree, level, i, n, h) AS (
+    SELECT tree, 0, i, n, leaf FROM placed UNION ALL {_RUNS_SQL.format(key="tree", table="nodes")}),
+subroots AS (
+    SELECT tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+over_nodes(one, level, i, n, h) AS (
+    SELECT 1, 0, i, n, h FROM subroots UNION ALL {_RUNS_SQL.format(key="one", table="over_nodes")}),
+up(doc_id, tree, level, leaf_at, n, i, proof, folded) AS (
+    SELECT doc_id, tree, 0, i, n, i, '', claim FROM placed
+    UNION ALL
+    SELECT u.doc_id, u.tree, u.level + 1, u.leaf_at, (u.n + 7) // 8, u.i // 8,
+        any_value(u.proof) || coalesce(string_agg(CASE WHEN x.i <> u.i THEN x.h END, '' ORDER BY x.i), ''),
+        sha256(string_agg(CASE WHEN x.i = u.i THEN u.folded ELSE x.h END, '' ORDER BY x.i))
+    FROM up u JOIN nodes x ON x.tree = u.tree AND x.level = u.level AND x.i // 8 = u.i // 8
+    WHERE u.n > 1 GROUP BY u.doc_id, u.tree, u.level, u.leaf_at, u.n, u.i),
+top(doc_id, tree, leaf_at, level, n, i, proof, folded) AS (
+    SELECT u.doc_id, u.tree, u.leaf_at, 0, s.n, s.i, u.proof, u.folded FROM up u JOIN subroots s USING (tree) WHERE u.n = 1
+    UNION ALL
+    SELECT u.doc_id, u.tree, u.leaf_at, u.level + 1, (u.n + 7) // 8, u.i // 8,
+        any_value(u.proof) || coalesce(string_agg(CASE WHEN x.i <> u.i THEN x.h END, '' ORDER BY x.i), ''),
+        sha256(string_agg(CASE WHEN x.i = u.i THEN u.folded ELSE x.h END, '' ORDER BY x.i))
+    FROM top u JOIN over_nodes x ON x.level = u.level AND x.i // 8 = u.i // 8
+    WHERE u.n > 1 GROUP BY u.doc_id, u.tree, u.leaf_at, u.level, u.n, u.i)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(t.proof) AS proof_sha256, t.folded AS folded_root, t.folded = r.h AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN top t ON t.tree = p.tree AND t.leaf_at = p.i AND t.n = 1
+CROSS JOIN (SELECT h FROM over_nodes WHERE n = 1) r
+"""
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_token_counts": (op2_token_counts, None),
@@ -130,4 +199,5 @@ QUERIES = {
     "op8_repetition": (op8_repetition, None),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_quality": (op10_quality, None),
+    "op11_merkle": (op11_merkle, OP11_SQL),
 }
