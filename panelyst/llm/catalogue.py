@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelyst.llm import crf, fingerprints, langid, merkle, mixing, neardup, packing, pii, quality, repetition, tokens, urls
+from panelyst.llm import alignment, crf, fingerprints, langid, merkle, mixing, neardup, packing, pii, quality, repetition, tokens, urls
 from panelyst.llm.pii_examples import EXAMPLES
 
 
@@ -188,6 +188,21 @@ CROSS JOIN (SELECT h FROM over_nodes WHERE n = 1) r
 """
 
 
+def aligner() -> alignment.Aligner:
+    """The two vocabularies of the alignment query, read on the executors."""
+    path = public_tokenizers.path
+    first = alignment.byte_level(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+    return alignment.Aligner(first, alignment.piece_level(path("piece_bpe_32k.model")))
+
+
+#: Ids of the second vocabulary.
+PIECES = 32_000
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), aligner, PIECES)
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_token_counts": (op2_token_counts, None),
@@ -200,4 +215,5 @@ QUERIES = {
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_quality": (op10_quality, None),
     "op11_merkle": (op11_merkle, OP11_SQL),
+    "op12_alignment": (op12_alignment, None),
 }

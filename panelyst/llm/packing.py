@@ -38,8 +38,12 @@ _TWO_SPACES = re.compile(r"\s\s")
 _LONG_WORD = re.compile(r"\S{2000}")
 
 
-def byte_encoder(json_path: str, ranks_path: str | None = None, end_id: int = 0) -> Callable[[str | None], np.ndarray]:
-    """Ids of a text as the tokenizers library gives them for ``json_path``, followed by ``end_id``.
+def byte_encoder(
+    json_path: str, ranks_path: str | None = None, end_id: int | None = 0, special: bool = True
+) -> Callable[[str | None], np.ndarray]:
+    """Ids of a text as the tokenizers library gives them for ``json_path``, followed by ``end_id`` unless that is None.
+
+    With ``special`` false, the strings of special tokens in a text are ordinary text.
 
     ``ranks_path`` names the same vocabulary as merge ranks: a several times faster encoder with equal ids then takes
     every text but those with very long words, where its time would grow with the square of the word.
@@ -52,6 +56,7 @@ def byte_encoder(json_path: str, ranks_path: str | None = None, end_id: int = 0)
     slow = Tokenizer.from_file(json_path)
     slow.no_truncation()
     slow.no_padding()
+    slow.encode_special_tokens = not special
     exact = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     if ranks_path:
         import public_tokenizers
@@ -59,12 +64,12 @@ def byte_encoder(json_path: str, ranks_path: str | None = None, end_id: int = 0)
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
+        added = {t.content: i for i, t in slow.get_added_tokens_decoder().items()} if special else {}
         # Without two spaces in a row the look-ahead never matters, and without it the pattern runs much faster.
         ahead = r"|\s+(?!\S)"
         assert ahead in public_tokenizers.PATTERN
         plain, full = (
-            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
             for name, pattern in (
                 ("plain", public_tokenizers.PATTERN.replace(ahead, "")), ("full", public_tokenizers.PATTERN),
             )
@@ -72,12 +77,12 @@ def byte_encoder(json_path: str, ranks_path: str | None = None, end_id: int = 0)
 
     def encode(text: str | None) -> np.ndarray:
         if not text:
-            return np.array([end_id], np.uint32)
+            return np.array([] if end_id is None else [end_id], "<u4")
         if not ranks_path or _LONG_WORD.search(text):
             ids = exact(text)
         else:
             ids = (full if _TWO_SPACES.search(text) else plain).encode_to_numpy(text, allowed_special="all")
-        return np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
+        return (ids if end_id is None else np.append(ids, np.uint32(end_id))).astype("<u4", copy=False)
 
     return encode
 
