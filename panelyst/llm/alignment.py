@@ -13,6 +13,8 @@ totals go back to the batches that hold them, as one small table for each batch
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -24,9 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelyst.llm.batches import by_bytes
 from panelyst.llm.packing import byte_encoder
-from panelyst.llm.tokens import SPACE, parts
+from panelyst.llm.tokens import SPACE
 from panelyst.session import written
 
+#: A space with something else on both sides.
+_SINGLE = re.compile(rf"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
 #: Ends that gallop from one common place.
 STRIDE = 16
 #: Text bytes whose pairs are counted together.
@@ -35,10 +39,11 @@ CHUNK_BYTES = 8 << 20
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """``encode``: the ids of a text; ``pieces``: the bytes of every id."""
+    """``encode``: the ids of a text; ``pieces``: the bytes of every id; ``lossless``: they always give the text's bytes."""
 
     encode: Callable[[str], np.ndarray]
     pieces: list[bytes]
+    lossless: bool
 
 
 def byte_level(json_path: str, ranks_path: str | None = None) -> Tokenizer:
@@ -53,11 +58,31 @@ def byte_level(json_path: str, ranks_path: str | None = None) -> Tokenizer:
     for text, at in vocabulary.items():
         pieces[at] = bytes(of[c] for c in text) if all(c in of for c in text) else text.encode()
     one = byte_encoder(json_path, ranks_path, None, special=False)
-    return Tokenizer(lambda text: one(f" {text}"), pieces)
+    with open(json_path) as file:
+        rewritten = json.load(file)["normalizer"]
+    return Tokenizer(lambda text: one(f" {text}"), pieces, rewritten is None and all(bytes([b]) in pieces for b in of.values()))
 
 
-def piece_level(path: str, part_chars: int = 1 << 16) -> Tokenizer:
-    """A sentencepiece vocabulary that puts a space before each text itself; long texts are encoded in safe parts."""
+class _Words(dict):
+    """Ids of words, as bytes, each encoded once; a bounded number of them is held."""
+
+    def __init__(self, encode: Callable[[str], list[int]], most: int):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = np.array(self.encode(word), "<u4").tobytes()
+        return found
+
+
+def piece_level(path: str, most_words: int = 1 << 18) -> Tokenizer:
+    """A sentencepiece vocabulary that puts a space before each text itself.
+
+    Where white space only begins pieces and characters are not rewritten, no merge crosses a single space: the words
+    between such spaces are encoded one by one, each getting back its space, and words that repeat only once.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -66,15 +91,22 @@ def piece_level(path: str, part_chars: int = 1 << 16) -> Tokenizer:
         bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(SPACE, " ").encode()
         for i in range(count)
     ]
-    # A text may be cut at a space where that only begins pieces, and where the next part gets it back.
     plain = (model.id_to_piece(i) for i in range(count) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
     cut = all(SPACE not in p.lstrip(SPACE) for p in plain) and model.encode("a", out_type=str)[:1] == model.encode("b a", out_type=str)[-1:]
+    every = "".join(map(chr, [*range(0x21, 0xD800), *range(0xE000, 0x110000)]))
+    cut = cut and model.normalize(every) == SPACE + every
+    words = _Words(model.encode, most_words)
 
     def encode(text: str) -> np.ndarray:
-        found = model.encode(parts(text, part_chars) if cut else [text], num_threads=1)
-        return np.concatenate([np.array(ids, "<u4") for ids in found])
+        if not cut:
+            return np.array(model.encode(text), "<u4")
+        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+            found = _SINGLE.split(text)
+        else:
+            found = text.split(" ")
+        return np.frombuffer(b"".join(map(words.__getitem__, found)), "<u4")
 
-    return Tokenizer(encode, pieces)
+    return Tokenizer(encode, pieces, False)
 
 
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -153,8 +185,8 @@ class Aligner:
             return None
         whole = f" {text}".encode()
         ids = [t.encode(text) for t in self.both]
-        given = (b"".join(map(t.pieces.__getitem__, own.tolist())) for t, own in zip(self.both, ids, strict=True))
-        return ids if all(g == whole for g in given) else None
+        same = lambda t, own: t.lossless or b"".join(map(t.pieces.__getitem__, own.tolist())) == whole
+        return ids if all(map(same, self.both, ids)) else None
 
     def groups(self, ids: list[np.ndarray], cut: list[np.ndarray]) -> str:
         """The groups as ``a1,a2|b1;a3|b2,b3``, from the indices of their last tokens."""

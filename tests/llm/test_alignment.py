@@ -100,10 +100,17 @@ def test_against_plain_loops(spark, odd_docs, chunk_bytes):
     assert any(r.n_a == 0 for r in got if r.doc_id == 100) and {r.n_b for r in got if r.doc_id == 106} != {0}
 
 
-def test_long_texts_are_cut_safely(odd_docs):
-    whole, cut = (alignment.piece_level(public_tokenizers.path("piece_bpe_32k.model"), n) for n in (1 << 30, 50))
-    for r in odd_docs.where("length(text) > 0").collect():
-        assert whole.encode(r.text).tolist() == cut.encode(r.text).tolist()
+def test_words_give_the_ids_of_whole_texts(odd_docs):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), alignment.piece_level(path, most_words=3)
+    rng = np.random.default_rng(4)
+    pool = [*"ab1 .'!é漢\U0001f600　\u0085\n\t\u0000▁", " ", " ", "  ", "the", "▁a", "<s>", "<0x41>", "ﬁ", "A\u030a"]
+    texts = [r.text for r in odd_docs.where("length(text) > 0").collect()]
+    texts += ["".join(rng.choice(pool, rng.integers(1, 40))) for _ in range(4000)]
+    texts = list(filter(None, texts))
+    assert [own.encode(t).tolist() for t in texts] == [library.encode(t) for t in texts]
 
 
 def test_every_row_once_and_none(spark, odd_docs, no_docs):
