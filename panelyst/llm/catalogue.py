@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelyst.llm import alignment, crf, fingerprints, langid, merkle, mixing, neardup, packing, pii, quality, repetition, tokens, urls
+from panelyst.llm import alignment, crf, fingerprints, langid, merkle, mixing, neardup, packing, pii, quality, repetition, tokens, urls, wavelet
 from panelyst.llm.pii_examples import EXAMPLES
+from panelyst.session import table_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -203,6 +204,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(table(spark, sf_dir, "documents"), aligner, PIECES)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written into shards in the shared folder and read back from them."""
+    folder = f"{table_folder(spark)}/shards"
+    wavelet.write_shards(table(spark, sf_dir, "documents"), byte_encoder, folder)
+    return wavelet.read_documents(spark, folder)
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_token_counts": (op2_token_counts, None),
@@ -216,4 +224,5 @@ QUERIES = {
     "op10_quality": (op10_quality, None),
     "op11_merkle": (op11_merkle, OP11_SQL),
     "op12_alignment": (op12_alignment, None),
+    "op13_token_files": (op13_token_files, None),
 }
