@@ -33,8 +33,8 @@ from panelyst.session import written
 _SINGLE = re.compile(rf"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
 #: Ends that gallop from one common place.
 STRIDE = 16
-#: Text bytes whose pairs are counted together.
-CHUNK_BYTES = 8 << 20
+#: Text bytes whose pairs are counted together, and of which the ends gallop together.
+CHUNK_BYTES, GALLOP_BYTES = 8 << 20, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -247,7 +247,7 @@ def _align_partition(batches: Iterator[pa.RecordBatch], make: Callable[[], Align
     aligner = None
     for number, batch in enumerate(by_bytes(batches, "text", chunk_bytes)):
         aligner = aligner or make()
-        made = aligner.batch(batch.column(1).to_pylist())
+        made = [m for part in by_bytes(iter([batch]), "text", GALLOP_BYTES) for m in aligner.batch(part.column(1).to_pylist())]
         codes, places, counts = np.unique(np.concatenate([m[5] for m in made]), return_inverse=True, return_counts=True)
         ends = np.cumsum([len(m[5]) for m in made])
         links = [p.astype("<i4").tobytes() for p in np.split(places, ends[:-1])]
