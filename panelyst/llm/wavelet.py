@@ -38,6 +38,11 @@ BLOCK_BITS = 1 << 16
 WORD_BITS = 64
 
 
+def _kind(bits: int) -> type:
+    """The smallest type that holds ids of so many bits."""
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 class WaveletMatrix:
     """Ids with access, rank and select. ``planes``: for each bit, highest first, its packed words."""
 
@@ -46,11 +51,15 @@ class WaveletMatrix:
 
     @staticmethod
     def build(ids: np.ndarray) -> "WaveletMatrix":
-        row, planes = np.asarray(ids, np.uint32), []
-        for bit in range(max(1, int(row.max(initial=0)).bit_length()) - 1, -1, -1):
-            ones = (row >> np.uint32(bit)) & np.uint32(1) != 0
+        top, planes = max(1, int(ids.max(initial=0)).bit_length()), []
+        row = ids.astype(_kind(top))
+        for bit in range(top - 1, -1, -1):
+            ones = row & row.dtype.type(1 << bit) != 0
             planes.append(Plane.pack(ones))
-            row = np.concatenate([row[~ones], row[ones]])
+            zeros, dealt = planes[-1].zeros, np.empty_like(row)
+            np.compress(~ones, row, out=dealt[:zeros])
+            np.compress(ones, row, out=dealt[zeros:])
+            row = dealt
         return WaveletMatrix(len(row), planes)
 
     def _steps(self):
@@ -89,12 +98,12 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids: the planes' dealing undone, last plane first."""
-        row = np.zeros(self.n, np.uint32)
+        row = np.zeros(self.n, _kind(len(self.planes)))
         for bit, plane in reversed(list(self._steps())):
-            ones, back = plane.bits(), np.empty(self.n, np.uint32)
-            back[~ones], back[ones] = row[: plane.zeros], row[plane.zeros :] | np.uint32(1 << bit)
+            ones, back = plane.bits(), np.empty_like(row)
+            back[~ones], back[ones] = row[: plane.zeros], row[plane.zeros :] | row.dtype.type(1 << bit)
             row = back
-        return row
+        return row.astype(np.uint32)
 
 
 class Plane:
