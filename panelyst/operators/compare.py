@@ -7,6 +7,7 @@ frames over all eligible entities, one per distinct plan rather than per request
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -17,6 +18,7 @@ from panelyst.functions.years import after_start, closed, half_open
 from panelyst.operators import bases as B
 from panelyst.operators.entities import parse_specs, resolve_specs, spec_members
 from panelyst.operators.ordered import EXACT, join_small, rank_rows
+from panelyst.operators.placing import place
 from panelyst.registry import (
     BASES, ENTITY_KINDS, LEG_BASES, METRICS, OPERATIONS, TRADE_METRICS, can_compare, gate_operation, rank_rule,
 )
@@ -238,13 +240,14 @@ def _evaluate(rows: DataFrame) -> DataFrame:
     after = F.transform("later", lambda y: F.try_element_at("values", y))
     rows = rows.select("*", at.alias("_xs"), after.alias("_later"))
     zero = F.lit(0.0)
+    cumulative = F.col("statistic") == "MOVEMENT_CUMULATIVE_INFLATION"
     rows = rows.select(
         "*",
         F.get("_xs", F.lit(0)).alias("_first"),
         F.try_element_at("_xs", F.lit(-1)).alias("_last"),
-        F.reduce("_xs", zero, lambda acc, v: acc + v).alias("_total"),
+        F.when(F.col("statistic").contains("PERIOD") | cumulative, F.reduce("_xs", zero, lambda acc, v: acc + v)).alias("_total"),
         F.reduce("_later", zero, lambda acc, v: acc + v).alias("_later_total"),
-        F.reduce("_xs", F.lit(1.0), lambda acc, v: acc * (1 + v / 100)).alias("_product"),
+        F.when(cumulative, F.reduce("_xs", F.lit(1.0), lambda acc, v: acc * (1 + v / 100))).alias("_product"),
     )
     first, last, total = F.col("_first"), F.col("_last"), F.col("_total")
     span = F.col("end") - F.col("start")
@@ -269,8 +272,13 @@ def _evaluate(rows: DataFrame) -> DataFrame:
     return T.with_outcome(rows, T.choose("statistic", by_statistic)).select(*kept, "value", "reason")
 
 
-def rank_frames(eligible: DataFrame, plans: dict[tuple, Plan], *, rows_bound: int | None) -> DataFrame:
-    """Rank of every eligible entity in every ranked plan interval: (frame, interval, entity, rank, n)."""
+def rank_frames(eligible: DataFrame, plans: dict[tuple, Plan], participants: DataFrame, *, few_bound: int,
+                group_bound: int, rows_bound: int | None) -> DataFrame | None:
+    """Rank of the participants (frame, entity) among all eligible entities, in every ranked plan interval.
+
+    Columns: frame, interval, entity, rank, n. Everyone's statistic is needed to count who stands before them, but
+    nothing is ordered. ``few_bound`` bounds the participants, ``group_bound`` those of one frame.
+    """
     ranked = {}
     for (metric, operation, mode, years), plan in plans.items():
         kind = OPERATIONS[operation].kind
@@ -284,9 +292,6 @@ def rank_frames(eligible: DataFrame, plans: dict[tuple, Plan], *, rows_bound: in
     metrics = sorted({key[0] for key in ranked})
     years = sorted({y for plan, _ in ranked.values() for y in plan.required})
     rows = eligible.where(F.col("metric").isin(metrics) & F.col("year").isin(years) & T.finite(F.col("value")))
-    series = rows.groupBy("metric", "entity").agg(
-        F.map_from_entries(F.collect_list(F.struct("year", "value"))).alias("values")
-    )
     layout = plan_rows(
         [
             {
@@ -298,15 +303,25 @@ def rank_frames(eligible: DataFrame, plans: dict[tuple, Plan], *, rows_bound: in
         "frame string; of string; mode string; rule string; sign double; required array<int>;"
         f"cells array<struct<{struct_fields(_CELL)}>>",
     )
-    laid = series.select("*", F.explode(layout).alias("f")).where(F.col("f.of") == F.col("metric"))
-    complete = F.forall("f.required", lambda y: F.try_element_at("values", y).isNotNull())
-    laid = laid.where((F.col("f.mode") != "like_for_like") | complete)
-    laid = laid.select(
-        "metric", "entity", "values", "f.frame", "f.rule", "f.sign", F.explode("f.cells").alias("c")
-    ).select("metric", "entity", "values", "frame", "rule", "sign", "c.*")
-    done = _evaluate(laid).where(F.col("reason").isNull()).withColumn("_signed", F.col("value") * F.col("sign"))
-    out = rank_rows(done, ["frame", "interval"], "_signed", rank="_ordinal", competition="_tied", total="n",
-                    rows_bound=rows_bound)
+
+    def evaluated(rows: DataFrame) -> DataFrame:
+        series = rows.groupBy("metric", "entity").agg(
+            F.map_from_entries(F.collect_list(F.struct("year", "value"))).alias("values")
+        )
+        laid = series.select("*", F.explode(layout).alias("f")).where(F.col("f.of") == F.col("metric"))
+        complete = F.forall("f.required", lambda y: F.try_element_at("values", y).isNotNull())
+        laid = laid.where((F.col("f.mode") != "like_for_like") | complete)
+        laid = laid.select(
+            "metric", "entity", "values", "f.frame", "f.rule", "f.sign", F.explode("f.cells").alias("c")
+        ).select("metric", "entity", "values", "frame", "rule", "sign", "c.*")
+        done = _evaluate(laid).where(F.col("reason").isNull())
+        return done.select("frame", "interval", "entity", "rule", (F.col("value") * F.col("sign")).alias("_signed"))
+
+    mine = join_small(rows, participants.select("entity").distinct(), ["entity"], few_bound, "left_semi")
+    few = join_small(evaluated(mine), participants.distinct(), ["frame", "entity"], few_bound, "left_semi")
+    most = max(len(plan.intervals) for plan, _ in ranked.values())
+    out = place(evaluated(rows), few, ["frame", "interval"], "_signed", few_bound=few_bound * most,
+                group_bound=group_bound, rank="_ordinal", competition="_tied", rows_bound=rows_bound)
     rank = F.when(F.col("rule") == "ordinal", F.col("_ordinal")).otherwise(F.col("_tied"))
     return out.select("frame", "interval", "entity", rank.alias("rank"), "n")
 
@@ -358,17 +373,18 @@ def compare(obs: DataFrame, dim: DataFrame, requests: list[Request], *, rows_bou
     done = done.withColumn("reason", F.when(touched & ~level, PARTIAL).otherwise(F.col("reason")))
     done = done.withColumn("value", F.when(touched & ~level, F.lit(None)).otherwise(F.col("value")))
 
+    frame_of = {r.key: frame_key(r.metric, r.operation, r.mode, (r.year_a, r.year_b, r.year_c)) for r in usable}
+    named = text_map(frame_of)
+    single = members.where(F.col("kind") == "COUNTRY").select(
+        "request", "slot", named[F.col("request")].alias("frame"), F.col("member").alias("entity")
+    ).where(F.col("frame").isNotNull())
     frames = rank_frames(
         obs.join(dim.where(~F.col("is_aggregate")).select("entity"), "entity", "left_semi"),
         {(r.metric, r.operation, r.mode, (r.year_a, r.year_b, r.year_c)): plans[r.key] for r in usable},
+        single.select("frame", "entity"), few_bound=bound, group_bound=2 * max(Counter(frame_of.values()).values()),
         rows_bound=rows_bound,
     )
     if frames is not None:
-        keys = {r.key: frame_key(r.metric, r.operation, r.mode, (r.year_a, r.year_b, r.year_c)) for r in usable}
-        named = text_map(keys)
-        single = members.where(F.col("kind") == "COUNTRY").select(
-            "request", "slot", named[F.col("request")].alias("frame"), F.col("member").alias("entity")
-        )
         placed = join_small(frames, single, ["frame", "entity"], bound, "inner").select(
             "request", "slot", "interval", "rank", "n"
         )

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelyst.functions.plan import plan_rows
 from panelyst.operators.classify import removed_by_universe_rule
-from panelyst.operators.rank import denominators, level_rank
-from panelyst.operators.yoy import yoy_coverage, yoy_rank, yoy_rows
+from panelyst.operators.rank import denominators, locate
+from panelyst.operators.yoy import yoy_coverage, yoy_locate, yoy_rows
 from panelyst.session import cut_lineage
 
 
@@ -25,7 +25,7 @@ def eligible_count(dim: DataFrame) -> DataFrame:
 def coverage_panel(obs: DataFrame, dim: DataFrame, focus: str, rows_bound: int | None = None) -> DataFrame:
     """Eligible, valid and missing entities of every metric-year, with the focus rank."""
     counts = denominators(obs)
-    places = level_rank(obs, rows_bound).where(F.col("entity") == focus).select("metric", "year", "rank")
+    places = locate(obs, [focus], rows_bound).select("metric", "year", "rank")
     # The universe size is one row.
     panel = counts.crossJoin(F.broadcast(eligible_count(dim)))
     return panel.join(places, ["metric", "year"], "left").select(
@@ -39,9 +39,7 @@ def yoy_coverage_panel(obs: DataFrame, dim: DataFrame, focus: str, rows_bound: i
     mine = yoy_rows(obs.where(F.col("entity") == focus)).select(
         "metric", "year", F.col("yoy").alias("focus_yoy"), F.col("reason").alias("focus_reason")
     )
-    places = yoy_rank(obs, rows_bound).where(F.col("entity") == focus).select(
-        "metric", "year", F.col("rank").alias("focus_rank")
-    )
+    places = yoy_locate(obs, [focus], rows_bound).select("metric", "year", F.col("rank").alias("focus_rank"))
     out = counts.join(mine, ["metric", "year"], "left").join(places, ["metric", "year"], "left")
     return out.select(
         "metric", "year", F.col("_eligible").alias("eligible"), "current_valid", "previous_valid", "valid_pairs",

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelyst.functions.text import normalize_code, search_match
 from panelyst.functions.transforms import finite
 from panelyst.operators.ordered import group_bound, group_facts, rank_rows
+from panelyst.operators.placing import place
 from panelyst.registry import METRICS
 
 GROUP = ["metric", "year"]
@@ -25,13 +26,14 @@ def direction_sign(metric: Column) -> Column:
     return F.when(metric.isin(neutral), F.lit(None)).when(metric.isin(low), -chain).otherwise(chain)
 
 
+def _signed(obs: DataFrame) -> DataFrame:
+    """Rankable rows of ranked metrics with the value that ranks them, high first."""
+    return rankable(obs).withColumn("_key", F.col("value") * direction_sign(F.col("metric"))).where(F.col("_key").isNotNull())
+
+
 def level_rank(obs: DataFrame, rows_bound: int | None = None, competition: str | None = None) -> DataFrame:
     """Ordinal rank of every metric-year in its registry direction; neutral metrics are refused."""
-    signed = rankable(obs).withColumn("_key", F.col("value") * direction_sign(F.col("metric")))
-    ranked = rank_rows(
-        signed.where(F.col("_key").isNotNull()), GROUP, "_key", rows_bound=rows_bound, competition=competition
-    )
-    return ranked.drop("_key")
+    return rank_rows(_signed(obs), GROUP, "_key", rows_bound=rows_bound, competition=competition).drop("_key")
 
 
 def refused_metrics(obs: DataFrame) -> DataFrame:
@@ -40,8 +42,11 @@ def refused_metrics(obs: DataFrame) -> DataFrame:
     return neutral.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows")).withColumn("reason", F.lit("RANK_UNSUPPORTED"))
 
 
-def locate(ranked: DataFrame, code: str) -> DataFrame:
-    return ranked.where(F.col("entity") == code)
+def locate(obs: DataFrame, codes: list[str], rows_bound: int | None = None) -> DataFrame:
+    """What ``level_rank`` says of a few entities, by counting who stands before them."""
+    signed = _signed(obs)
+    return place(signed, signed.where(F.col("entity").isin(codes)), GROUP, "_key", group_bound=len(codes),
+                 rows_bound=rows_bound).drop("_key")
 
 
 def neighbours(ranked: DataFrame, focus: str, count: int, rows_bound: int | None = None) -> DataFrame:

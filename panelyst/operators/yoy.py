@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelyst.functions.transforms import yoy, yoy_from_map
 from panelyst.operators.ordered import rank_rows
+from panelyst.operators.placing import place
 from panelyst.operators.rank import denominators
 from panelyst.registry import METRICS
 
@@ -22,6 +23,13 @@ def yoy_rows(obs: DataFrame) -> DataFrame:
     return with_previous(obs).select("*", out.value.alias("yoy"), out.reason.alias("reason"))
 
 
+def yoy_locate(obs: DataFrame, codes: list[str], rows_bound: int | None = None) -> DataFrame:
+    """What ``yoy_rank`` says of a few entities, by counting who stands before them."""
+    valid = yoy_rows(obs).where(F.col("reason").isNull())
+    few = yoy_rows(obs.where(F.col("entity").isin(codes))).where(F.col("reason").isNull())
+    return place(valid, few, ["metric", "year"], "yoy", group_bound=len(codes), rows_bound=rows_bound)
+
+
 def yoy_rank(obs: DataFrame, rows_bound: int | None = None) -> DataFrame:
     """Ordinal rank over valid pairs only; the count of pairs is its own denominator."""
     valid = yoy_rows(obs).where(F.col("reason").isNull())
@@ -68,16 +76,19 @@ def yoy_coverage(obs: DataFrame, eligible_count: DataFrame | None = None) -> Dat
     return per_year.join(previous, ["metric", "year"], "left").fillna(0, ["previous_valid"])
 
 
-def focus_yearly(obs: DataFrame, ranked: DataFrame, focus: str, first: int, last: int,
+def focus_yearly(obs: DataFrame, places: DataFrame, focus: str, first: int, last: int,
                  universe: int | None = None) -> DataFrame:
-    """Value, rank, denominator and growth of one entity for each metric and year, with reasons."""
+    """Value, rank, denominator and growth of one entity for each metric and year, with reasons.
+
+    ``places``: its ranks, as ``rank.locate`` counts them or as rows of a full ranking.
+    """
     totals = denominators(obs)
     years = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year")
     grid = totals.select("metric").distinct().select("metric", years)
     mine = obs.where(F.col("entity") == focus)
     values = mine.select("metric", "year", "value")
     before = mine.select("metric", (F.col("year") + 1).alias("year"), F.col("value").alias("previous"))
-    places = ranked.where(F.col("entity") == focus).select("metric", "year", "rank")
+    places = places.where(F.col("entity") == focus).select("metric", "year", "rank")
     keys = ["metric", "year"]
     cells = grid
     for side in (values, before, places, totals):

@@ -43,8 +43,8 @@ def rank_competition(spark, sf_dir):
 
 
 def rank_locate(spark, sf_dir):
-    _, ranked = _ranked(spark, sf_dir)
-    return shaped(rank.locate(ranked, R.FOCUS), "entity", "metric", "year", "value", "rank", "n")
+    p = customer_panel(spark, sf_dir)
+    return shaped(rank.locate(p.obs, [R.FOCUS], p.rows_bound), "entity", "metric", "year", "value", "rank", "n")
 
 
 def rank_neighbours(spark, sf_dir):
@@ -130,8 +130,8 @@ def yoy_coverage(spark, sf_dir):
 
 def focus_yearly(spark, sf_dir):
     p = part_panel(spark, sf_dir)
-    ranked = rank.level_rank(p.obs, p.rows_bound)
-    return shaped(yoy.focus_yearly(p.obs, ranked, R.FOCUS_PART, 1995, 2002))
+    places = rank.locate(p.obs, [R.FOCUS_PART], p.rows_bound)
+    return shaped(yoy.focus_yearly(p.obs, places, R.FOCUS_PART, 1995, 2002))
 
 
 _DIRECTED = with_(PART, """
