@@ -64,11 +64,11 @@ def interval_rows(obs: DataFrame, requests: list[tuple[int, int | None, int]]) -
 
 
 def growth_movement(obs: DataFrame, requests: list[tuple[int, int | None, int]], *, rows_bound: int,
-                    slice_rows: int | None = None) -> DataFrame:
+                    metrics: int = 20, slice_rows: int | None = None) -> DataFrame:
     """Observed and common growth ranks, outsiders above and below, and peer means, for all focuses.
 
     A request is (a, middle or None, b). Rows without growth keep their reason and carry the peer
-    means of everyone else.
+    means of everyone else. ``metrics`` bounds the metrics present, which with the requests bounds the groups.
     """
     rows = interval_rows(obs, requests)
     valid = F.col("growth_reason").isNull()
@@ -84,7 +84,7 @@ def growth_movement(obs: DataFrame, requests: list[tuple[int, int | None, int]],
             "_sum": F.sum(exact),
             "_sum_common": F.sum(F.when(F.col("common"), exact)),
         },
-        rows_bound=rows_bound,
+        rows_bound=rows_bound, groups_bound=len(set(requests)) * 3 * metrics,
     )
     everyone = prefix_counts(rows, GROUP, "full_rank", {"_common": F.col("common")},
                              rows_bound=rows_bound, slice_rows=slice_rows)

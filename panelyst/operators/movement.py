@@ -265,14 +265,13 @@ def relation_filters(rows: DataFrame, names: list[str], sides: tuple[str, ...] =
 
 
 def status_positions(rows: DataFrame, sides: tuple[str, ...] = SIDES_TWO, *, rows_bound: int | None = None) -> DataFrame:
-    """Each entity's place in the list of its status: by its last rank that it has, then by code."""
-    shown = F.coalesce(*[F.col(f"rank_{s}") for s in reversed(sides)])
-    listed = rows.select("metric", *sides, "status", "entity", shown.cast("double").alias("_shown"))
+    """Each entity's place in the list of its status, which goes by code."""
+    listed = rows.select("metric", *sides, "status", "entity", F.lit(0.0).alias("_same"))
     placed = rank_rows(
-        listed, ["metric", *sides, "status"], "_shown", direction="ASC", rank="position_in_status", total="n_status",
+        listed, ["metric", *sides, "status"], "_same", direction="ASC", rank="position_in_status", total="n_status",
         rows_bound=rows_bound,
     )
-    return placed.drop("_shown")
+    return placed.drop("_same")
 
 
 def summary_rows(rows: DataFrame) -> DataFrame:

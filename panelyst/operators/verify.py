@@ -1,6 +1,7 @@
 """Self-checks of movement results: one row per request and check, failing closed.
 
-Every check recounts or re-ranks from the inputs; none trusts a column it is checking.
+Every check recounts from the inputs; none trusts a column it is checking. Ranks are not made again: those of the
+source are proven by ``certify``, and common ranks are running counts along them.
 """
 
 from __future__ import annotations
@@ -8,23 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelyst.functions.plan import plan_rows
+from panelyst.operators.certificates import certify
 from panelyst.operators.growth import NO_MIDDLE, growth_movement, interval_rows
 from panelyst.operators.movement import SIDES_THREE, SIDES_TWO, three_year, two_year
-from panelyst.operators.ordered import group_facts, rank_rows
+from panelyst.operators.ordered import join_small
 from panelyst.operators.rank import direction_sign
 from panelyst.session import cut_lineage
 
 LABEL = {"a": "A", "m": "MID", "b": "B"}
 
 
-def _reranked(rows: DataFrame, keys: list[str], key: Column, where: Column, out: str, rows_bound: int) -> DataFrame:
-    """Rank the rows that satisfy ``where`` afresh by ``key``, high first; the others come last."""
-    flagged = rows.withColumn("_in", F.coalesce(where, F.lit(False)))
-    flagged = flagged.withColumn("_signed", F.when(F.col("_in"), key))
-    fresh = rank_rows(flagged, keys, "_signed", rank="_fresh_rank", total="_n_in", rows_bound=rows_bound)
-    return fresh.select(*rows.columns, F.when(F.col("_in"), F.col("_fresh_rank")).alias(out))
-
-
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
@@ -68,7 +62,13 @@ def _against_source(movement: DataFrame, ranked: DataFrame, requests: list[tuple
     return cut_lineage(expected.join(rows, keys, "full"))
 
 
-def _recount(rows: DataFrame, sides: tuple[str, ...], rows_bound: int, groups_bound: int) -> DataFrame:
+def _counted(rows: DataFrame, keys: list[str], facts: dict[str, Column], groups_bound: int) -> DataFrame:
+    """Aggregates of each group beside its rows, which are fixed already: partial sums and a join to one small side."""
+    small = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in facts.items()])
+    return join_small(rows, small, keys, groups_bound)
+
+
+def _recount(rows: DataFrame, sides: tuple[str, ...], groups_bound: int) -> DataFrame:
     seen = {s: F.coalesce(F.col(f"_seen_{s}"), F.lit(0)) > 0 for s in sides}
     every = seen[sides[0]]
     for s in sides[1:]:
@@ -78,7 +78,7 @@ def _recount(rows: DataFrame, sides: tuple[str, ...], rows_bound: int, groups_bo
     counts["_n_union"] = F.lit(True)
     keys = ["metric", *sides]
     facts = {n: F.count_if(c) for n, c in counts.items()}
-    return group_facts(rows.withColumn("_every", every), keys, facts, rows_bound=rows_bound, groups_bound=groups_bound)
+    return _counted(rows.withColumn("_every", every), keys, facts, groups_bound)
 
 
 def _checks_of_sides(sides):
@@ -87,7 +87,8 @@ def _checks_of_sides(sides):
     for s in sides:
         name = LABEL[s]
         checks[f"{name}.set_partition"] = _same(F.col(f"n_{s}"), F.col(f"_n_{s}"))
-        checks[f"{name}.ranking_matches_engine_order"] = _same(F.col(f"rank_{s}"), F.col(f"_fresh_{s}")) & _same(
+        seen = F.coalesce(F.col(f"_seen_{s}"), F.lit(0)) > 0
+        checks[f"{name}.ranking_matches_engine_order"] = F.col(f"_ordered_{s}") & (seen == F.col(f"_rank_{s}").isNotNull()) & _same(
             F.col(f"rank_{s}"), F.col(f"_rank_{s}")
         ) & _same(F.col(f"key_{s}"), F.col(f"_key_{s}"))
         checks[f"common-{name}.ranking_matches_engine_order"] = _same(
@@ -110,12 +111,13 @@ def _integers_only(movement: DataFrame, names: list[str]) -> Column:
 
 def _prepared(movement, ranked, requests, sides, key, rows_bound, metrics):
     rows = _against_source(movement, ranked, requests, sides, key)
-    rows = _recount(rows, sides, rows_bound, len(requests) * metrics)
+    rows = _recount(rows, sides, len(requests) * metrics)
     keys = ["metric", *sides]
     for s in sides:
         by = F.col(f"_key_{s}") * direction_sign(F.col("metric"))
-        rows = _reranked(rows, keys, by, F.col(f"_seen_{s}") > 0, f"_fresh_{s}", rows_bound)
-        rows = _reranked(rows, keys, by, F.col("_every"), f"_fresh_common_{s}", rows_bound)
+        rows = certify(rows, keys, f"_rank_{s}", by, f"_ordered_{s}", {f"_upto_{s}": F.col("_every")}, rows_bound=rows_bound)
+        rows = rows.withColumn(f"_fresh_{s}", F.col(f"_rank_{s}"))
+        rows = rows.withColumn(f"_fresh_common_{s}", F.when(F.col("_every"), F.col(f"_upto_{s}")))
     return rows
 
 
@@ -206,8 +208,6 @@ def verify_growth(movement: DataFrame, obs: DataFrame, requests, *, rows_bound:
     rows = source.join(keyed(movement).withColumn("_copies", copies), ids, "full")
     rows = cut_lineage(rows.withColumn("_valid", F.col("_growth").isNotNull()))
     common = F.col("_valid") & F.coalesce("_in_common", F.lit(False))
-    for where, out in ((F.col("_valid"), "_fresh"), (common, "_fresh_common")):
-        rows = _reranked(rows, keys, F.col("_growth"), where, out, rows_bound)
     facts = {
         "_n": F.count_if("_valid"),
         "_n_common": F.count_if(common),
@@ -216,7 +216,9 @@ def verify_growth(movement: DataFrame, obs: DataFrame, requests, *, rows_bound:
         "_n_outside": F.count_if(F.col("_valid") & ~common),
     }
     groups = len(set(requests)) * 3 * metrics
-    rows = group_facts(rows, keys, facts, rows_bound=rows_bound, groups_bound=groups)
+    rows = _counted(rows, keys, facts, groups)
+    rows = certify(rows, keys, "full_rank", F.col("_growth"), "_ordered", {"_upto": common}, rows_bound=rows_bound)
+    rows = rows.withColumn("_fresh_common", F.when(common, F.col("_upto")))
 
     def mean_is_right(total, count, inside, mean, shown):
         peers = F.col(count) - inside.cast("long")
@@ -229,7 +231,7 @@ def verify_growth(movement: DataFrame, obs: DataFrame, requests, *, rows_bound:
         "set_partition": (F.col("_copies") == 1) & _same(F.col("growth"), F.col("_growth")) & _same(F.col("growth_reason"), F.col("_reason")),
         "outside_matches_members": _same(F.col("n_observed") - F.col("n_common"), F.col("_n_outside")),
         "common_subset_of_observed": ~F.coalesce("_in_common", F.lit(False)) | F.col("_valid"),
-        "observed.ranking_matches_engine_order": _same(F.col("full_rank"), F.col("_fresh")),
+        "observed.ranking_matches_engine_order": F.col("_ordered") & (F.col("_valid") == F.col("full_rank").isNotNull()),
         "common.ranking_matches_engine_order": _same(F.col("common_rank"), F.col("_fresh_common")),
         "denominators_equal_population_sizes": _same(F.col("n_observed"), F.col("_n")) & _same(F.col("n_common"), F.col("_n_common")),
         "partial_identity": ~common | (F.col("common_rank") == F.col("full_rank") - F.col("outside_above")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from panelyst.operators import growth, movement as mv, rank, verify, yoy
@@ -71,16 +73,49 @@ def movement_verified(spark, sf_dir):
     return shaped(verify.verified_two_year(ranked, R.PAIRS, rows_bound=p.rows_bound, metrics=METRICS))
 
 
+def movement_three_year_verified(spark, sf_dir):
+    """Three-year movement behind its own checks."""
+    p, ranked = _ranked(spark, sf_dir)
+    return shaped(verify.verified_three_year(ranked, R.TRIPLES, rows_bound=p.rows_bound, metrics=METRICS))
+
+
+def movement_growth_verified(spark, sf_dir):
+    """Growth movement behind its own checks."""
+    p = customer_panel(spark, sf_dir)
+    return shaped(verify.verified_growth(p.obs, GROWTH, rows_bound=p.entities_bound, metrics=METRICS))
+
+
 def verify_tampered(spark, sf_dir):
     """Requests that each check refuses after one entity's results were changed."""
     p, ranked, rows = _two(spark, sf_dir)
-    mine = (F.col("entity") == R.FOCUS) & (F.col("status") == "common")
     cases = {"common_rank": "common_rank_a", "set_effect": "set_effect", "entered_above": "entered_above"}
+    check = partial(verify.verify_two_year, ranked=ranked, pairs=R.PAIRS, rows_bound=p.rows_bound, metrics=METRICS)
+    return _refused(rows, cases, check)
+
+
+def verify_three_tampered(spark, sf_dir):
+    p, ranked = _ranked(spark, sf_dir)
+    rows = mv.three_year(ranked, R.TRIPLES, rows_bound=p.rows_bound, metrics=METRICS)
+    cases = {"common_rank": "common_rank_m", "outside_above": "outside_above_b", "set_effect": "set_effect_am"}
+    check = partial(verify.verify_three_year, ranked=ranked, triples=R.TRIPLES, rows_bound=p.rows_bound, metrics=METRICS)
+    return _refused(rows, cases, check)
+
+
+def verify_growth_tampered(spark, sf_dir):
+    p = customer_panel(spark, sf_dir)
+    rows = growth.growth_movement(p.obs, GROWTH, rows_bound=p.entities_bound, metrics=METRICS)
+    cases = {"common_rank": "common_rank", "peer_mean": "peer_mean", "outside_above": "outside_above"}
+    check = partial(verify.verify_growth, obs=p.obs, requests=GROWTH, rows_bound=p.entities_bound, metrics=METRICS)
+    return _refused(rows, cases, check)
+
+
+def _refused(rows, cases, check):
+    """Requests that each check refuses when one column of the focus's common rows is one too high."""
+    mine = (F.col("entity") == R.FOCUS) & (F.col("status") == "common")
     out = None
     for case, column in cases.items():
         wrong = rows.withColumn(column, F.when(mine, F.col(column) + 1).otherwise(F.col(column)))
-        report = verify.verify_two_year(wrong, ranked, R.PAIRS, rows_bound=p.rows_bound, metrics=METRICS)
-        part = verify.failures(report).groupBy("check").agg(F.count(F.lit(1)).alias("requests"))
+        part = verify.failures(check(wrong)).groupBy("check").agg(F.count(F.lit(1)).alias("requests"))
         part = part.select(F.lit(case).alias("case"), "check", "requests")
         out = part if out is None else out.unionByName(part)
     return out
@@ -275,6 +310,27 @@ _TAMPERED = [
 ]
 
 
+_THREE_TAMPERED = [
+    ("common_rank", "common-MID.ranking_matches_engine_order", "true"), ("common_rank", "ranks.within_bounds", "common_rank_m = n_common"),
+    ("outside_above", "outside.above_below_reconciles_B", "true"), ("outside_above", "partial_identity_B", "true"),
+    ("outside_above", "decomposition.identity_MB", "true"), ("outside_above", "decomposition.identity_AB", "true"),
+    ("set_effect", "decomposition.identity_AM", "true"), ("set_effect", "decomposition.segments_add_up", "true"),
+]
+_GROWTH_TAMPERED = [
+    ("common_rank", "common.ranking_matches_engine_order", "true"), ("common_rank", "partial_identity", "true"),
+    ("common_rank", "ranks_within_bounds", "common_rank = n_common"),
+    ("peer_mean", "peer_mean_recomputed", "peer_mean IS NOT NULL"), ("peer_mean", "difference_is_plain_subtraction", "peer_mean IS NOT NULL"),
+    ("outside_above", "partial_identity", "true"), ("outside_above", "outside_counts_reconcile", "true"),
+]
+
+
+def _refused_sql(rows, cases):
+    """How many requests of the focus meet each case's condition."""
+    parts = [f"SELECT '{c}' AS \"case\", '{k}' AS \"check\" FROM mine WHERE {cond}" for c, k, cond in cases]
+    return f"""WITH mine AS (SELECT * FROM ({rows}) x WHERE entity = '{R.FOCUS}' AND status = 'common')
+SELECT "case", "check", count(*) AS requests FROM ({" UNION ALL ".join(parts)}) y GROUP BY 1, 2"""
+
+
 def _growth_spans():
     out = []
     for a, m, b in GROWTH:
@@ -399,12 +455,16 @@ QUERIES = {
     "movement_outside_filters": (movement_outside_filters, "WITH three AS (" + _three_relation_sql() + ") " + " UNION ALL ".join(
         f"SELECT '{n}' AS filter, metric, a, m, b, focus, entity FROM three WHERE {c}" for n, c in _OUTSIDE_FILTERS.items())),
     "movement_status_positions": (movement_status_positions, with_(CUST, RANKED, _TWO_LEVEL) + """
-SELECT metric, a, b, status, entity, row_number() OVER (PARTITION BY metric, a, b, status ORDER BY coalesce(rank_b, rank_a), entity) AS position_in_status,
+SELECT metric, a, b, status, entity, row_number() OVER (PARTITION BY metric, a, b, status ORDER BY entity) AS position_in_status,
   count(*) OVER (PARTITION BY metric, a, b, status) AS n_status FROM moved"""),
     "movement_verified": (movement_verified, with_(CUST, RANKED, _TWO_LEVEL) + _MOVED),
     "verify_tampered": (verify_tampered, with_(CUST, RANKED, _TWO_LEVEL) + f"""
 SELECT "case", "check", count(*) AS requests FROM moved, (VALUES {values_(_TAMPERED)}) t("case", "check")
 WHERE entity = '{R.FOCUS}' AND status = 'common' GROUP BY 1, 2"""),
+    "movement_three_year_verified": (movement_three_year_verified, _three_sql(R.TRIPLES)),
+    "movement_growth_verified": (movement_growth_verified, _GROWTH_SQL),
+    "verify_three_tampered": (verify_three_tampered, _refused_sql(_three_sql(R.TRIPLES), _THREE_TAMPERED)),
+    "verify_growth_tampered": (verify_growth_tampered, _refused_sql(_GROWTH_SQL, _GROWTH_TAMPERED)),
     "movement_summary": (movement_summary, _REL_SQL + "SELECT * FROM relations WHERE status <> 'common' OR entity = focus"),
     "movement_relation_counts": (movement_relation_counts, _REL_SQL + """
 SELECT metric, a, b, focus, count(*) FILTER (WHERE status = 'common') AS common,
