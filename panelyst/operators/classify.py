@@ -102,8 +102,8 @@ def classify_observations(raw: DataFrame, dim: DataFrame) -> DataFrame:
     )
 
 
-def staged(classified: DataFrame) -> DataFrame:
-    return classified.where("stored").select("entity", "metric", "year", "value", "value_raw", "vintage")
+def staged(classified: DataFrame, *more: str) -> DataFrame:
+    return classified.where("stored").select("entity", "metric", "year", "value", "value_raw", "vintage", *more)
 
 
 def rejection_counters(classified: DataFrame) -> DataFrame:

@@ -66,20 +66,31 @@ def keyed_pages(pages: DataFrame) -> DataFrame:
 
 
 def payload_rows(pages: DataFrame, metric_codes: DataFrame) -> DataFrame:
-    """Observations as landed, in the shape classification takes."""
+    """Observations in the shape classification takes; ``landed`` orders them by page and place in the page."""
     good = pages.where(F.col("status") == "ok")
-    rows = good.select("file", F.col("meta.lastupdated").alias("vintage"), F.explode("rows").alias("r"))
+    rows = good.select("file", "meta.page", F.col("meta.lastupdated").alias("vintage"), F.posexplode("rows").alias("at", "r"))
     rows = rows.select(
         F.col("r.indicator.id").alias("indicator"), F.col("r.countryiso3code").alias("code"),
         F.col("r.date").alias("date"), F.col("r.value").alias("value_text"), "vintage",
+        F.struct("page", "at", "file").alias("landed"),
     )
     return rows.join(metric_codes, "indicator").drop("indicator")
 
 
+def newest_files(keyed: DataFrame) -> DataFrame:
+    """One file for each page of a payload, the newest by name; a page without a number is one of its own."""
+    page = F.coalesce(F.col("meta.page").cast("string"), F.col("file"))
+    rows = F.size("rows").cast("long")
+    return keyed.groupBy(*PAYLOAD, page.alias("page")).agg(F.max("file").alias("file"), F.max_by(rows, "file").alias("rows"))
+
+
 def page_completeness(pages: DataFrame) -> DataFrame:
-    """Rows reconstructed from all pages of a payload against the total it declared, and its newest file."""
-    sums = keyed_pages(pages).groupBy(*PAYLOAD).agg(
-        F.sum(F.size("rows").cast("long")).alias("received"), F.count(F.lit(1)).alias("pages"), F.max("file").alias("newest")
+    """Rows reconstructed from all pages of a payload against the total it declared, and its newest file.
+
+    A page that landed twice counts once.
+    """
+    sums = newest_files(keyed_pages(pages)).groupBy(*PAYLOAD).agg(
+        F.sum("rows").alias("received"), F.count(F.lit(1)).alias("pages"), F.max("file").alias("newest")
     )
     declared, received = F.col("declared"), F.col("received")
     status = F.when(declared.isNull(), "unknown").when(declared == received, "complete").otherwise("mismatch")

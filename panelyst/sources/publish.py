@@ -3,6 +3,8 @@ the folder they have, and readers move to the new version when its manifest is c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelyst.session import cut_lineage
@@ -215,10 +217,13 @@ class PanelStore:
         path = f"{self.root}/{name}"
         return self.spark.read.parquet(path) if self._exists(path) else None
 
-    def publish(self, version: int, staged: DataFrame, first: int, last: int, upstream: str | None = None) -> dict[str, str]:
+    def publish(self, version: int, staged: DataFrame, first: int, last: int, upstream: str | None = None,
+                before_commit: Callable[[DataFrame], None] | None = None) -> dict[str, str]:
         """Replaces the range of changed metrics, advances stamps of the rest, then flips the manifest.
 
-        Replaying a version that is already current does nothing. Returns the action per metric.
+        ``before_commit`` gets the version's rows while the manifest is still the old one, so that what it writes is
+        there whenever the version is. Replaying a version that is already current does nothing. Returns the action
+        per metric.
         """
         current, folders = self.manifest()
         if version <= current:
@@ -256,6 +261,9 @@ class PanelStore:
             for metric in (*changed, *advanced):
                 fresh.pop(metric, None)
             fresh |= {metric: f"{target}/_of={metric}" for metric in left}
+        if before_commit:
+            none = self.spark.createDataFrame([], STORE_SCHEMA)
+            before_commit(self.spark.read.schema(STORE_SCHEMA).parquet(*fresh.values()) if fresh else none)
         lines = [(version, m, f) for m, f in fresh.items()]
         lines = lines or [(version, None, None)]  # an empty version is a version
         self.spark.createDataFrame(lines, "version long, metric string, folder string").coalesce(1).write.mode(

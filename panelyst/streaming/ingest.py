@@ -7,8 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelyst.operators.classify import classify_observations, rejection_counters, staged
 from panelyst.session import cut_lineage
-from panelyst.sources.payloads import PAYLOAD, keyed_pages, page_completeness, parse_pages, payload_rows, rejected_pages
-from panelyst.sources.publish import PanelStore, dataset_state
+from panelyst.sources.payloads import PAYLOAD, keyed_pages, newest_files, page_completeness, parse_pages, payload_rows, rejected_pages
+from panelyst.sources.publish import KEY, PanelStore, dataset_state, last_wins
 
 RUN = "status string, pages_fetched long, requests long, has_snapshot boolean, completed_at timestamp"
 
@@ -45,20 +45,23 @@ def ingest_batch(store: PanelStore, pages: DataFrame, dim: DataFrame, metric_cod
         chosen = cut_lineage(_chosen(waiting))
         keyed = keyed_pages(waiting)
         match = [keyed[k].eqNullSafe(chosen[k]) for k in PAYLOAD]
-        whole = cut_lineage(keyed.join(chosen, match).select(keyed["file"], keyed["meta"], keyed["rows"], keyed["status"], "is_newest"))
-        rows = payload_rows(whole.where("is_newest"), metric_codes)
+        whole = cut_lineage(keyed.join(chosen, match).select(*[keyed[c] for c in keyed.columns], "is_newest"))
+        # All files of a whole payload are taken; of a page that landed twice only the newest is read.
+        pages_once = whole.join(newest_files(whole).select("file"), "file", "left_semi")
+        rows = payload_rows(pages_once.where("is_newest"), metric_codes)
         classified = cut_lineage(classify_observations(rows, dim))
         upstream = classified.agg(F.max("vintage")).first()[0]
         store.put("taken_files", version, whole.select("file").distinct())
         store.put("ingest_year_stats", version, rejection_counters(classified))
         store.put("run_universe", version, dim.select("entity", "is_aggregate"))
-        counts = whole.agg(F.count_if("is_newest").alias("fetched")).first()["fetched"]
+        counts = pages_once.agg(F.count_if("is_newest").alias("fetched")).first()["fetched"]
         store.put("runs", version, _run(store, "success" if counts else "held", counts, pages.count()))
-        fresh = staged(classified).withColumn("fetched_at", F.current_timestamp())
-        # The manifest written by this call is the one commit point of the batch.
-        actions = store.publish(version, fresh, first, last, upstream)
-        store.put("dataset_state", version, dataset_state(store.read()))
-        return actions
+        # Of a key that a payload holds twice the last row counts, before anything is compared.
+        fresh = last_wins(staged(classified, "landed"), KEY, "landed").withColumn("fetched_at", F.current_timestamp())
+        # The manifest written by this call is the one commit point of the batch, after everything else of the version.
+        return store.publish(
+            version, fresh, first, last, upstream, before_commit=lambda rows: store.put("dataset_state", version, dataset_state(rows))
+        )
     except Exception:
         store.put("runs", version, _run(store, "failed", 0, 0))
         raise
