@@ -9,9 +9,10 @@ from panelyst.plans import requests as R
 from panelyst.plans.oracle_panels import CUST, CUST_DIM, PART, PART_DIM, RANKED, STORE, YOY, YOY_RANKED, values_, with_
 from panelyst.plans.shape import shaped
 from panelyst.registry import METRICS
-from panelyst.session import written
+from panelyst.session import table_folder, written
 from panelyst.sources import payloads, publish, scans
 from panelyst.sources.tables import customer_panel, part_dim, part_panel, published, stored, user_day_panel
+from panelyst.streaming import waiting
 
 A, M, B = R.A, R.M, R.B
 RAW_METRICS = ("total_current", "exports_current")
@@ -153,7 +154,8 @@ def _payload_text(spark, sf_dir):
         F.col("entity").alias("countryiso3code"), F.col("year").cast("string").alias("date"), F.col("value_raw").alias("value"),
     )
     pages = obs.select("metric", "year", at, item.alias("item")).groupBy("metric", "year", "at").agg(F.collect_list("item").alias("items"))
-    meta = F.struct(F.lit(1).alias("page"), F.col("total"), F.lit("2024-07-01").alias("lastupdated"))
+    number = ((F.col("year") - 1900) * 1_000_000 + F.col("at") + 2).cast("int")
+    meta = F.struct(number.alias("page"), F.col("total"), F.lit("2024-07-01").alias("lastupdated"))
     body = F.concat(F.lit("["), F.to_json(meta), F.lit(","), F.to_json("items"), F.lit("]"))
     # One page of every eleventh part block is broken off, so its payload stays short.
     broken = (F.col("metric") == "exports_current") & (F.col("at") >= 0) & (F.col("at") % 11 == 0) & (F.col("year") == B)
@@ -179,6 +181,30 @@ def payload_completeness(spark, sf_dir):
     return out.select("indicator", "vintage", "declared", "received", "pages", "status", "missing_rows")
 
 
+def _landed_twice(spark, sf_dir):
+    """All pages, every third one a second time."""
+    pages = _payload_text(spark, sf_dir)
+    again = pages.where(F.pmod(F.xxhash64("file"), F.lit(3)) == 0)
+    return pages.unionByName(again.withColumn("file", F.concat("file", F.lit("-again"))))
+
+
+def payload_landed_twice(spark, sf_dir):
+    out = payloads.page_completeness(payloads.parse_pages(_landed_twice(spark, sf_dir)))
+    return out.select("indicator", "vintage", "declared", "received", "pages", "status", "missing_rows")
+
+
+def payload_waiting(spark, sf_dir):
+    """The same pages as a stream: payloads that became whole, held in state until then."""
+    root = table_folder(spark)
+    _landed_twice(spark, sf_dir).repartition(6, "file").write.parquet(f"{root}/landed")
+    landed = spark.readStream.schema("file string, body string").option("maxFilesPerTrigger", 3).parquet(f"{root}/landed")
+    waiting.append_whole(landed, f"{root}/whole", f"{root}/progress").awaitTermination()
+    pages = spark.read.schema(waiting.OUT).parquet(f"{root}/whole")
+    return pages.groupBy("indicator", "vintage", "declared", "status").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("received")
+    )
+
+
 def _meta(spark, sf_dir):
     """Metadata records: repeated, blank, malformed and aggregate ones among them."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -486,6 +512,10 @@ paged AS (SELECT *, CASE WHEN entity LIKE 'P%' THEN k // {PAGE_ROWS} ELSE -1 END
 pages AS (SELECT metric, year, blk, metric || '/' || year || '/' || blk AS file, count(*) AS n,
     CASE WHEN metric = 'exports_current' AND blk >= 0 AND blk % 11 = 0 AND year = {B} THEN 'malformed' ELSE 'ok' END AS status FROM paged GROUP BY 1, 2, 3)
 """
+_COMPLETENESS = """
+SELECT metric AS indicator, '2024-07-01' AS vintage, total AS declared, CAST(sum(n) AS BIGINT) AS received, count(*) AS pages,
+  CASE WHEN total = sum(n) THEN 'complete' ELSE 'mismatch' END AS status, CAST(total - sum(n) AS BIGINT) AS missing_rows
+FROM pages JOIN (SELECT metric AS m, count(*) AS total FROM st GROUP BY 1) t ON m = metric WHERE status = 'ok' GROUP BY metric, total"""
 _META = """
 WITH meta AS (SELECT p_partkey AS ingest_order, p_partkey % 41 = 0 AS broken,
     CASE WHEN p_partkey % 31 = 0 THEN ' ' WHEN p_partkey % 37 = 0 THEN 'P000000001' ELSE 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS id,
@@ -562,10 +592,10 @@ FROM part_dim d WHERE NOT is_aggregate AND (lower(d.entity) LIKE '%00%' OR lower
     "payload_rows": (payload_rows, _PAGES + """
 SELECT o.metric, o.entity AS code, CAST(o.year AS VARCHAR) AS date, o.value_raw AS value_text, '2024-07-01' AS vintage
 FROM paged o JOIN pages p ON p.metric = o.metric AND p.year = o.year AND p.blk = o.blk WHERE status = 'ok'"""),
-    "payload_completeness": (payload_completeness, _PAGES + """
-SELECT metric AS indicator, '2024-07-01' AS vintage, total AS declared, CAST(sum(n) AS BIGINT) AS received, count(*) AS pages,
-  CASE WHEN total = sum(n) THEN 'complete' ELSE 'mismatch' END AS status, CAST(total - sum(n) AS BIGINT) AS missing_rows
-FROM pages JOIN (SELECT metric AS m, count(*) AS total FROM st GROUP BY 1) t ON m = metric WHERE status = 'ok' GROUP BY metric, total"""),
+    "payload_completeness": (payload_completeness, _PAGES + _COMPLETENESS),
+    "payload_landed_twice": (payload_landed_twice, _PAGES + _COMPLETENESS),
+    "payload_waiting": (payload_waiting, _PAGES + f"""
+SELECT indicator, vintage, declared, status, pages, received FROM ({_COMPLETENESS}) WHERE status = 'complete'"""),
     "ingest_classified": (ingest_classified, _C + "SELECT metric, code, date, value_text, vintage, entity, year, round(value, 4) AS value, value_raw, reject_reason, stored FROM cl"),
     "ingest_counters": (ingest_counters, _C + _COUNTERS),
     "ingest_staged": (ingest_staged, _C + f"SELECT {_FOUR} FROM cl WHERE stored"),
