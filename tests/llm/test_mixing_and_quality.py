@@ -35,6 +35,41 @@ def test_a_period_is_pfair(weights):
             assert (j - 1) * total // weights[s] <= slot < -(-j * total // weights[s])
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_a_pool_shares_a_period(seed):
+    """The pool takes what is left, in runs, and every stream keeps its windows."""
+    rng = random.Random(seed)
+    named = {f"s{i}": rng.randrange(1, 12) for i in range(rng.randrange(1, 5))}
+    pool = rng.choice([1, 2, 7, 40, 1000])
+    slots = mixing.shared_period(named, pool)
+    total = sum(named.values()) + pool
+    taken = sorted(x for own in slots.values() for x in own)
+    slots["pool"] = sorted(set(range(total)) - set(taken))
+    assert len(taken) == len(set(taken)) and len(slots["pool"]) == pool
+    for s, w in (named | {"pool": pool}).items():
+        for j, slot in enumerate(slots[s], 1):
+            assert (j - 1) * total // w <= slot < -(-j * total // w)
+
+
+def test_thousands_of_sources(spark):
+    """More sources than a driver should schedule: all share the pool, beside two named ones."""
+    rng = random.Random(3)
+    rows = [(i, f"d{rng.randrange(5000)}" if rng.random() < 0.8 else rng.choice("xy"), f"t{i}") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = mixing.mix(docs, {"x": 500, "y": 100}, block_rows=4).collect()
+    assert len(got) == len({r.position for r in got}) == len(rows)
+    slots = {r.slot: (r.source, r.block) for r in got}
+    assert sorted(slots) == list(range(len(slots))) and len({v for v in slots.values()}) == len(slots)
+    # In the first round of the pool each source stays within one block of its share.
+    sources = {r.source for r in got}
+    weights = {s: {"x": 500, "y": 100}.get(s, 1) for s in sources}
+    total, first = sum(weights.values()), Counter()
+    for t in range(1 + max(r.slot for r in got if r.source not in "xy" and r.block == 0)):
+        first[slots[t][0]] += 1
+        for s in ("x", "y", slots[t][0]):
+            assert abs(first[s] - (t + 1) * weights[s] / total) < 1
+
+
 def test_whole_tables_are_mixed(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SLICE_ROWS", 20)
     rng = random.Random(13)
