@@ -56,13 +56,13 @@ def test_thousands_of_sources(spark):
     rng = random.Random(3)
     rows = [(i, f"d{rng.randrange(5000)}" if rng.random() < 0.8 else rng.choice("xy"), f"t{i}") for i in range(20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
-    got = mixing.mix(docs, {"x": 500, "y": 100}, block_rows=4).collect()
+    got = mixing.mix(docs, {"x": 300, "y": 100}, block_rows=4).collect()
     assert len(got) == len({r.position for r in got}) == len(rows)
     slots = {r.slot: (r.source, r.block) for r in got}
     assert sorted(slots) == list(range(len(slots))) and len({v for v in slots.values()}) == len(slots)
     # In the first round of the pool each source stays within one block of its share.
     sources = {r.source for r in got}
-    weights = {s: {"x": 500, "y": 100}.get(s, 1) for s in sources}
+    weights = {s: {"x": 300, "y": 100}.get(s, 1) for s in sources}
     total, first = sum(weights.values()), Counter()
     for t in range(1 + max(r.slot for r in got if r.source not in "xy" and r.block == 0)):
         first[slots[t][0]] += 1
