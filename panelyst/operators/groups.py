@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelyst.functions.plan import plan_rows, text_map
 from panelyst.functions.transforms import finite
@@ -21,23 +21,41 @@ def member_cells(members: DataFrame, obs: DataFrame, metrics: list[str], years:
     )
 
 
+def year_vectors(members: DataFrame, obs: DataFrame, metric: str, years: list[int]) -> DataFrame:
+    """``members`` with ``values``, aligned to ``years``, and how many of them are ``held``: one join by entity.
+
+    The panel is grouped once, to a row for each entity; members without any value get an empty vector.
+    """
+    rows = obs.where((F.col("metric") == metric) & F.col("year").isin(years) & finite(F.col("value")))
+    at = [F.max(F.when(F.col("year") == y, F.col("value"))) for y in years]
+    series = rows.groupBy(F.col("entity").alias("member")).agg(F.array(*at).alias("values"), F.count("value").alias("held"))
+    return members.join(series, "member", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+
+
 def group_series(members: DataFrame, obs: DataFrame, metric: str, years: list[int]) -> DataFrame:
     """Observed and like-for-like sums per group and year.
 
     Observed sums what is there and says whether it is all there. Like-for-like sums the members that
     hold every year.
     """
-    cells = member_cells(members, obs, [metric], years)
-    held = F.count("value").over(Window.partitionBy("group_key", "member"))
-    cells = cells.withColumn("_complete", held == len(years))
-    exact = F.col("value").cast(EXACT)
-    per_year = cells.groupBy("group_key", "metric", "year").agg(
-        F.sum(exact).cast("double").alias("observed"),
-        F.count("value").alias("valid"),
-        F.count(F.lit(1)).alias("members"),
-        F.sum(F.when(F.col("_complete"), exact)).cast("double").alias("like_for_like"),
-        F.count_if("_complete").alias("common_members"),
-    )
+    rows = year_vectors(members, obs, metric, years).withColumn("_complete", F.col("held") == len(years))
+    sums = []
+    for i in range(len(years)):
+        value = F.get("values", F.lit(i))
+        sums += [
+            F.sum(value.cast(EXACT)).cast("double").alias(f"_sum{i}"), F.count(value).alias(f"_valid{i}"),
+            F.sum(F.when(F.col("_complete"), value.cast(EXACT))).cast("double").alias(f"_same{i}"),
+        ]
+    # One row for each group: positions add up where the members are, so a group of any size moves one row a partition.
+    added = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("members"), F.count_if("_complete").alias("common_members"), *sums)
+    cells = F.array(*[
+        F.struct(
+            F.lit(y).alias("year"), F.col(f"_sum{i}").alias("observed"), F.col(f"_valid{i}").alias("valid"),
+            F.col(f"_same{i}").alias("like_for_like"),
+        )
+        for i, y in enumerate(years)
+    ])
+    per_year = added.select("group_key", F.lit(metric).alias("metric"), "members", "common_members", F.inline(cells))
     missing = F.col("members") - F.col("valid")
     return per_year.select(
         "group_key", "metric", "year", "observed",
@@ -51,8 +69,45 @@ def group_series(members: DataFrame, obs: DataFrame, metric: str, years: list[in
 
 def missing_members(members: DataFrame, obs: DataFrame, metric: str, years: list[int]) -> DataFrame:
     """The members behind each gap, as rows."""
-    cells = member_cells(members, obs, [metric], years)
-    return cells.where(F.col("value").isNull()).select("group_key", "metric", "year", "member")
+    rows = year_vectors(members, obs, metric, years).where(F.col("held") < len(years))
+    return rows.select("group_key", F.lit(metric).alias("metric"), F.explode(_gaps(years)).alias("year"), "member")
+
+
+def _gaps(years: list[int]) -> Column:
+    """The years in which a vector holds nothing."""
+    return F.filter(F.lit(years), lambda y, i: F.get("values", i).isNull())
+
+
+def group_coverage(members: DataFrame, obs: DataFrame, metric: str, years: list[int]) -> DataFrame:
+    """How much of each group there is: members used (those holding every year), and valid and missing ones per year."""
+    series = group_series(members, obs, metric, years)
+    return series.select(
+        "group_key", "metric", "year", (F.col("valid") + F.col("missing")).alias("members"),
+        F.col("common_members").alias("used"), (F.col("common_members") == F.col("valid") + F.col("missing")).alias("complete"),
+        "valid", "missing",
+    )
+
+
+def member_coverage(members: DataFrame, obs: DataFrame, metric: str, years: list[int]) -> DataFrame:
+    """The members behind the coverage of each group as rows: used or missing, with the years that a member lacks."""
+    rows = year_vectors(members, obs, metric, years)
+    role = F.when(F.col("held") == len(years), "used").otherwise("missing")
+    return rows.select("group_key", F.lit(metric).alias("metric"), "member", role.alias("role"), _gaps(years).alias("missing_years"))
+
+
+def point_coverage(entities: DataFrame, obs: DataFrame, metric: str, years: list[int]) -> DataFrame:
+    """Single entities (countries or published aggregates) against the years that a comparison needs.
+
+    ``entities``: (entity, is_aggregate). A point is used only if it holds every year. What a published aggregate is
+    made of is not the common universe, which ``basis`` says.
+    """
+    points = entities.select(F.col("entity").alias("group_key"), F.col("entity").alias("member"), "is_aggregate")
+    rows = year_vectors(points, obs, metric, years)
+    return rows.select(
+        F.col("member").alias("entity"), F.lit(metric).alias("metric"),
+        F.when(F.col("is_aggregate"), "published_aggregate").otherwise("own_observation").alias("basis"),
+        (F.col("held") == len(years)).alias("complete"), F.col("held").alias("years_held"), _gaps(years).alias("missing_years"),
+    )
 
 
 def membership_effect(series: DataFrame, first: int, last: int, value: str = "observed",

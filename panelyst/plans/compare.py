@@ -154,6 +154,24 @@ def group_missing(spark, sf_dir):
     return groups.missing_members(_members(spark, sf_dir), p.obs, "exports_current", [A, M, B])
 
 
+def group_coverage(spark, sf_dir):
+    p = part_panel(spark, sf_dir, ("exports_current",))
+    return groups.group_coverage(_members(spark, sf_dir), p.obs, "exports_current", [A, M, B])
+
+
+def group_coverage_members(spark, sf_dir):
+    p = part_panel(spark, sf_dir, ("exports_current",))
+    out = groups.member_coverage(_members(spark, sf_dir), p.obs, "exports_current", [A, M, B])
+    return out.withColumn("missing_years", F.array_join("missing_years", ","))
+
+
+def point_coverage(spark, sf_dir):
+    """Every part and every brand against the years of a comparison."""
+    p = part_panel(spark, sf_dir, ("exports_current",), aggregates=True)
+    out = groups.point_coverage(p.dim.select("entity", "is_aggregate"), p.obs, "exports_current", [A, M, B])
+    return out.withColumn("missing_years", F.array_join("missing_years", ","))
+
+
 def group_membership_effect(spark, sf_dir):
     p = part_panel(spark, sf_dir, ("exports_current",))
     series = groups.group_series(_members(spark, sf_dir), p.obs, "exports_current", [A, M, B])
@@ -550,6 +568,21 @@ SELECT group_key, metric, year, round(observed, 4) AS observed, complete, CASE W
   valid, missing, round(like_for_like, 4) AS like_for_like, common_members, CASE WHEN valid = 0 THEN 'empty_input_set' END AS reason FROM gseries"""),
     "group_missing": (group_missing, _GROUP_SQL + """
 SELECT group_key, 'exports_current' AS metric, year, member FROM gcells WHERE value IS NULL"""),
+    "group_coverage": (group_coverage, _GROUP_SQL + """,
+gm AS (SELECT group_key, member, count(value) = count(*) AS whole FROM gcells GROUP BY ALL),
+gu AS (SELECT group_key, count(*) AS members, count(*) FILTER (WHERE whole) AS used FROM gm GROUP BY 1)
+SELECT group_key, 'exports_current' AS metric, year, members, used, used = members AS complete,
+  count(value) AS valid, count(*) - count(value) AS missing FROM gcells JOIN gu USING (group_key) GROUP BY ALL"""),
+    "group_coverage_members": (group_coverage_members, _GROUP_SQL + """
+SELECT group_key, 'exports_current' AS metric, member, CASE WHEN count(value) = count(*) THEN 'used' ELSE 'missing' END AS role,
+  coalesce(string_agg(CASE WHEN value IS NULL THEN CAST(year AS VARCHAR) END, ',' ORDER BY year), '') AS missing_years
+FROM gcells GROUP BY group_key, member"""),
+    "point_coverage": (point_coverage, with_(STORE, PART_DIM) + f"""
+SELECT d.entity, 'exports_current' AS metric, CASE WHEN is_aggregate THEN 'published_aggregate' ELSE 'own_observation' END AS basis,
+  count(value) = count(*) AS complete, count(value) AS years_held,
+  coalesce(string_agg(CASE WHEN value IS NULL THEN CAST(y.year AS VARCHAR) END, ',' ORDER BY y.year), '') AS missing_years
+FROM part_dim d CROSS JOIN (VALUES ({A}), ({M}), ({B})) y(year)
+LEFT JOIN store o ON o.entity = d.entity AND o.metric = 'exports_current' AND o.year = y.year GROUP BY d.entity, is_aggregate"""),
     "group_membership_effect": (group_membership_effect, _GROUP_SQL + f"""
 SELECT a.group_key, a.metric, round(a.observed, 4) AS obs_a, round(b.observed, 4) AS obs_b, round(a.like_for_like, 4) AS lfl_a,
   round(b.like_for_like, 4) AS lfl_b,
