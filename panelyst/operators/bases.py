@@ -325,21 +325,25 @@ def companions(obs: DataFrame, a: int, b: int, m: int | None = None) -> DataFram
     ).withColumn("polarity", F.when(F.col("metric") == "fx_official", T.polarity(F.col("value"))))
 
 
+def _by_entity(movement: DataFrame) -> DataFrame:
+    """One row per basis and entity with its observed rows and its like-for-like ranks: a handful of periods each."""
+    kept = movement.where(F.col("reason").isNull())
+    like = F.col("universe") == "like_for_like"
+    return kept.groupBy("basis", "entity").agg(
+        F.map_from_entries(F.collect_list(F.when(like, F.struct("period", F.struct("value", "rank"))))).alias("by_period"),
+        F.collect_list(F.when(F.col("universe") == "observed", F.struct(*[c for c in movement.columns if c not in ("basis", "entity")]))).alias("_seen"),
+    )
+
+
 def common_rows(movement: DataFrame, periods: int) -> DataFrame:
     """Entities ranked in every like-for-like period: value and rank of each, as maps by period."""
-    ranked = movement.where((F.col("universe") == "like_for_like") & F.col("reason").isNull())
-    entry = F.struct("period", F.struct("value", "rank"))
-    rows = ranked.groupBy("basis", "entity").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("by_period"), F.count_distinct("period").alias("held")
-    )
-    return rows.where(F.col("held") == periods).drop("held")
+    return _by_entity(movement).where(F.size("by_period") == periods).select("basis", "entity", "by_period")
 
 
 def outside_rows(movement: DataFrame, periods: int) -> DataFrame:
-    """Observed rows of entities outside the common table."""
-    observed = movement.where((F.col("universe") == "observed") & F.col("reason").isNull())
-    common = common_rows(movement, periods).select("basis", "entity")
-    return observed.join(common, ["basis", "entity"], "left_anti")
+    """Observed rows of entities outside the common table, from the same pass."""
+    outside = _by_entity(movement).where(F.size("by_period") != periods)
+    return outside.select("basis", "entity", F.inline("_seen")).select(*movement.columns)
 
 
 def competition_relation(movement: DataFrame, focuses: list[str], groups_bound: int) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelyst.functions.hashing import MASK, OFFSET_BASIS, PRIME
-from panelyst.functions.plan import plan_rows
+from panelyst.functions.plan import plan_map, plan_rows
 from panelyst.functions.transforms import finite
+from panelyst.operators.presence import held_count, masks, missing_count, patterns, presence, years_not_held
 
 # fixed values: ledger reasons
 PARTICIPANT = "comparison_participant"
@@ -34,28 +35,37 @@ def participants_frame(spark: SparkSession, rows: list[tuple[str, str, str]]) ->
     return df.groupBy("plan", "entity").agg(merged.alias("role"))
 
 
+def _masked(plans: list[UniversePlan], span: list[int]) -> Column:
+    """The plans of each metric, with the required years as bits."""
+    by_metric: dict[str, list[dict]] = {}
+    for p in plans:
+        required = sorted(set(p.years))
+        by_metric.setdefault(p.metric, []).append({"plan": p.key, "required": required, "mask": masks(span, required)})
+    return plan_map(by_metric, "plan string; required array<int>; mask array<bigint>")
+
+
+def _span(plans: list[UniversePlan]) -> list[int]:
+    return sorted({y for p in plans for y in p.years})
+
+
+def _held(obs: DataFrame, plans: list[UniversePlan]) -> DataFrame:
+    return presence(obs, sorted({p.metric for p in plans}), _span(plans))
+
+
 def universe(obs: DataFrame, plans: list[UniversePlan], participants: DataFrame) -> DataFrame:
     """One row per plan and entity that is a candidate or a participant.
 
     ``obs`` holds eligible rows. A candidate holds any required year, a complete member all of them, and
-    the reference set is the complete members that take no part in the comparison.
+    the reference set is the complete members that take no part in the comparison. The panel is read once, into
+    bits; every plan is a mask on them.
     """
-    metrics = sorted({p.metric for p in plans})
-    years = sorted({y for p in plans for y in p.years})
-    rows = obs.where(F.col("metric").isin(metrics) & F.col("year").isin(years) & finite(F.col("value")))
-    held = rows.groupBy("metric", "entity").agg(F.collect_set("year").alias("held"))
-    layout = plan_rows(
-        [{"plan": p.key, "of": p.metric, "required": sorted(p.years)} for p in plans],
-        "plan string; of string; required array<int>",
+    laid = _held(obs, plans).select("*", F.explode(F.try_element_at(_masked(plans, _span(plans)), F.col("metric"))).alias("p"))
+    seen = laid.where(held_count(F.col("words"), F.col("p.mask")) > 0).select(
+        F.col("p.plan").alias("plan"), "entity", F.lit(True).alias("seen"),
+        years_not_held(F.col("words"), F.col("p.required"), _span(plans)[0]).alias("missing_years"),
     )
-    laid = held.select("*", F.explode(layout).alias("p")).where(F.col("p.of") == F.col("metric"))
-    seen = laid.select(
-        F.col("p.plan").alias("plan"), "entity",
-        F.array_sort(F.array_except("p.required", "held")).alias("missing_years"),
-        F.size(F.array_intersect("p.required", "held")).alias("present"),
-    ).where(F.col("present") > 0)
     joined = seen.join(participants, ["plan", "entity"], "full")
-    candidate = F.col("present").isNotNull()
+    candidate = F.col("seen").isNotNull()
     complete = candidate & (F.size("missing_years") == 0)
     taking_part = F.col("role").isNotNull()
     incomplete = candidate & ~complete
@@ -72,6 +82,45 @@ def universe(obs: DataFrame, plans: list[UniversePlan], participants: DataFrame)
     )
 
 
+def universe_sizes(obs: DataFrame, plans: list[UniversePlan], participants: DataFrame) -> DataFrame:
+    """``universe_counts`` of any number of plans without a row for each entity and plan.
+
+    Plans meet the distinct patterns of years held; only participants are looked up by entity. Every plan has a row,
+    also one without candidates.
+    """
+    held = _held(obs, plans)
+    layout = _masked(plans, _span(plans))
+    of_metric = F.explode(F.try_element_at(layout, F.col("metric"))).alias("p")
+    got, lacks = held_count(F.col("words"), F.col("p.mask")), missing_count(F.col("words"), F.col("p.mask"))
+    candidate, complete = got > 0, (got > 0) & (lacks == 0)
+
+    def counted(condition: Column, times: Column = F.lit(1)) -> Column:
+        return F.sum(F.when(condition, times * F.col("entities")).otherwise(0))
+
+    everyone = patterns(held).select("words", "entities", of_metric).groupBy(F.col("p.plan").alias("plan")).agg(
+        counted(candidate).alias("candidates"), counted(complete).alias("complete"),
+        counted(candidate, lacks).alias("missing_observations"),
+    )
+    metrics = plan_rows([{"plan": p.key, "metric": p.metric} for p in plans], "plan string; metric string")
+    wanted = participants.sparkSession.range(1).select(F.inline(metrics))
+    asked = participants.groupBy("plan", "entity").agg(F.max("role").alias("role")).join(wanted, "plan")
+    roles = asked.join(held, ["metric", "entity"], "left").select(
+        "plan", F.explode(F.filter(F.try_element_at(layout, F.col("metric")), lambda p: p["plan"] == F.col("plan"))).alias("p"),
+        "words",
+    ).groupBy("plan").agg(
+        F.count("*").alias("participants"),
+        F.count_if(F.coalesce(complete, F.lit(False))).alias("_complete"),
+        F.count_if(F.coalesce(candidate & ~complete, F.lit(False))).alias("_incomplete"),
+    )
+    rows = wanted.join(everyone, "plan", "left").join(roles, "plan", "left").na.fill(0)
+    incomplete = F.col("candidates") - F.col("complete")
+    return rows.select(
+        "plan", "metric", "candidates", "complete", (F.col("complete") - F.col("_complete")).alias("reference"),
+        (F.col("participants") + incomplete - F.col("_incomplete")).alias("excluded"), "participants",
+        incomplete.alias("incomplete"), "missing_observations",
+    )
+
+
 def ledger(members: DataFrame) -> DataFrame:
     """Excluded entities, each once with every reason."""
     return members.where(F.size("reasons") > 0).select("plan", "entity", "role", "complete", "reasons", "missing_years")

@@ -6,7 +6,8 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from panelyst.operators import compare as cmp, entities, groups, universe as uni
+from panelyst.operators import compare as cmp, entities, groups, presence, universe as uni
+from panelyst.operators.movement import year_pairs, year_triples
 from panelyst.plans import requests as R
 from panelyst.plans.oracle_panels import PART, PART_DIM, STORE, values_, with_
 from panelyst.plans.shape import shaped
@@ -134,6 +135,34 @@ def universe_counts(spark, sf_dir):
     return uni.universe_counts(_universe(spark, sf_dir))
 
 
+def _years_of(obs):
+    """The years a panel has: one small distinct."""
+    return [r["year"] for r in obs.select("year").distinct().orderBy("year").collect()]
+
+
+def universe_requests(spark, sf_dir):
+    """The frozen universe of every metric, year pair and year triple of the panel."""
+    p = part_panel(spark, sf_dir)
+    years = _years_of(p.obs)
+    plans = [
+        uni.UniversePlan("-".join([metric, *map(str, asked)]), metric, asked)
+        for metric in PART_METRICS for asked in year_pairs(years) + year_triples(years)
+    ]
+    people = uni.participants_frame(spark, [(plan.key, P[n], "entity") for plan in plans for n in (1, 2, 199)])
+    return uni.universe_sizes(p.obs, plans, people)
+
+
+def series_completeness(spark, sf_dir):
+    p = part_panel(spark, sf_dir)
+    return presence.completeness(p.obs, list(PART_METRICS), _years_of(p.obs))
+
+
+def complete_since(spark, sf_dir):
+    p = part_panel(spark, sf_dir)
+    years = _years_of(p.obs)
+    return presence.first_complete(presence.presence(p.obs, list(PART_METRICS), years), years)
+
+
 def membership_hash(spark, sf_dir):
     return uni.membership_hashes(_universe(spark, sf_dir), "plan", F.col("reference"))
 
@@ -397,6 +426,19 @@ members AS (
   FROM cand c FULL JOIN part_in i ON i.plan = c.plan AND i.entity = c.entity
   LEFT JOIN miss m ON m.plan = c.plan AND m.entity = c.entity)""")
 
+_HELD = with_(PART, """
+held AS MATERIALIZED (SELECT DISTINCT metric, entity, year FROM part_obs WHERE isfinite(value)),
+years AS MATERIALIZED (SELECT DISTINCT year FROM part_obs)""")
+_REQUESTED = _HELD + f""",
+asked AS (
+  SELECT concat_ws('-', a.year, b.year) AS years, [a.year, b.year] AS of FROM years a JOIN years b ON a.year < b.year
+  UNION ALL SELECT concat_ws('-', a.year, m.year, b.year), [a.year, m.year, b.year] FROM years a JOIN years m ON a.year < m.year JOIN years b ON m.year < b.year),
+requested AS (SELECT metric || '-' || years AS plan, metric, unnest(of) AS year, len(of) AS size
+  FROM asked CROSS JOIN (VALUES {values_([(m,) for m in PART_METRICS])}) t(metric)),
+sizes AS (SELECT DISTINCT plan, metric FROM requested),
+seen AS (SELECT plan, entity, count(*) AS got, size, entity IN {tuple(P[n] for n in (1, 2, 199))} AS taking_part
+  FROM requested JOIN held USING (metric, year) GROUP BY ALL)"""
+
 _BRAND_MEMBERS = """
 members AS (SELECT income_level AS group_key, entity AS member FROM part_dim WHERE NOT is_aggregate),
 gcells AS (
@@ -559,6 +601,22 @@ SELECT plan, count(*) FILTER (WHERE candidate) AS candidates, count(*) FILTER (W
   count(*) FILTER (WHERE reasons <> '') AS excluded, count(role) AS participants, count(*) FILTER (WHERE candidate AND NOT complete) AS incomplete,
   CAST(sum(CASE WHEN missing_years = '' THEN 0 ELSE len(string_split(missing_years, ',')) END) AS BIGINT) AS missing_observations
 FROM members GROUP BY plan"""),
+    "universe_requests": (universe_requests, _REQUESTED + """
+SELECT r.plan, r.metric, coalesce(n, 0) AS candidates, coalesce(c, 0) AS complete, coalesce(c - pc, 0) AS reference,
+  coalesce(n - c - pi, 0) + 3 AS excluded, CAST(3 AS BIGINT) AS participants, coalesce(n - c, 0) AS incomplete, coalesce(lacking, 0) AS missing_observations
+FROM sizes r LEFT JOIN (
+  SELECT plan, count(*) AS n, count(*) FILTER (WHERE got = size) AS c, CAST(sum(size - got) AS BIGINT) AS lacking,
+    count(*) FILTER (WHERE got = size AND taking_part) AS pc, count(*) FILTER (WHERE got < size AND taking_part) AS pi
+  FROM seen GROUP BY plan) t ON t.plan = r.plan"""),
+    "series_completeness": (series_completeness, _HELD + """
+SELECT metric, entity, CAST(count(*) AS INTEGER) AS years_held, count(*) = (SELECT count(*) FROM years) AS complete, min(year) AS first_year, max(year) AS last_year,
+  CAST(coalesce(max(gap), 0) AS INTEGER) AS longest_gap
+FROM (SELECT metric, entity, year, year - lag(year) OVER (PARTITION BY metric, entity ORDER BY year) - 1 AS gap FROM held) t GROUP BY metric, entity"""),
+    "complete_since": (complete_since, _HELD + """
+SELECT metric, start, count(*) FILTER (WHERE got = wanted) AS entities FROM (
+  SELECT h.metric, h.entity, y.year AS start, count(*) FILTER (WHERE h.year >= y.year) AS got, any_value(y.wanted) AS wanted
+  FROM held h CROSS JOIN (SELECT year, row_number() OVER (ORDER BY year DESC) AS wanted FROM years) y GROUP BY h.metric, h.entity, y.year) t
+GROUP BY metric, start"""),
     "membership_hash": (membership_hash, _UNIVERSE + """
 SELECT plan, 'fnv1a32:' || lpad(lower(hex(h)), 8, '0') AS membership_hash FROM (
   SELECT plan, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(string_agg(entity || ',', '' ORDER BY entity), ''), lambda c: ascii(c)::BIGINT)),
