@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelyst.llm.batches import with_text_columns
+from panelyst.llm.batches import by_bytes, with_text_columns
 
 UND = "und"
 GRAM_BITS = 16
@@ -48,7 +48,7 @@ SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 class LanguageModel:
     languages: tuple[str, ...]
     grams: np.ndarray  # (languages, 2**GRAM_BITS), log probabilities
-    written: np.ndarray  # (scripts, languages), the penalty of a word in the script: 0, or much
+    written: np.ndarray  # (scripts, languages), whether a word in the script can be of the language
 
 
 class Reader:
@@ -110,14 +110,14 @@ def learn(docs: DataFrame, trains: Column, sample_docs: int = SAMPLE_DOCS) -> La
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
-        return LanguageModel((), np.zeros((0, 0)), np.zeros((0, 0)))
+        return LanguageModel((), np.zeros((0, 0)), np.zeros((0, 0), bool))
     step = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // sample_docs))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), step[F.col("lang")]) == 0)
 
     def tally(batches):
         reader = Reader()
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
             langs = batch.column(0).to_pylist()
             for lang in set(langs):
                 texts = [t for t, k in zip(batch.column(1).to_pylist(), langs, strict=True) if k == lang]
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, trains: Column, sample_docs: int = SAMPLE_DOCS) -> La
     usual = scripts.T >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=1), 1)
     usual[~usual.any(axis=1)] = True  # a script that no language uses narrows nothing
     logs = np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32)
-    return LanguageModel(languages, logs, np.where(usual, 0, -1e4).astype(np.float32))
+    return LanguageModel(languages, logs, usual)
 
 
 def best_path(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -180,16 +180,26 @@ def best_path(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) ->
     return out
 
 
+def word_scores(model: LanguageModel, starts: np.ndarray, ends: np.ndarray, scripts: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Log probability of each word in each language that is written in its script; minus infinity elsewhere.
+
+    Words of scripts with the same languages are scored together, and in those languages alone.
+    """
+    scores = np.full((len(starts), len(model.languages)), -np.inf, np.float32)
+    candidates, alike = np.unique(model.written, axis=0, return_inverse=True)
+    kind = alike.reshape(-1)[scripts]
+    for group in np.unique(kind):
+        rows = np.flatnonzero(kind == group)
+        places, first = _places(starts[rows], ends[rows])
+        found = gram[places]
+        for k in np.flatnonzero(candidates[group]):
+            scores[rows, k] = np.add.reduceat(model.grams[k][found], first)
+    return scores
+
+
 def _labelled(reader: Reader, model: LanguageModel, texts: list[str | None]):
     starts, ends, scripts, gram, words, bounds = reader.read(texts)
-    scores = np.zeros((len(starts), len(model.languages)), np.float32)
-    if len(starts):
-        places, first = _places(starts, ends)
-        found = gram[places]
-        for k in range(len(model.languages)):
-            scores[:, k] = np.add.reduceat(model.grams[k][found], first)
-        scores += model.written[scripts]
-    return starts, ends, words, bounds, best_path(scores, words)
+    return starts, ends, words, bounds, best_path(word_scores(model, starts, ends, scripts, gram), words)
 
 
 def languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -225,7 +235,11 @@ def languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def language_spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``doc_id, lang, start, end``: the spans of each text in one language, in code points, from its first to its last letter."""
+    """``doc_id, lang, start, end``: the spans of each text in one language, in code points, from its first to its last letter.
+
+    Null texts, texts without a letter and a model without languages give no rows; repeated rows give their spans each;
+    an empty table gives no rows; other columns are not read.
+    """
     # Plain values: at most MOST_LANGUAGES * 2**GRAM_BITS numbers.
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.grams, model.written))
 

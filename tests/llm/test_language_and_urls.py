@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -37,6 +38,31 @@ def test_best_path_against_all_paths():
         assert abs(value(tuple(got[a:b])) - value(best)) < 1e-5
 
 
+def test_only_languages_of_a_word_s_script_are_scored(spark):
+    """Scores by plain loops: trigrams of a word in each language written in its script, nothing for the others."""
+    model = langid.learn(fixture(spark), fold("doc_id", 5) != 0)
+    reader, mask = langid.Reader(), 0xFFFFFFFF
+    texts = ["Der Weg und και από the", None, "", "１２ 漢字 Über " + "a" * 5000, "και schon και"]
+    starts, ends, scripts, gram, words, _ = reader.read(texts)
+    scores = langid.word_scores(model, starts, ends, scripts, gram)
+    want = [w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    assert len(want) == len(scores) == words[-1]
+    for row, word in enumerate(want):
+        script = langid.SCRIPT_NAMES[scripts[row]]
+        spoken = {"latin": ("de", "en"), "greek": ("el",)}.get(script, model.languages)
+        chars = [32, 32, *map(ord, word), 32]
+        for k, lang in enumerate(model.languages):
+            if lang not in spoken:
+                assert scores[row, k] == -np.inf
+                continue
+            total = 0.0
+            for i in range(2, len(chars)):
+                last, before, before2 = chars[i], chars[i - 1], chars[i - 2] if chars[i - 1] != 32 else 32
+                h = (last * 0x9E3779B1 & mask) ^ (before * 0x85EBCA6B & mask) ^ (before2 * 0xC2B2AE35 & mask)
+                total += float(model.grams[k][((h ^ h >> 15) * 0x2C1B3C6D & mask) >> 32 - langid.GRAM_BITS])
+            assert abs(scores[row, k] - total) < 1e-3 * abs(total)
+
+
 def test_held_out_documents_and_spans(spark):
     docs = fixture(spark)
     model = langid.learn(docs, fold("doc_id", 5) != 0)
