@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -111,7 +112,7 @@ def test_quality_of_held_out_texts(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, k, 0) for i, _, k in rows] + [(1, None, None), (None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
     sample = quality.sample_labelled(docs, labels, fold("doc_id", 4) != 2, rows=80)
-    assert len(sample) == 160 and Counter(k for _, k in sample) == {0: 80, 1: 80}
+    assert Counter(r.label for r in sample.collect()) == {0: 80, 1: 80}
     model = quality.fit(sample)
     scored = quality.quality_scores(docs, model).join(labels, "doc_id").where(fold("doc_id", 4) == 2)
     assert scored.where("quality IS NOT NULL AND predicted != quality").count() == 0
@@ -124,15 +125,64 @@ def test_quality_of_held_out_texts(spark, odd_docs, no_docs):
     assert quality.keep_good(odd_docs, model).columns == odd_docs.columns
 
 
-def test_one_class_or_none(odd_docs):
-    for sample, share in (([], 0.5), ([("good text", 1)], 2 / 3)):
-        rows = quality.quality_scores(odd_docs, quality.fit(sample)).collect()
+SAMPLE = "doc_id long, label int, text string"
+
+
+def test_one_class_or_none(spark, odd_docs):
+    for sample, share in (([], 0.5), ([(1, 1, "good text")], 2 / 3)):
+        rows = quality.quality_scores(odd_docs, quality.fit(spark.createDataFrame(sample, SAMPLE))).collect()
         assert {round(r.score, 9) for r in rows} == {round(share, 9)}
 
 
-def test_long_labelled_texts_are_bounded(spark):
+def test_labelled_texts_are_whole(spark):
     long = "".join(chr(97 + i % 26) for i in range(1_000_000))
-    docs = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
-    sample = dict((k, t) for t, k in quality.sample_labelled(docs, labels, F.lit(True)))
-    assert len(sample[0]) == quality.SAMPLE_TEXT and sample[1] == "short"
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, " \n"), (4, None), (2, "shorter")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)] + [(2, 1)], "doc_id long, quality int")
+    sample = {r.doc_id: (r.label, r.text) for r in quality.sample_labelled(docs, labels, F.lit(True)).collect()}
+    assert sample == {1: (1, long), 2: (0, "short")}
+
+
+def test_chunks_come_from_all_of_a_text(spark, monkeypatch):
+    """Every chunk may be drawn, the fewest keys win whatever the partitions, and a long text counts like a short one."""
+    monkeypatch.setattr(quality, "SAMPLE_PIECES", 40)
+    short = [(i, 1, f"{i:04d} " * 600) for i in range(2, 30)]  # six chunks each
+    long = "".join(f"{i:07d} " for i in range(64 * 2000))
+    sample = spark.createDataFrame([(1, 1, long), *short, (99, 0, "other")], SAMPLE)
+    got = [quality._parts(sample.repartition(n), F.lit(True), 1) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 40
+    drawn = [c for c in got[0] if c in long.encode()]
+    assert 0 < len(drawn) < 10
+    whole = quality._parts(sample.where("doc_id = 1"), F.lit(True), 1)
+    places = [int(c.split()[0]) for c in whole]
+    assert min(places) < 32000 and max(places) > 96000
+
+
+def test_lines_of_many_documents_stay_out_of_the_dictionaries(spark):
+    rows = [(i, i % 2, f"every page\nown {i}\n\ntail {i}") for i in range(8)]
+    own = quality._own_text(spark.createDataFrame(rows, SAMPLE).repartition(3), F.lit(True))
+    assert {r.doc_id: r.text for r in own.collect()} == {i: f"own {i}\ntail {i}" for i in range(8)}
+
+
+def test_scores_against_plain_compression(spark):
+    """Each text compressed in chunks with either dictionary, the difference normalised, the curve by hand."""
+    import zstandard
+
+    rng = random.Random(15)
+    rows = [(i, k, t) for i, (t, k) in enumerate(labelled(rng, 60))]
+    model = quality.fit(spark.createDataFrame(rows, SAMPLE))
+    texts = [(1, rows[0][2]), (2, rows[1][2] * 9), (3, "\u00fcber " * 300), (4, "x"), (5, ""), (6, None)]
+    scored = {r.doc_id: r for r in quality.quality_scores(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+
+    def size(data, words=None):
+        extra = {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+        tool = zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **extra)
+        return len(tool.compress(data))
+
+    for doc_id, text in texts:
+        x, data = [1.0, 0.0, 0.0, 0.0], (text or "").encode()
+        if data:
+            parts = [data[i : i + quality.CHUNK] for i in range(0, len(data), quality.CHUNK)]
+            a, b = (sum(size(p, words) for p in parts) for words in (model.good, model.bad))
+            x[1:] = 10 * (b - a) / (a + b + quality.SHRINK), 5 * min(size(data) / len(data), 0.6), 5 * min((a + b) / 2 / len(data), 1)
+        want = 1 / (1 + math.exp(-max(-30, min(30, sum(w * v for w, v in zip(model.weights, x, strict=True))))))
+        assert abs(scored[doc_id].score - want) < 1e-9 and scored[doc_id].predicted == (want >= 0.7)
