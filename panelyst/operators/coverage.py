@@ -60,26 +60,62 @@ def latest_counters(stats: DataFrame, runs: DataFrame) -> DataFrame:
     return newest.select("metric", "year", "s.*")
 
 
+def _moving(snapshots: DataFrame) -> DataFrame:
+    """``entity, own, runs``: the runs that hold an entity, for those that some snapshot does not hold."""
+    # One row: the runs that left a snapshot.
+    runs = snapshots.agg(F.array_sort(F.collect_set("run_id")).alias("runs"))
+    held = snapshots.where(~F.col("is_aggregate")).groupBy("entity").agg(F.array_sort(F.collect_set("run_id")).alias("own"))
+    return held.crossJoin(F.broadcast(runs)).where(F.size("own") < F.size("runs"))
+
+
+def universe_intervals(snapshots: DataFrame) -> DataFrame:
+    """``entity, first_run, last_run``: the longest stretches of consecutive snapshots in which an entity is eligible.
+
+    Only entities that some snapshot does not hold have rows; all others are there throughout.
+    """
+    places = F.transform("own", lambda r: F.array_position("runs", r).cast("int"))
+    at = _moving(snapshots).select("entity", "runs", places.alias("own"))
+    starts = F.filter("own", lambda p, i: (i == 0) | (F.get("own", i - 1) != p - 1))
+    ends = F.filter("own", lambda p, i: F.coalesce(F.get("own", i + 1) != p + 1, F.lit(True)))
+    stretch = F.zip_with(starts, ends, lambda s, e: F.struct(
+        F.element_at("runs", s).alias("first_run"), F.element_at("runs", e).alias("last_run")))
+    return at.select("entity", F.inline(stretch))
+
+
+def _ends(run_pairs: DataFrame) -> DataFrame:
+    """Both runs of each pair: the run that holds an entity, and the other, which may not."""
+    both = F.array(
+        F.struct(F.col("to_run").alias("run_id"), F.col("from_run").alias("other"), F.lit("added").alias("change")),
+        F.struct(F.col("from_run").alias("run_id"), F.col("to_run").alias("other"), F.lit("removed").alias("change")),
+    )
+    return run_pairs.select("from_run", "to_run").distinct().select("from_run", "to_run", F.inline(both))
+
+
+def _changed(held: DataFrame, run_pairs: DataFrame) -> DataFrame:
+    rows = held.select("*", F.explode("own").alias("run_id")).join(_ends(run_pairs), "run_id")
+    return rows.where(F.array_contains("runs", F.col("other")) & ~F.array_contains("own", F.col("other")))
+
+
 def universe_changes(snapshots: DataFrame, run_pairs: DataFrame) -> DataFrame:
     """Entities that entered or left the eligible universe between two runs, as rows.
 
-    ``run_pairs`` has from_run and to_run. A snapshot row meets only the pairs its run takes part in.
+    ``run_pairs`` has from_run and to_run. Entities that every run holds are laid out over no pair. A run without a
+    snapshot tells nothing: its pairs have no rows.
     """
-    ends = F.explode(F.array(
-        F.struct(F.col("from_run").alias("run_id"), F.lit(False).alias("later")),
-        F.struct(F.col("to_run").alias("run_id"), F.lit(True).alias("later")),
-    ))
-    wanted = run_pairs.select("from_run", "to_run").distinct().select("from_run", "to_run", ends.alias("e"))
-    rows = snapshots.where(~F.col("is_aggregate")).select("run_id", "entity").join(
-        wanted.select("from_run", "to_run", "e.run_id", "e.later"), "run_id"
-    )
-    sides = rows.groupBy("from_run", "to_run", "entity").agg(
-        F.bool_or(~F.col("later")).alias("before"), F.bool_or("later").alias("after")
-    )
-    changed = sides.where(F.col("before") != F.col("after"))
-    return changed.select(
-        "from_run", "to_run", "entity", F.when(F.col("after"), "added").otherwise("removed").alias("change")
-    )
+    return _changed(_moving(snapshots), run_pairs).select("from_run", "to_run", "entity", "change")
+
+
+def universe_change_counts(snapshots: DataFrame, run_pairs: DataFrame) -> DataFrame:
+    """How many entities entered and left between two runs, for any number of pairs; a row for each pair.
+
+    Entities that the same runs hold are counted once together, so pairs meet the distinct histories, not entities.
+    """
+    histories = _moving(snapshots).groupBy("own", "runs").agg(F.count("*").alias("entities"))
+    counts = _changed(histories, run_pairs).groupBy("from_run", "to_run").agg(*[
+        F.sum(F.when(F.col("change") == kind, F.col("entities")).otherwise(0)).alias(kind) for kind in ("added", "removed")
+    ])
+    pairs = run_pairs.select("from_run", "to_run").distinct()
+    return pairs.join(counts, ["from_run", "to_run"], "left").na.fill(0, ["added", "removed"])
 
 
 def explain_change(eligible_delta: Column, valid_delta: Column, received_delta: Column, removed_delta: Column,
@@ -146,9 +182,7 @@ def total_changes(obs: DataFrame, dim: DataFrame, stats: DataFrame, runs: DataFr
     rows = cut_lineage(rows)  # a row for each metric and pair; read again for its runs
     pairs = rows.select(F.col("from_run_id").alias("from_run"), F.col("to_run_id").alias("to_run"))
     pairs = pairs.where(F.col("from_run") != F.col("to_run"))
-    changes = universe_changes(snapshots, pairs).groupBy("from_run", "to_run").agg(
-        F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed")
-    )
+    changes = universe_change_counts(snapshots, pairs)
     rows = rows.join(
         changes,
         (rows["from_run_id"] == changes["from_run"]) & (rows["to_run_id"] == changes["to_run"]), "left",

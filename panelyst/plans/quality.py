@@ -11,7 +11,7 @@ from panelyst.plans.shape import shaped
 from panelyst.registry import METRICS
 from panelyst.session import table_folder, written
 from panelyst.sources import payloads, publish, scans
-from panelyst.sources.tables import customer_panel, part_dim, part_panel, published, stored, user_day_panel
+from panelyst.sources.tables import code, customer_panel, part_dim, part_panel, published, stored, user_day_panel
 from panelyst.streaming import waiting
 
 A, M, B = R.A, R.M, R.B
@@ -420,6 +420,28 @@ def universe_changes(spark, sf_dir):
     return coverage.universe_changes(_snapshots(spark, sf_dir), pairs)
 
 
+def _quarter_snapshots(spark, sf_dir):
+    """A run for each quarter of the shipments; the universe it saw are the parts shipped in it or the one before."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_shipdate")
+    quarter = (F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1).cast("long")
+    seen = lines.select(code("P", "l_partkey").alias("entity"), F.explode(F.array(quarter, quarter + 1)).alias("run_id"))
+    return seen.distinct().withColumn("is_aggregate", F.lit(False))
+
+
+def universe_intervals(spark, sf_dir):
+    return coverage.universe_intervals(_quarter_snapshots(spark, sf_dir))
+
+
+def universe_change_counts(spark, sf_dir):
+    """All pairs of runs: what entered and left between any two of them."""
+    snapshots = written(_quarter_snapshots(spark, sf_dir))
+    runs = snapshots.agg(F.array_sort(F.collect_set("run_id")).alias("runs"))
+    pairs = runs.select("runs", F.explode("runs").alias("from_run")).select(
+        "from_run", F.explode(F.filter("runs", lambda r: r > F.col("from_run"))).alias("to_run")
+    )
+    return coverage.universe_change_counts(snapshots, pairs)
+
+
 def total_changes(spark, sf_dir):
     p = part_panel(spark, sf_dir, RAW_METRICS)
     return coverage.total_changes(
@@ -569,6 +591,11 @@ SELECT CAST(position AS BIGINT) AS position, "check", CASE WHEN failing = 0 THEN
 
 _SUBJECTS = values_([(m.key, m.subject, m.unit) for m in METRICS.values()])
 
+_QUARTERS = """WITH seen AS MATERIALIZED (
+  SELECT DISTINCT 'P' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS entity, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 + k AS BIGINT) AS run_id
+  FROM lineitem CROSS JOIN (VALUES (0), (1)) t(k)),
+runs AS (SELECT run_id, row_number() OVER (ORDER BY run_id) AS place FROM (SELECT DISTINCT run_id FROM seen) t)"""
+
 QUERIES = {
     "scan_eligible_year": (scan_eligible_year, _S + f"SELECT s.entity, name, year, round(value, 4) AS value, value_raw, vintage FROM st s JOIN part_dim d ON d.entity = s.entity WHERE NOT is_aggregate AND metric = 'exports_current' AND year = {B}"),
     "scan_eligible_range": (scan_eligible_range, _S + f"SELECT s.entity, name, year, round(value, 4) AS value FROM st s JOIN part_dim d ON d.entity = s.entity WHERE NOT is_aggregate AND metric = 'exports_current' AND year BETWEEN {A} AND {M}"),
@@ -661,6 +688,16 @@ UNION ALL SELECT 'changed', count(*) = 0 FROM part_dim WHERE ({_K}) % 9 = 2 AND
     "universe_changes": (universe_changes, with_(PART_DIM) + f"""
 SELECT 1::BIGINT AS from_run, 2::BIGINT AS to_run, entity, 'added' AS change FROM part_dim WHERE NOT is_aggregate AND ({_K}) % 29 = 0
 UNION ALL SELECT 2, 1, entity, 'removed' FROM part_dim WHERE NOT is_aggregate AND ({_K}) % 29 = 0"""),
+    "universe_intervals": (universe_intervals, _QUARTERS + """
+SELECT entity, min(run_id) AS first_run, max(run_id) AS last_run FROM (
+  SELECT entity, run_id, place - row_number() OVER (PARTITION BY entity ORDER BY run_id) AS island
+  FROM seen JOIN runs USING (run_id) WHERE entity IN (SELECT entity FROM seen GROUP BY entity HAVING count(*) < (SELECT count(*) FROM runs))) t
+GROUP BY entity, island"""),
+    "universe_change_counts": (universe_change_counts, _QUARTERS + """,
+size AS (SELECT run_id, count(*) AS n FROM seen GROUP BY run_id),
+same AS (SELECT a.run_id AS x, b.run_id AS y, count(*) AS n FROM seen a JOIN seen b ON a.entity = b.entity AND a.run_id < b.run_id GROUP BY 1, 2)
+SELECT a.run_id AS from_run, b.run_id AS to_run, b.n - coalesce(s.n, 0) AS added, a.n - coalesce(s.n, 0) AS removed
+FROM size a JOIN size b ON a.run_id < b.run_id LEFT JOIN same s ON s.x = a.run_id AND s.y = b.run_id"""),
     "total_changes": (total_changes, _ST.rstrip() + f""",
 size AS (SELECT run_id, count(*) FILTER (WHERE NOT is_aggregate) AS s FROM snap GROUP BY run_id),
 fact AS (SELECT n.metric, n.year, n.n, l.run_id, l.rows_received, l.rows_aggregate_excluded + l.rows_blank_skipped + l.rows_unknown AS gone,
