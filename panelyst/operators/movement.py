@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelyst.functions.plan import plan_rows
-from panelyst.operators.ordered import group_facts, join_small, prefix_counts, rank_rows
+from panelyst.operators.ordered import group_bound, group_facts, join_small, prefix_counts, rank_rows
 
 SIDES_TWO = ("a", "b")
 SIDES_THREE = ("a", "m", "b")
@@ -265,11 +265,15 @@ def relation_filters(rows: DataFrame, names: list[str], sides: tuple[str, ...] =
 
 
 def status_positions(rows: DataFrame, sides: tuple[str, ...] = SIDES_TWO, *, rows_bound: int | None = None) -> DataFrame:
-    """Each entity's place in the list of its status, which goes by code."""
-    listed = rows.select("metric", *sides, "status", "entity", F.lit(0.0).alias("_same"))
+    """Each entity's place in the list of its status, which goes by code, and its place there by its last rank."""
+    group = ["metric", *sides, "status"]
+    shown = F.coalesce(*[F.col(f"rank_{s}") for s in reversed(sides)]).cast("double")
+    listed = rows.select(*group, "entity", shown.alias("_shown"), F.lit(0.0).alias("_same"))
+    bound = group_bound(listed, group, rows_bound)
+    by_rank = rank_rows(listed, group, "_shown", direction="ASC", rank="position_by_rank", total="_n", rows_bound=bound)
     placed = rank_rows(
-        listed, ["metric", *sides, "status"], "_same", direction="ASC", rank="position_in_status", total="n_status",
-        rows_bound=rows_bound,
+        by_rank.drop("_shown", "_n"), group, "_same", direction="ASC", rank="position_in_status", total="n_status",
+        rows_bound=bound,
     )
     return placed.drop("_same")
 

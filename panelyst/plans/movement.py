@@ -456,6 +456,7 @@ QUERIES = {
         f"SELECT '{n}' AS filter, metric, a, m, b, focus, entity FROM three WHERE {c}" for n, c in _OUTSIDE_FILTERS.items())),
     "movement_status_positions": (movement_status_positions, with_(CUST, RANKED, _TWO_LEVEL) + """
 SELECT metric, a, b, status, entity, row_number() OVER (PARTITION BY metric, a, b, status ORDER BY entity) AS position_in_status,
+  row_number() OVER (PARTITION BY metric, a, b, status ORDER BY coalesce(rank_b, rank_a), entity) AS position_by_rank,
   count(*) OVER (PARTITION BY metric, a, b, status) AS n_status FROM moved"""),
     "movement_verified": (movement_verified, with_(CUST, RANKED, _TWO_LEVEL) + _MOVED),
     "verify_tampered": (verify_tampered, with_(CUST, RANKED, _TWO_LEVEL) + f"""

@@ -111,3 +111,24 @@ def test_relations(spark, obs):
     assert affecting.get("exited", 0) == mine.exited_above and affecting.get("entered", 0) == mine.entered_above
     assert mv.filter_relations(seen, "above_a").count() == mine.rank_a - 1
     assert {r.entity for r in mv.summary_rows(seen).where("status = 'common'").collect()} == {focus}
+
+
+@pytest.mark.parametrize("window_rows", [1_000_000, 5])
+def test_status_positions_go_by_code_and_by_rank(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", window_rows)
+    rng = random.Random(9)
+    order = {y: rng.sample([f"E{i:02d}" for i in range(30)], 20) for y in (2000, 2003)}
+    ranks = {y: {e: i + 1 for i, e in enumerate(entities)} for y, entities in order.items()}
+    rows = []
+    for e in sorted({*order[2000], *order[2003]}):
+        a, b = ranks[2000].get(e), ranks[2003].get(e)
+        rows.append(("m", 2000, 2003, e, "exited" if b is None else "entered" if a is None else "common", a, b))
+    schema = "metric string, a int, b int, entity string, status string, rank_a long, rank_b long"
+    got = mv.status_positions(spark.createDataFrame(rows, schema).repartition(3)).collect()
+    assert len(got) == len(rows)
+    for status in ("common", "exited", "entered"):
+        listed = [(e, b or a) for _, _, _, e, s, a, b in rows if s == status]
+        assert listed
+        by_rank = {e: i + 1 for i, (_, e) in enumerate(sorted((r, e) for e, r in listed))}
+        want = {(e, i + 1, by_rank[e], len(listed)) for i, (e, _) in enumerate(listed)}
+        assert {(r.entity, r.position_in_status, r.position_by_rank, r.n_status) for r in got if r.status == status} == want
