@@ -5,18 +5,22 @@ A rank change splits exactly into like-for-like movement and population entry an
     F_B - F_A = (K_B - K_A) + entered_above_B - exited_above_A
 
 F ranks the whole year, K ranks only the entities present in all compared years. The comparator is
-row-local, so K is the count of common entities at or above a row in the full order; nothing is
-sorted twice and no (focus, other) pair is built.
+row-local, so K is the count of common entities at or above a row in the full order. The counts of all
+requests run along the ranks of a year at once; no (focus, other) pair is built.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelyst.functions.plan import plan_rows
-from panelyst.operators.ordered import group_bound, group_facts, join_small, prefix_counts, rank_rows
+from panelyst.operators import ordered
+from panelyst.operators.ordered import group_bound, join_small, rank_rows
+from panelyst.operators.presence import BITS, masks, word_count
+from panelyst.session import written
 
 SIDES_TWO = ("a", "b")
 SIDES_THREE = ("a", "m", "b")
@@ -45,24 +49,126 @@ def _checked(requests: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
     return sorted(set(requests))
 
 
-def align(ranked: DataFrame, requests: list[tuple[int, ...]], sides: tuple[str, ...],
-          key: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per (metric, request, entity) seen in any of its years, a column set per side.
+def _asked(requests: list[tuple[int, ...]]) -> dict[int, list[tuple[int, ...]]]:
+    """The requests that each year takes part in."""
+    years = sorted({y for request in requests for y in request}) or [0]  # no request: a year that nothing takes part in
+    return {y: [r for r in requests if y in r] for y in years}
 
-    The panel is shuffled once, by entity; requests are laid out from each entity's own map of
-    years, which is bounded by the years asked for.
+
+def request_plan(requests: list[tuple[int, ...]], sides: tuple[str, ...]) -> Column:
+    """A struct for each request: its number, its years, and its place among the requests of each of them."""
+    asked = _asked(requests)
+    rows = [
+        {"request": n} | dict(zip(sides, r)) | {f"at_{s}": asked[y].index(r) for s, y in zip(sides, r)}
+        for n, r in enumerate(requests)
+    ]
+    return plan_rows(rows, "; ".join(["request int", *(f"{s} int" for s in sides), *(f"at_{s} int" for s in sides)]))
+
+
+def year_words(span: list[int], where: Column) -> list[Column]:
+    """Aggregates: the years of ``span`` whose rows satisfy ``where``, as bits."""
+    first = min(span)
+    bit = F.expr(f"shiftleft(1L, cast(pmod(year - {first}, {BITS}) as int))")
+    word = F.floor((F.col("year") - first) / BITS)
+    none = F.lit(0).cast("long")
+    return [F.bit_or(F.when(where & (word == w), bit).otherwise(none)) for w in range(word_count(span))]
+
+
+def holds_all(words: list[str], required: list[Column]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(w).bitwiseAND(r) == r for w, r in zip(words, required)])
+
+
+def beside_years(rows: DataFrame, requests: list[tuple[int, ...]], rows_bound: int) -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` (metric, entity, year ...) with the years each entity holds, and for each place among a year's requests
+    whether the entity holds all years of the request there.
+
+    Rows of large groups are fixed, because what counts along them reads them twice.
+    """
+    asked = _asked(requests)
+    span = list(asked)
+    words = [f"_years_{w}" for w in range(word_count(span))]
+    entity = Window.partitionBy("metric", "entity")
+    held = rows.select("*", *[c.over(entity).alias(w) for w, c in zip(words, year_words(span, F.lit(True)))])
+    if rows_bound > ordered.WINDOW_ROWS:
+        held = written(held)
+    at = F.col("year").cast("int") - min(span)
+    every = range(min(span), max(span) + 1)
+    complete = {}
+    for place in range(max(1, *map(len, asked.values()))):
+        required = [masks(span, asked[y][place]) if place < len(asked.get(y, ())) else None for y in every]
+        lines = [F.from_json(F.lit(json.dumps([m and m[w] for m in required])), "array<bigint>") for w in range(len(words))]
+        complete[f"_all_{place}"] = holds_all(words, [F.get(line, at) for line in lines])
+    return held, complete
+
+
+def laid_parts(rows: DataFrame, requests: int, rows_bound: int, metrics: int) -> int:
+    """Partitions of entities such that a task lays out about as many rows as a slice holds."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows_bound * requests * metrics // ordered._slice_rows()))
+
+
+def by_entity(rows: DataFrame, complete: dict[str, Column], fields: list[str], rows_bound: int, parts: int,
+              *kept: str) -> DataFrame:
+    """One row per metric and entity: ``_seen``, a map from its years to ``fields`` and ``upto``, the running counts
+    of ``complete`` at the entity's rank in that year; beside it the columns ``kept``, alike in all of an entity's rows."""
+    kind = "int" if rows_bound < 2**31 else "long"
+    upto = F.array(*[F.col(c).cast(kind) for c in complete]).alias("upto")
+    entry = F.struct(F.col("year"), F.struct(*fields, upto)).alias("_entry")
+    dealt = rows.select("metric", "entity", entry, *kept).repartition(parts, "metric", "entity")
+    return dealt.groupBy("metric", "entity").agg(
+        F.map_from_entries(F.collect_list("_entry")).alias("_seen"), *[F.max(c).alias(c) for c in kept]
+    )
+
+
+def _totals(held: DataFrame, plan: Column, requests: list[tuple[int, ...]], sides: tuple[str, ...],
+            counts: dict[str, Column]) -> DataFrame:
+    """Population counts of each metric and request. Entities that hold the same years count alike, so each pattern of
+    years is laid out once, not each entity."""
+    span = list(_asked(requests))
+    size = word_count(span)
+    words, ranked = [f"_years_{w}" for w in range(size)], [f"_ranked_{w}" for w in range(size)]
+    each = held.groupBy("metric", "entity").agg(
+        *[F.max(w).alias(w) for w in words],
+        *[c.alias(r) for r, c in zip(ranked, year_words(span, F.col("rank").isNotNull()))],
+    )
+    patterns = each.groupBy("metric", *words, *ranked).agg(F.count(F.lit(1)).alias("_entities"))
+    laid = patterns.select("*", F.explode(plan).alias("_plan"))
+
+    def there(prefix, side):
+        place = F.col("_plan")[side] - min(span)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(BITS)).cast("int"))
+        word = F.get(F.array(*[f"{prefix}{w}" for w in range(size)]), F.floor(place / BITS).cast("int"))
+        return word.bitwiseAND(bit) != 0
+
+    present = [there("_years_", s) for s in sides]
+    laid = laid.where(reduce(lambda x, y: x | y, present)).withColumn("common", reduce(lambda x, y: x & y, present))
+    laid = laid.withColumns({f"rank_{s}": F.when(there("_ranked_", s), F.lit(1)) for s in sides})
+    added = [F.coalesce(F.sum(F.when(c, F.col("_entities"))), F.lit(0)).alias(n) for n, c in counts.items()]
+    return laid.groupBy(F.col("metric").alias("_of"), F.col("_plan.request").alias("_request")).agg(*added)
+
+
+def align(ranked: DataFrame, requests: list[tuple[int, ...]], sides: tuple[str, ...], counts: dict[str, Column], *,
+          rows_bound: int, metrics: int, key: str = "value", carry: tuple[str, ...] = (),
+          slice_rows: int | None = None, fixed: bool = False) -> DataFrame:
+    """One row per (metric, request, entity) seen in any of its years, a column set per side, with the request's
+    ``counts`` and how many common entities stand at or above the row (``_common_a`` ...).
+
+    All that is counted is counted in the panel itself, a row per entity and year, and comes back to the entity in its
+    map of years, which is bounded by the years asked for. Requests are laid out from that map in the end, so that
+    nothing as large as entities x requests is ordered, shuffled or stored. With ``fixed`` the maps are a table: all
+    that reads the result reads the same rows.
     """
     requests = _checked(requests)
+    plan = request_plan(requests, sides)
     wanted = sorted({y for years in requests for y in years})
-    fields = [F.col(key).alias("key"), "rank", *carry]
-    entry = F.struct(F.col("year"), F.struct(*fields))
-    seen = (
-        ranked.where(F.col("year").isin(wanted))
-        .groupBy("metric", "entity")
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("_seen"))
-    )
-    plan = plan_rows([dict(zip(sides, years)) for years in requests], "; ".join(f"{s} int" for s in sides))
-    laid = seen.select("*", F.explode(plan).alias("_plan"))
+    narrow = ranked.where(F.col("year").isin(wanted)).select("metric", "entity", "year", F.col(key).alias("key"), "rank", *carry)
+    held, complete = beside_years(narrow, requests, rows_bound)
+    totals = _totals(held, plan, requests, sides, counts)
+    counted = ordered.prefix_counts(held, ["metric", "year"], "rank", complete, rows_bound=rows_bound, slice_rows=slice_rows)
+    parts = laid_parts(ranked, len(requests), rows_bound, metrics)
+    seen = by_entity(counted, complete, ["key", "rank", *carry], rows_bound, parts)
+    if fixed:
+        seen, totals = written(seen).repartition(parts, "metric", "entity"), written(totals)
+    laid = seen.select("metric", "entity", "_seen", F.explode(plan).alias("_plan"))
     for side in sides:
         laid = laid.withColumn(f"_{side}", F.try_element_at("_seen", F.col("_plan")[side]))
     columns = [F.col("_plan")[s].alias(s) for s in sides]
@@ -70,51 +176,37 @@ def align(ranked: DataFrame, requests: list[tuple[int, ...]], sides: tuple[str,
         columns += [
             F.col(f"_{side}.{field}").alias(f"{field}_{side}") for field in ("key", "rank", *carry)
         ]
+        columns.append(F.get(F.col(f"_{side}.upto"), F.col("_plan")[f"at_{side}"]).cast("long").alias(f"_common_{side}"))
     present = [F.col(f"_{s}").isNotNull() for s in sides]
     any_present, all_present = present[0], present[0]
     for p in present[1:]:
         any_present, all_present = any_present | p, all_present & p
-    return laid.where(any_present).select("metric", "entity", all_present.alias("common"), *columns)
-
-
-def _totals(rows: DataFrame, sides: tuple[str, ...], counts: dict[str, Column], rows_bound: int,
-            groups_bound: int) -> DataFrame:
-    """Population counts of each request; requests and metrics are known up front."""
-    facts = {n: F.count_if(c) for n, c in counts.items()}
-    return group_facts(rows, ["metric", *sides], facts, rows_bound=rows_bound, groups_bound=groups_bound)
+    laid = laid.where(any_present).select("metric", "entity", all_present.alias("common"), F.col("_plan.request").alias("request"), *columns)
+    small = F.broadcast(totals) if len(requests) * metrics <= ordered.BROADCAST_ROWS else totals
+    same = F.col("metric").eqNullSafe(F.col("_of")) & (F.col("request") == F.col("_request"))
+    return laid.join(small, same, "left").drop("_of", "_request", "request")
 
 
 def two_year(ranked: DataFrame, pairs: list[tuple[int, int]], *, rows_bound: int, metrics: int = 20,
              key: str = "value", reasons: dict[str, str] = MISSING_TWO, carry: tuple[str, ...] = (),
-             slice_rows: int | None = None) -> DataFrame:
+             slice_rows: int | None = None, fixed: bool = False) -> DataFrame:
     """Movement of every entity over every pair.
 
     Entities missing a year get a reason instead of a decomposition; a rank they do hold stays.
-    ``metrics`` bounds the metrics present, which with the pairs bounds the totals table.
+    ``metrics`` bounds the metrics present, which with the pairs bounds the totals table. ``fixed`` is that of ``align``.
     """
-    rows = align(ranked, pairs, SIDES_TWO, key, carry)
-    rows = rows.withColumn(
-        "status",
-        F.when(F.col("common"), "common").when(F.col("rank_b").isNull(), "exited").otherwise("entered"),
-    )
+    status = F.when(F.col("common"), "common").when(F.col("rank_b").isNull(), "exited").otherwise("entered")
+    counts = {
+        "n_a": F.col("rank_a").isNotNull(),
+        "n_b": F.col("rank_b").isNotNull(),
+        "n_common": F.col("common"),
+        "n_exited": status == "exited",
+        "n_entered": status == "entered",
+    }
+    rows = align(ranked, pairs, SIDES_TWO, counts, rows_bound=rows_bound, metrics=metrics, key=key, carry=carry,
+                 slice_rows=slice_rows, fixed=fixed)
+    rows = rows.withColumn("status", status)
     status = F.col("status")
-    rows = _totals(
-        rows, SIDES_TWO,
-        {
-            "n_a": F.col("rank_a").isNotNull(),
-            "n_b": F.col("rank_b").isNotNull(),
-            "n_common": F.col("common"),
-            "n_exited": status == "exited",
-            "n_entered": status == "entered",
-        },
-        rows_bound,
-        len(pairs) * metrics,
-    )
-    group = ["metric", "a", "b"]
-    rows = prefix_counts(rows, group, "rank_a", {"_common_a": F.col("common")},
-                         rows_bound=rows_bound, slice_rows=slice_rows)
-    rows = prefix_counts(rows, group, "rank_b", {"_common_b": F.col("common")},
-                         rows_bound=rows_bound, slice_rows=slice_rows)
     common = F.col("common")
     exited_above = F.col("rank_a") - F.col("_common_a")
     entered_above = F.col("rank_b") - F.col("_common_b")
@@ -147,17 +239,14 @@ def two_year_yoy(yoy_ranked: DataFrame, pairs: list[tuple[int, int]], **options)
 
 
 def three_year(ranked: DataFrame, triples: list[tuple[int, int, int]], *, rows_bound: int,
-               metrics: int = 20, key: str = "value", slice_rows: int | None = None) -> DataFrame:
+               metrics: int = 20, key: str = "value", slice_rows: int | None = None, fixed: bool = False) -> DataFrame:
     """Movement through a middle year over one universe common to all three."""
-    rows = align(ranked, triples, SIDES_THREE, key)
     outside = ~F.col("common")
     counts = {f"n_{s}": F.col(f"rank_{s}").isNotNull() for s in SIDES_THREE}
     counts |= {"n_common": F.col("common"), "n_outside": outside}
     counts |= {f"n_outside_{s}": outside & F.col(f"rank_{s}").isNotNull() for s in SIDES_THREE}
-    rows = _totals(rows, SIDES_THREE, counts, rows_bound, len(triples) * metrics)
-    for s in SIDES_THREE:
-        rows = prefix_counts(rows, ["metric", *SIDES_THREE], f"rank_{s}", {f"_common_{s}": F.col("common")},
-                             rows_bound=rows_bound, slice_rows=slice_rows)
+    rows = align(ranked, triples, SIDES_THREE, counts, rows_bound=rows_bound, metrics=metrics, key=key,
+                 slice_rows=slice_rows, fixed=fixed)
     common = F.col("common")
     parts: dict[str, Column] = {f"common_rank_{s}": F.col(f"_common_{s}") for s in SIDES_THREE}
     for s in SIDES_THREE:
