@@ -22,6 +22,8 @@ from panelyst.operators.ordered import group_bound, join_small, rank_rows
 from panelyst.operators.presence import BITS, masks, word_count
 from panelyst.session import written
 
+# Rows of entities x requests that one task lays out.
+LAID_ROWS = 250_000
 SIDES_TWO = ("a", "b")
 SIDES_THREE = ("a", "m", "b")
 MISSING_TWO = {"a": "focus_missing_in_yearA", "b": "focus_missing_in_yearB", "both": "focus_missing_in_both_years"}
@@ -102,8 +104,8 @@ def beside_years(rows: DataFrame, requests: list[tuple[int, ...]], rows_bound: i
 
 
 def laid_parts(rows: DataFrame, requests: int, rows_bound: int, metrics: int) -> int:
-    """Partitions of entities such that a task lays out about as many rows as a slice holds."""
-    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows_bound * requests * metrics // ordered._slice_rows()))
+    """Partitions of entities such that a task lays out about LAID_ROWS rows."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows_bound * requests * metrics // LAID_ROWS))
 
 
 def by_entity(rows: DataFrame, complete: dict[str, Column], fields: list[str], rows_bound: int, parts: int,

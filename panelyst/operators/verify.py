@@ -6,13 +6,15 @@ source are proven by ``certify``, and common ranks are running counts along them
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelyst.functions.plan import plan_rows
 from panelyst.operators.certificates import certify
 from panelyst.operators.growth import NO_MIDDLE, growth_movement, interval_rows
-from panelyst.operators.movement import SIDES_THREE, SIDES_TWO, three_year, two_year
+from panelyst.operators.movement import SIDES_THREE, SIDES_TWO, beside_years, by_entity, laid_parts, request_plan, three_year, two_year
 from panelyst.operators.ordered import join_small
+from panelyst.operators.presence import BITS
 from panelyst.operators.rank import direction_sign
 from panelyst.session import cut_lineage
 
@@ -34,32 +36,120 @@ def _report(rows: DataFrame, keys: list[str], checks: dict[str, Column]) -> Data
     return judged.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.check", "e.passed")
 
 
+class _Pass:
+    """What one pass over the rows adds up, and checks made of it beside totals of the same group: the rows are never
+    read twice, and so never stored."""
+
+    def __init__(self) -> None:
+        self.facts: dict[str, Column] = {}
+
+    def add(self, fact: Column) -> Column:
+        name = f"_f{len(self.facts)}"
+        self.facts[name] = fact
+        return F.col(name)
+
+    def count(self, where: Column) -> Column:
+        return self.add(F.count_if(where))
+
+    def every(self, check: Column) -> Column:
+        return F.coalesce(self.add(F.bool_and(F.coalesce(check, F.lit(False)))), F.lit(True))
+
+    def equal(self, value: Column, total: Column, where: Column | None = None) -> Column:
+        """Every row's ``value`` is the group's ``total``."""
+        where = F.lit(True) if where is None else where
+        mine = F.when(where, value)
+        low, high, missing = self.add(F.min(mine)), self.add(F.max(mine)), self.count(where & value.isNull())
+        return (missing == 0) & F.coalesce((low == total) & (high == total), F.lit(True))
+
+    def within(self, value: Column, total: Column) -> Column:
+        """Every value lies between 1 and the group's ``total``; rows without one do not matter."""
+        return F.coalesce((self.add(F.min(value)) >= 1) & (self.add(F.max(value)) <= total), F.lit(True))
+
+    def report(self, rows: DataFrame, keys: list[str], checks: dict[str, Column]) -> DataFrame:
+        judged = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in self.facts.items()])
+        entries = F.array(*[F.struct(F.lit(name).alias("check"), passed.alias("passed")) for name, passed in checks.items()])
+        return judged.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.check", "e.passed")
+
+
+def _source(ranked: DataFrame, requests: list[tuple[int, ...]], key: str, rows_bound: int, metrics: int) -> DataFrame:
+    """One row per metric and entity: what the ranked panel says of each year asked for (the key, the rank, whether it
+    is proven, and the common entities at or above it in each request), and the years held as bits."""
+    wanted = sorted({y for years in requests for y in years})
+    rows = ranked.where(F.col("year").isin(wanted)).repartition("metric", "entity").groupBy("metric", "entity", "year").agg(
+        F.max(key).alias("key"), F.max("rank").alias("rank")
+    )
+    held, complete = beside_years(rows, requests, rows_bound)
+    by = F.col("key") * direction_sign(F.col("metric"))
+    proven = certify(held, ["metric", "year"], "rank", by, "ordered", complete, rows_bound=rows_bound)
+    # Dealt out as the movement is, whose rows then stay where they are.
+    parts = laid_parts(ranked, len(requests), rows_bound, metrics)
+    return by_entity(proven, complete, ["key", "rank", "ordered"], rows_bound, parts, *[c for c in held.columns if c not in rows.columns])
+
+
 def _against_source(movement: DataFrame, ranked: DataFrame, requests: list[tuple[int, ...]],
-                    sides: tuple[str, ...], key: str) -> DataFrame:
-    """Movement rows joined to what the ranked panel says, so that a lost, invented or doubled
-    entity shows."""
-    keys = ["metric", *sides, "entity"]
-    plan = plan_rows([dict(zip(sides, years)) for years in sorted(set(requests))], "; ".join(f"{s} int" for s in sides))
-    laid = ranked.select("metric", "entity", "year", F.col(key).alias("key"), "rank", F.explode(plan).alias("p"))
-    laid = laid.select("metric", "entity", "year", "key", "rank", "p.*")
-    at = [F.col("year") == F.col(s) for s in sides]
-    hit = at[0]
-    for c in at[1:]:
-        hit = hit | c
-    picked = []
+                    sides: tuple[str, ...], key: str, rows_bound: int, metrics: int) -> DataFrame:
+    """Movement rows beside what the ranked panel says, so that a lost, invented or doubled entity shows.
+
+    The panel's side comes as one row per metric and entity, so that requests are laid out on neither side of the join.
+    An entity's rows lie in the order of requests; a request that the panel asks for and that lies in no row, between
+    two rows or at the ends, is a lost row.
+    """
+    requests = sorted(set(requests))
+    plan = request_plan(requests, sides)
+    span = sorted({y for years in requests for y in years}) or [0]
+    source = _source(ranked, requests, key, rows_bound, metrics).withColumn("_in_source", F.lit(True))
+    words = [c for c in source.columns if c.startswith("_years_")]
+    numbered = movement.sparkSession.range(1).select(F.explode(plan).alias("_p")).select("_p.*")
+    rows = movement.withColumn("_in_result", F.lit(True)).join(F.broadcast(numbered), list(sides), "left")
+    # An entity has one row a request, so these groups stay tiny; one order serves the window and the join.
+    along = Window.partitionBy("metric", "entity").orderBy("request", *sides)
+    rows = rows.withColumns({
+        "_copies": F.count(F.lit(1)).over(along.rangeBetween(Window.currentRow, Window.currentRow)),
+        "_before": F.lag("request").over(along), "_more": F.lead(F.lit(True)).over(along),
+    })
+    rows = rows.join(source, ["metric", "entity"], "full")
+    # Requests between the row before and this one; behind an entity's last row, also all that follow.
+    mine, before, many = F.coalesce("request", F.lit(-1)), F.coalesce("_before", F.lit(-1)), F.lit(len(requests))
+    last = ~F.coalesce("_more", F.lit(False))
+
+    def lost(first, count):
+        return F.when(F.col("_in_source") & (count > 0), F.filter(F.slice(plan, first + 1, count), asked))
+
+    def asked(p):
+        # Held by the panel in any year of the request.
+        any_held = F.lit(False)
+        for s in sides:
+            place = p[s] - min(span)
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(BITS)).cast("int"))
+            word = F.get(F.array(*words), F.floor(place / BITS).cast("int"))
+            any_held = any_held | (word.bitwiseAND(bit) != 0)
+        return any_held
+
+    own = F.struct("request", *sides, *[f"at_{s}" for s in sides])
+    entries = F.concat(
+        F.when(F.col("_in_result"), F.array(F.struct(F.lit(False).alias("lost"), own.alias("of")))).otherwise(F.array()),
+        *[F.coalesce(F.transform(part, lambda p: F.struct(F.lit(True).alias("lost"), p.alias("of"))), F.array()) for part in (
+            lost(before + 1, mine - before - 1), F.when(last, lost(mine + 1, many - mine - 1)),
+        )],
+    )
+    rows = rows.withColumn("_entry", F.explode(entries))
+    there = ~F.col("_entry.lost")
+    shown = [F.when(there, F.col(c)).alias(c) for c in (*movement.columns, "_in_result", "_copies") if c not in ("metric", "entity", *sides)]
+    known = F.col("_entry.of.request").isNotNull()
+    picked, seen = [], []
     for s in sides:
-        here = F.col("year") == F.col(s)
+        at = F.when(known, F.try_element_at("_seen", F.col(f"_entry.of.{s}")))
+        seen.append(at.isNotNull())
         picked += [
-            F.count_if(here).alias(f"_seen_{s}"),
-            F.max(F.when(here, F.col("rank"))).alias(f"_rank_{s}"),
-            F.max(F.when(here, F.col("key"))).alias(f"_key_{s}"),
+            at.isNotNull().alias(f"_seen_{s}"), at["rank"].alias(f"_rank_{s}"), at["key"].alias(f"_key_{s}"),
+            F.coalesce(at["ordered"], F.lit(True)).alias(f"_ordered_{s}"),
+            F.get(at["upto"], F.col(f"_entry.of.at_{s}")).cast("long").alias(f"_upto_{s}"),
         ]
-    expected = laid.where(hit).groupBy(*keys).agg(*picked)
-    # One row is expected per entity and request, so these groups stay tiny.
-    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = movement.withColumn("_copies", copies).withColumn("_in_result", F.lit(True))
-    # The rows judged below must be one fixed set, read several times.
-    return cut_lineage(expected.join(rows, keys, "full"))
+    rows = rows.select("metric", "entity", *[F.col(f"_entry.of.{s}").alias(s) for s in sides], *shown, *picked)
+    every = reduce(lambda x, y: x & y, [F.col(f"_seen_{s}") for s in sides])
+    return rows.withColumn("_every", every).withColumns(
+        {f"_fresh_common_{s}": F.when(every, F.col(f"_upto_{s}")) for s in sides}
+    )
 
 
 def _counted(rows: DataFrame, keys: list[str], facts: dict[str, Column], groups_bound: int) -> DataFrame:
@@ -68,38 +158,32 @@ def _counted(rows: DataFrame, keys: list[str], facts: dict[str, Column], groups_
     return join_small(rows, small, keys, groups_bound)
 
 
-def _recount(rows: DataFrame, sides: tuple[str, ...], groups_bound: int) -> DataFrame:
-    seen = {s: F.coalesce(F.col(f"_seen_{s}"), F.lit(0)) > 0 for s in sides}
-    every = seen[sides[0]]
-    for s in sides[1:]:
-        every = every & seen[s]
-    counts = {f"_n_{s}": c for s, c in seen.items()} | {"_n_common": every}
-    counts |= {f"_n_outside_{s}": c & ~every for s, c in seen.items()}
-    counts["_n_union"] = F.lit(True)
-    keys = ["metric", *sides]
-    facts = {n: F.count_if(c) for n, c in counts.items()}
-    return _counted(rows.withColumn("_every", every), keys, facts, groups_bound)
+def _totals(done: _Pass, sides: tuple[str, ...]) -> dict[str, Column]:
+    """The populations, counted again from what the panel says."""
+    every = F.col("_every")
+    out = {f"n_{s}": done.count(F.col(f"_seen_{s}")) for s in sides} | {"n_common": done.count(every)}
+    out |= {f"n_outside_{s}": done.count(F.col(f"_seen_{s}") & ~every) for s in sides}
+    return out | {"n_union": done.count(F.lit(True))}
 
 
-def _checks_of_sides(sides):
+def _checks_of_sides(done: _Pass, totals: dict[str, Column], sides):
     """Checks both forms share."""
     checks = {}
     for s in sides:
         name = LABEL[s]
-        checks[f"{name}.set_partition"] = _same(F.col(f"n_{s}"), F.col(f"_n_{s}"))
-        seen = F.coalesce(F.col(f"_seen_{s}"), F.lit(0)) > 0
-        checks[f"{name}.ranking_matches_engine_order"] = F.col(f"_ordered_{s}") & (seen == F.col(f"_rank_{s}").isNotNull()) & _same(
-            F.col(f"rank_{s}"), F.col(f"_rank_{s}")
-        ) & _same(F.col(f"key_{s}"), F.col(f"_key_{s}"))
-        checks[f"common-{name}.ranking_matches_engine_order"] = _same(
-            F.col(f"common_rank_{s}"), F.col(f"_fresh_common_{s}")
+        checks[f"{name}.set_partition"] = done.equal(F.col(f"n_{s}"), totals[f"n_{s}"])
+        checks[f"{name}.ranking_matches_engine_order"] = done.every(
+            F.col(f"_ordered_{s}") & (F.col(f"_seen_{s}") == F.col(f"_rank_{s}").isNotNull())
+            & _same(F.col(f"rank_{s}"), F.col(f"_rank_{s}")) & _same(F.col(f"key_{s}"), F.col(f"_key_{s}"))
+        )
+        checks[f"common-{name}.ranking_matches_engine_order"] = done.every(
+            _same(F.col(f"common_rank_{s}"), F.col(f"_fresh_common_{s}"))
         )
-    checks["members.unique_and_partitioned"] = (F.col("_copies") == 1) & F.col("_in_result")
+    checks["members.unique_and_partitioned"] = done.every((F.col("_copies") == 1) & F.col("_in_result"))
     bounds = F.lit(True)
     for s in sides:
-        rank, common = F.col(f"rank_{s}"), F.col(f"common_rank_{s}")
-        bounds = bounds & F.coalesce(rank.between(1, F.col(f"_n_{s}")), F.lit(True))
-        bounds = bounds & F.coalesce(common.between(1, F.col("_n_common")), F.lit(True))
+        bounds = bounds & done.within(F.col(f"rank_{s}"), totals[f"n_{s}"])
+        bounds = bounds & done.within(F.col(f"common_rank_{s}"), totals["n_common"])
     checks["ranks.within_bounds"] = bounds
     return checks
 
@@ -109,87 +193,82 @@ def _integers_only(movement: DataFrame, names: list[str]) -> Column:
     return F.lit(all(kinds[n] in ("long", "integer") for n in names))
 
 
-def _prepared(movement, ranked, requests, sides, key, rows_bound, metrics):
-    rows = _against_source(movement, ranked, requests, sides, key)
-    rows = _recount(rows, sides, len(requests) * metrics)
-    keys = ["metric", *sides]
-    for s in sides:
-        by = F.col(f"_key_{s}") * direction_sign(F.col("metric"))
-        rows = certify(rows, keys, f"_rank_{s}", by, f"_ordered_{s}", {f"_upto_{s}": F.col("_every")}, rows_bound=rows_bound)
-        rows = rows.withColumn(f"_fresh_{s}", F.col(f"_rank_{s}"))
-        rows = rows.withColumn(f"_fresh_common_{s}", F.when(F.col("_every"), F.col(f"_upto_{s}")))
-    return rows
-
-
 def verify_two_year(movement: DataFrame, ranked: DataFrame, pairs: list[tuple[int, int]], *,
                     rows_bound: int, key: str = "value", metrics: int = 20) -> DataFrame:
-    rows = _prepared(movement, ranked, pairs, SIDES_TWO, key, rows_bound, metrics)
+    rows = _against_source(movement, ranked, pairs, SIDES_TWO, key, rows_bound, metrics)
+    done = _Pass()
+    n = _totals(done, SIDES_TWO)
     common, status = F.col("_every"), F.col("status")
-    a_only = ~common & (F.col("_seen_a") > 0)
-    b_only = ~common & (F.col("_seen_b") > 0)
+    known = F.col("_seen_a") | F.col("_seen_b")
+    a_only = ~common & F.when(known, F.col("_seen_a"))
+    b_only = ~common & F.when(known, F.col("_seen_b"))
     either = F.when(common, F.lit(None)).otherwise(F.lit(True))
     full = F.col("rank_b") - F.col("rank_a")
     alike = F.col("common_rank_b") - F.col("common_rank_a")
     skip = ~common
-    checks = _checks_of_sides(SIDES_TWO) | {
-        "common.is_exact_intersection": (common == (status == "common")) & _same(F.col("n_common"), F.col("_n_common")),
-        "exited.is_exact_difference": (a_only == (status == "exited")) & _same(F.col("n_exited"), F.col("_n_outside_a")),
-        "entered.is_exact_difference": (b_only == (status == "entered")) & _same(F.col("n_entered"), F.col("_n_outside_b")),
-        "members.disjoint": F.col("_n_common") + F.col("_n_outside_a") + F.col("_n_outside_b") == F.col("_n_union"),
-        "exited.above_below_reconciles": skip | (F.col("exited_above") + F.col("exited_below") == F.col("_n_outside_a")),
-        "entered.above_below_reconciles": skip | (F.col("entered_above") + F.col("entered_below") == F.col("_n_outside_b")),
-        "partial_identity_A": skip | (F.col("_fresh_common_a") == F.col("_fresh_a") - F.col("exited_above")),
-        "partial_identity_B": skip | (F.col("_fresh_common_b") == F.col("_fresh_b") - F.col("entered_above")),
-        "decomposition.identity": skip
-        | (full == alike + F.col("entered_above") - F.col("exited_above"))
-        & (F.col("position_change") == F.col("common_effect") + F.col("set_effect")),
-        "decomposition.observed_set_effect_matches_counts": skip
-        | (F.col("set_effect") == F.col("entered_above") - F.col("exited_above")),
-        "classification.position_based": skip
-        | (F.col("position_change") == full) & (F.col("common_effect") == alike) & (F.col("places_gained") == -full),
-        "members.missing_has_reason": F.coalesce(either == F.col("reason").isNotNull(), F.col("reason").isNull()),
+    checks = _checks_of_sides(done, n, SIDES_TWO) | {
+        "common.is_exact_intersection": done.every(common == (status == "common")) & done.equal(F.col("n_common"), n["n_common"]),
+        "exited.is_exact_difference": done.every(a_only == (status == "exited")) & done.equal(F.col("n_exited"), n["n_outside_a"]),
+        "entered.is_exact_difference": done.every(b_only == (status == "entered")) & done.equal(F.col("n_entered"), n["n_outside_b"]),
+        "members.disjoint": n["n_common"] + n["n_outside_a"] + n["n_outside_b"] == n["n_union"],
+        "exited.above_below_reconciles": done.equal(F.col("exited_above") + F.col("exited_below"), n["n_outside_a"], common),
+        "entered.above_below_reconciles": done.equal(F.col("entered_above") + F.col("entered_below"), n["n_outside_b"], common),
+        "partial_identity_A": done.every(skip | (F.col("_fresh_common_a") == F.col("_rank_a") - F.col("exited_above"))),
+        "partial_identity_B": done.every(skip | (F.col("_fresh_common_b") == F.col("_rank_b") - F.col("entered_above"))),
+        "decomposition.identity": done.every(
+            skip
+            | (full == alike + F.col("entered_above") - F.col("exited_above"))
+            & (F.col("position_change") == F.col("common_effect") + F.col("set_effect"))
+        ),
+        "decomposition.observed_set_effect_matches_counts": done.every(
+            skip | (F.col("set_effect") == F.col("entered_above") - F.col("exited_above"))
+        ),
+        "classification.position_based": done.every(
+            skip | (F.col("position_change") == full) & (F.col("common_effect") == alike) & (F.col("places_gained") == -full)
+        ),
+        "members.missing_has_reason": done.every(F.coalesce(either == F.col("reason").isNotNull(), F.col("reason").isNull())),
         "outputs.integers_only": _integers_only(
             movement, ["rank_a", "rank_b", "common_rank_a", "common_rank_b", "position_change", "set_effect"]
         ),
     }
-    return _report(rows, ["metric", "a", "b"], checks)
+    return done.report(rows, ["metric", "a", "b"], checks)
 
 
 def verify_three_year(movement: DataFrame, ranked: DataFrame, triples: list[tuple[int, int, int]], *,
                       rows_bound: int, key: str = "value", metrics: int = 20) -> DataFrame:
-    rows = _prepared(movement, ranked, triples, SIDES_THREE, key, rows_bound, metrics)
+    rows = _against_source(movement, ranked, triples, SIDES_THREE, key, rows_bound, metrics)
+    done = _Pass()
+    n = _totals(done, SIDES_THREE)
     common = F.col("_every")
     skip = ~common
-    outside_total = F.col("_n_union") - F.col("_n_common")
-    checks = _checks_of_sides(SIDES_THREE) | {
-        "common.is_exact_intersection": (common == (F.col("status") == "common")) & _same(F.col("n_common"), F.col("_n_common")),
-        "outside.is_union_minus_common": _same(F.col("n_outside"), outside_total),
-        "common.universe_consistent_across_years": skip
-        | (F.col("_fresh_common_a").isNotNull() & F.col("_fresh_common_m").isNotNull() & F.col("_fresh_common_b").isNotNull()),
+    checks = _checks_of_sides(done, n, SIDES_THREE) | {
+        "common.is_exact_intersection": done.every(common == (F.col("status") == "common")) & done.equal(F.col("n_common"), n["n_common"]),
+        "outside.is_union_minus_common": done.equal(F.col("n_outside"), n["n_union"] - n["n_common"]),
+        "common.universe_consistent_across_years": done.every(
+            skip
+            | (F.col("_fresh_common_a").isNotNull() & F.col("_fresh_common_m").isNotNull() & F.col("_fresh_common_b").isNotNull())
+        ),
     }
     for s in SIDES_THREE:
-        name = LABEL[s]
-        checks[f"outsideIn{name}.is_exact_difference"] = _same(F.col(f"n_outside_{s}"), F.col(f"_n_outside_{s}"))
-        checks[f"outside.above_below_reconciles_{name}"] = skip | (
-            F.col(f"outside_above_{s}") + F.col(f"outside_below_{s}") == F.col(f"_n_outside_{s}")
-        )
-        checks[f"partial_identity_{name}"] = skip | (
-            F.col(f"_fresh_common_{s}") == F.col(f"_fresh_{s}") - F.col(f"outside_above_{s}")
-        )
+        name, outside = LABEL[s], n[f"n_outside_{s}"]
+        above = F.col(f"outside_above_{s}")
+        checks[f"outsideIn{name}.is_exact_difference"] = done.equal(F.col(f"n_outside_{s}"), outside)
+        checks[f"outside.above_below_reconciles_{name}"] = done.equal(above + F.col(f"outside_below_{s}"), outside, common)
+        checks[f"partial_identity_{name}"] = done.every(skip | (F.col(f"_fresh_common_{s}") == F.col(f"_rank_{s}") - above))
     for seg, s, e in (("am", "a", "m"), ("mb", "m", "b"), ("ab", "a", "b")):
-        full = F.col(f"_fresh_{e}") - F.col(f"_fresh_{s}")
+        full = F.col(f"_rank_{e}") - F.col(f"_rank_{s}")
         alike = F.col(f"_fresh_common_{e}") - F.col(f"_fresh_common_{s}")
-        checks[f"decomposition.identity_{seg.upper()}"] = skip | (
+        checks[f"decomposition.identity_{seg.upper()}"] = done.every(skip | (
             (F.col(f"position_change_{seg}") == full)
             & (F.col(f"common_effect_{seg}") == alike)
             & (F.col(f"set_effect_{seg}") == F.col(f"outside_above_{e}") - F.col(f"outside_above_{s}"))
-        )
+        ))
     adds = F.lit(True)
     for stem in ("position_change", "common_effect", "set_effect"):
         adds = adds & (F.col(f"{stem}_ab") == F.col(f"{stem}_am") + F.col(f"{stem}_mb"))
-    checks["decomposition.segments_add_up"] = skip | adds
+    checks["decomposition.segments_add_up"] = done.every(skip | adds)
     checks["outputs.integers_only"] = _integers_only(movement, ["position_change_ab", "set_effect_ab", "common_rank_m"])
-    return _report(rows, ["metric", *SIDES_THREE], checks)
+    return done.report(rows, ["metric", *SIDES_THREE], checks)
 
 
 def verify_growth(movement: DataFrame, obs: DataFrame, requests, *, rows_bound: int, metrics: int = 20,

@@ -33,7 +33,7 @@ def test_movement_is_counted_in_the_panel(obs, monkeypatch, window_rows):
     """Every count against brute force, by groups of both kinds, and no request's rows are moved or stored."""
     ranked = rank.level_rank(obs, 100)
     monkeypatch.setattr(ordered, "WINDOW_ROWS", window_rows)
-    monkeypatch.setattr(ordered, "cut_lineage", lambda df: pytest.fail("rows are stored"))
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df: pytest.fail("rows are stored"), raising=False)
     pairs, triples = mv.year_pairs(YEARS), mv.year_triples(YEARS)
     two, three = mv.two_year(ranked, pairs, rows_bound=40), mv.three_year(ranked, triples, rows_bound=40)
     assert not _moved_by_request(two) and not _moved_by_request(three)
@@ -66,3 +66,61 @@ def test_movement_is_counted_in_the_panel(obs, monkeypatch, window_rows):
 
 def test_no_request_gives_no_rows(obs):
     assert mv.two_year(rank.level_rank(obs, 100), [], rows_bound=100).count() == 0
+
+
+def _failed(report):
+    return {(tuple(r)[:-2], r.check) for r in verify.failures(report).collect()}
+
+
+def test_checks_store_and_move_no_rows_of_requests(obs, monkeypatch):
+    monkeypatch.setattr(verify, "cut_lineage", lambda df: pytest.fail("rows are stored"))
+    ranked = rank.level_rank(obs, 100)
+    pairs, triples = mv.year_pairs(YEARS), mv.year_triples(YEARS)
+    for report in (
+        verify.verify_two_year(mv.two_year(ranked, pairs, rows_bound=100), ranked, pairs, rows_bound=100),
+        verify.verify_three_year(mv.three_year(ranked, triples, rows_bound=100), ranked, triples, rows_bound=100),
+    ):
+        assert not _moved_by_request(report)
+        assert verify.failures(report).collect() == []
+
+
+@pytest.mark.parametrize("window_rows", [1_000_000, 10])
+def test_every_lost_invented_or_changed_row_is_found(spark, obs, monkeypatch, window_rows):
+    """One row at a time: the request it belongs to is refused, and no other."""
+    ranked = rank.level_rank(obs, 100)
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", window_rows)
+    pairs = mv.year_pairs(YEARS)
+    rows = mv.two_year(ranked, pairs, rows_bound=100).where("metric = 'total_current'").cache()
+    ranked = ranked.where("metric = 'total_current'")
+    counts = {r.entity: r["count"] for r in rows.groupBy("entity").count().collect()}
+    entity = next(e for e, n in sorted(counts.items()) if n == len(pairs))
+    check = lambda df: _failed(verify.verify_two_year(df, ranked, pairs, rows_bound=100))
+    mine = F.col("entity") == entity
+    for (a, b), also in ((pairs[2], True), (pairs[0], False), (pairs[-1], False)):
+        one = mine & (F.col("a") == a) & (F.col("b") == b)
+        group = ("total_current", a, b)
+        lost = check(rows.where(~one))
+        assert {g for g, _ in lost} == {group} and (group, "A.set_partition") in lost
+        if not also:
+            continue
+        twice = check(rows.unionByName(rows.where(one)))
+        assert {g for g, _ in twice} == {group} and (group, "members.unique_and_partitioned") in twice
+        invented = check(rows.unionByName(rows.where(one).withColumn("entity", F.lit("X"))))
+        assert {g for g, _ in invented} == {group} and (group, "members.disjoint") in invented
+        wrong = check(rows.withColumn("n_common", F.when(one, F.col("n_common") + 1).otherwise(F.col("n_common"))))
+        assert wrong == {(group, "common.is_exact_intersection")}
+    gone = check(rows.where(~mine))
+    assert {g for g, _ in gone} == {("total_current", a, b) for a, b in pairs}
+    other = check(rows.unionByName(rows.where(mine & (F.col("a") == YEARS[0]) & (F.col("b") == YEARS[1])).withColumn("b", F.lit(2010))))
+    assert {g for g, _ in other} == {("total_current", YEARS[0], 2010)}
+
+
+def test_wrong_ranks_of_the_source_are_refused(obs):
+    """The ranks that the movement was made from are proven too: two swapped ones are refused in all their requests."""
+    ranked = rank.level_rank(obs, 100)
+    swapped = F.when(F.col("rank") == 1, 2).when(F.col("rank") == 2, 1).otherwise(F.col("rank"))
+    bad = ranked.withColumn("rank", F.when((F.col("year") == YEARS[1]) & (F.col("metric") == "total_current"), swapped).otherwise(F.col("rank")).cast("long"))
+    pairs = mv.year_pairs(YEARS)
+    failed = _failed(verify.verify_two_year(mv.two_year(bad, pairs, rows_bound=100), bad, pairs, rows_bound=100))
+    assert {g for g, _ in failed} == {("total_current", a, b) for a, b in pairs if YEARS[1] in (a, b)}
+    assert {c for _, c in failed} == {"A.ranking_matches_engine_order", "B.ranking_matches_engine_order"}
