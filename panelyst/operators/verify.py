@@ -345,14 +345,14 @@ def assert_verified(report: DataFrame) -> None:
 
 def verified_two_year(ranked: DataFrame, pairs: list[tuple[int, int]], *, rows_bound: int, metrics: int = 20) -> DataFrame:
     """Two-year movement that is handed out only if all its checks hold; raises otherwise."""
-    rows = cut_lineage(two_year(ranked, pairs, rows_bound=rows_bound, metrics=metrics))
+    rows = two_year(ranked, pairs, rows_bound=rows_bound, metrics=metrics, fixed=True)
     assert_verified(verify_two_year(rows, ranked, pairs, rows_bound=rows_bound, metrics=metrics))
     return rows
 
 
 def verified_three_year(ranked: DataFrame, triples: list[tuple[int, int, int]], *, rows_bound: int, metrics: int = 20) -> DataFrame:
     """The same for three years."""
-    rows = cut_lineage(three_year(ranked, triples, rows_bound=rows_bound, metrics=metrics))
+    rows = three_year(ranked, triples, rows_bound=rows_bound, metrics=metrics, fixed=True)
     assert_verified(verify_three_year(rows, ranked, triples, rows_bound=rows_bound, metrics=metrics))
     return rows
 
