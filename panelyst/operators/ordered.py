@@ -4,7 +4,7 @@ A window over one (metric, year) would put that whole group into one task. The o
 that plan only while the largest group is known to be small. Beyond that they order the rows with a
 range partitioning, work inside slices, and add each slice's offset:
 
-* ``rank_rows``: the first ordering, by value. Slices are range partitions, fixed by a checkpoint.
+* ``rank_rows``: the first ordering, by value. Slices are range partitions, fixed as a table.
 * ``prefix_counts``: later orderings. A dense rank cuts itself into equal slices by arithmetic, so
   no sampling and no checkpoint is needed.
 * ``group_facts``: aggregates of a group beside its rows.
@@ -12,9 +12,11 @@ range partitioning, work inside slices, and add each slice's offset:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelyst.session import cut_lineage
+from panelyst.session import cut_lineage, written
 
 # Rows one task may sort in a window, and rows a side may hold to be broadcast.
 WINDOW_ROWS = 1_000_000
@@ -46,14 +48,18 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], bound: int | N
     return big.join(small, keys, how)
 
 
-def _order(value: str, direction: str) -> Column:
-    return F.col(value).asc() if direction == "ASC" else F.col(value).desc()
+def _value(value: str | Column) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def _order(value: str | Column, direction: str) -> Column:
+    return _value(value).asc() if direction == "ASC" else _value(value).desc()
 
 
 def rank_rows(
     df: DataFrame,
     keys: list[str],
-    value: str,
+    value: str | Column,
     entity: str = "entity",
     *,
     direction: str = "DESC",
@@ -66,7 +72,8 @@ def rank_rows(
     """Ordinal rank by value then entity, with the group's row count.
 
     ``competition`` names an extra column where ties share a rank and the next one skips. There is
-    one row per entity and group. Values are finite or, ranking high to low, null: those come last.
+    one row per entity and group. Values are finite or, ranking high to low, null: those come last. ``value`` is a
+    column's name, or what is made of columns and not kept.
     """
     order = [_order(value, direction), F.col(entity).asc()]
     bound = group_bound(df, keys, rows_bound)
@@ -81,64 +88,78 @@ def rank_rows(
 
 def _rank_by_range(df, keys, value, order, competition, rank, total, bound, slices):
     spark = df.sparkSession
-    # Range partitioning reads its input twice, once to sample; fix the input first. The second
-    # cut fixes which slice each row fell into, which every later branch relies on.
-    source = cut_lineage(df)
+    # Range partitioning reads its input twice, once to sample; fix the input first. Its sorted slices are fixed too,
+    # with each row's place, which every later branch relies on. Both as tables: columns pack well, and a branch reads
+    # only its own.
+    source = written(df)
     parts = slices or max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source.count() // _slice_rows())
     )
-    sliced = cut_lineage(
-        source.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn(
-            "_slice", F.spark_partition_id()
-        )
-    )
-    inside = Window.partitionBy("_slice", *keys)
-    local = sliced.withColumn("_at", F.row_number().over(inside.orderBy(*order)).cast("long"))
-    local = local.withColumn("_tie", F.rank().over(inside.orderBy(order[0])).cast("long"))
-    # One row per slice and group: at most (slices + groups) rows, since slices follow the order.
-    edges = local.groupBy("_slice", *keys).agg(
+    order = [F.col(k).asc() for k in keys] + order
+    # This id is the partition's number above 33 bits and the row's place in it below.
+    sliced = source.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    sliced = written(sliced.withColumn("_id", F.monotonically_increasing_id()))
+    sliced = sliced.select("*", F.shiftright("_id", 33).cast("int").alias("_slice"), F.expr("_id & 8589934591").alias("_place"))
+    sliced = sliced.drop("_id")
+    # At most slices + groups rows, since slices follow the order: they are broadcast.
+    edges = sliced.groupBy("_slice", *keys).agg(
+        F.min("_place").alias("_start"),
         F.count(F.lit(1)).alias("_rows"),
-        F.min_by(value, "_at").alias("_first"),
-        F.max_by(value, "_at").alias("_last"),
-        F.max("_tie").alias("_last_tie"),
+        *([F.min_by(value, "_place").alias("_first"), F.max_by(value, "_place").alias("_last")] if competition else []),
     )
     along = Window.partitionBy(*keys).orderBy("_slice")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    edges = (
-        edges.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .withColumn(total, F.sum("_rows").over(Window.partitionBy(*keys)))
-        # Nulls tie with each other, so every comparison of values here is null-safe.
-        .withColumn("_joined", F.lag("_slice").over(along).isNotNull() & F.lag("_last").over(along).eqNullSafe(F.col("_first")))
-        # Where the run of equal values that ends this slice began; null while one run goes on
-        # through the whole slice.
-        .withColumn(
-            "_run",
-            F.when(
-                ~(F.col("_joined") & F.col("_first").eqNullSafe(F.col("_last"))),
-                F.col("_offset") + F.col("_last_tie"),
-            ),
-        )
-        .withColumn(
-            "_lead",
-            F.when(F.col("_joined"), F.last("_run", ignorenulls=True).over(before)).otherwise(
-                F.col("_offset") + 1
-            ),
+    if competition:
+        # Where the run of equal values that ends the slice begins in it.
+        ends = _beside(sliced, edges.select("_slice", *keys, "_last"), ["_slice", *keys])
+        ends = ends.where(_value(value).eqNullSafe(F.col("_last"))).groupBy("_slice", *keys).agg(F.min("_place").alias("_run_place"))
+        edges = _beside(edges, ends, ["_slice", *keys])
+    edges = edges.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    edges = edges.withColumn(total, F.sum("_rows").over(Window.partitionBy(*keys)))
+    edges = edges.withColumn("_offset", F.col("_before") - F.col("_start") + 1)
+    found = ["_offset", total]
+    if competition:
+        edges = (
+            # Nulls tie with each other, so every comparison of values here is null-safe.
+            edges.withColumn("_joined", F.lag("_slice").over(along).isNotNull() & F.lag("_last").over(along).eqNullSafe(F.col("_first")))
+            # Where the run of equal values that ends this slice began; null while one run goes on
+            # through the whole slice.
+            .withColumn(
+                "_run",
+                F.when(
+                    ~(F.col("_joined") & F.col("_first").eqNullSafe(F.col("_last"))),
+                    F.col("_offset") + F.col("_run_place"),
+                ),
+            )
+            .withColumn(
+                "_lead",
+                F.when(F.col("_joined"), F.last("_run", ignorenulls=True).over(before)).otherwise(
+                    F.col("_before") + 1
+                ),
+            )
         )
-        .select("_slice", *keys, "_offset", "_lead", "_first", total)
-    )
-    out = local.join(edges, ["_slice", *keys])
-    out = out.withColumn(rank, F.col("_offset") + F.col("_at"))
+        found += ["_before", "_lead", "_first"]
+        sliced = sliced.withColumn("_tie", F.rank().over(Window.partitionBy("_slice", *keys).orderBy(order[len(keys)])).cast("long"))
+    out = _beside(sliced, edges.select("_slice", *keys, *found), ["_slice", *keys])
+    out = out.withColumn(rank, F.col("_place") + F.col("_offset"))
     if competition:
         out = out.withColumn(
             competition,
-            F.when(F.col(value).eqNullSafe(F.col("_first")), F.col("_lead")).otherwise(
-                F.col("_offset") + F.col("_tie")
+            F.when(_value(value).eqNullSafe(F.col("_first")), F.col("_lead")).otherwise(
+                F.col("_before") + F.col("_tie")
             ),
         )
     extra = [rank] + ([competition] if competition else []) + [total]
     return out.select(*df.columns, *extra)
 
 
+def _beside(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the one row of ``small`` of the same keys, null ones too."""
+    named = small.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)]
+    return rows.join(F.broadcast(named), reduce(lambda x, y: x & y, same)).drop(*[f"_of_{i}" for i in range(len(keys))])
+
+
 def prefix_counts(
     df: DataFrame,
     keys: list[str],

@@ -33,7 +33,8 @@ def _signed(obs: DataFrame) -> DataFrame:
 
 def level_rank(obs: DataFrame, rows_bound: int | None = None, competition: str | None = None) -> DataFrame:
     """Ordinal rank of every metric-year in its registry direction; neutral metrics are refused."""
-    return rank_rows(_signed(obs), GROUP, "_key", rows_bound=rows_bound, competition=competition).drop("_key")
+    key = F.col("value") * direction_sign(F.col("metric"))
+    return rank_rows(_signed(obs).drop("_key"), GROUP, key, rows_bound=rows_bound, competition=competition)
 
 
 def refused_metrics(obs: DataFrame) -> DataFrame:

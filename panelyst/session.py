@@ -73,5 +73,5 @@ def written(df: DataFrame) -> DataFrame:
     Columnar, so each branch still reads only its own columns and pushes its filters down.
     """
     path = table_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
