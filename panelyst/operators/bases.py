@@ -249,12 +249,11 @@ def basis_movement(obs: DataFrame, bases: list[Basis], a: int, b: int, m: int |
     """
     rows = basis_values(obs, bases, a, b, m)
     direction = _by_basis(bases, lambda basis: {"ASC": -1.0, "DESC": 1.0}.get(basis.direction))
-    rows = rows.withColumn("_ok", F.col("reason").isNull()).withColumn(
-        "_signed", F.col("value") * F.coalesce(direction, F.lit(1.0))
-    )
+    rows = rows.withColumn("_ok", F.col("reason").isNull())
+    signed = F.col("value") * F.coalesce(direction, F.lit(1.0))
     bound = group_bound(rows, GROUP, rows_bound)
     # A value that cannot be computed is null and comes after every ranked one.
-    rows = rank_rows(rows, GROUP, "_signed", rank="_at", competition="_rank", total="_all", rows_bound=bound)
+    rows = rank_rows(rows, GROUP, signed, rank="_at", competition="_rank", total="_all", rows_bound=bound)
     groups = sum(len(periods_of(basis, a, b, m)) for basis in bases) * 2
     counts = {"n": F.count_if("_ok"), "incomplete": F.count_if(~F.col("_ok"))}
     rows = group_facts(rows, GROUP, counts, rows_bound=bound, groups_bound=groups)

@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelyst.session import cut_lineage, written
+from panelyst.session import written
 
 # Rows one task may sort in a window, and rows a side may hold to be broadcast.
 WINDOW_ROWS = 1_000_000
@@ -208,11 +208,11 @@ def group_facts(df: DataFrame, keys: list[str], facts: dict[str, Column], *, row
     """Aggregates of each group beside its rows. ``facts`` are plain aggregates, cast by the caller.
 
     Small groups take a window, which shares the partitioning of the ranks around it. Large ones take
-    partial sums and a join to one small side, with the rows fixed first because both branches read them.
+    partial sums and a join to one small side, with the rows fixed first, as a table, because both branches read them.
     """
     if rows_bound <= WINDOW_ROWS:
         group = Window.partitionBy(*keys)
         return df.select("*", *[c.over(group).alias(n) for n, c in facts.items()])
-    fixed = cut_lineage(df)
+    fixed = written(df)
     small = fixed.groupBy(*keys).agg(*[c.alias(n) for n, c in facts.items()])
     return join_small(fixed, small, keys, groups_bound)

@@ -44,3 +44,12 @@ def test_a_value_that_is_made_is_not_kept(spark, monkeypatch):
     for m, sign in (("total_current", -1), ("inflation_cpi", 1)):
         want = [e for _, e in sorted((sign * v, e) for e, k, _, v in rows if k == m)]
         assert [r.entity for r in out.where(F.col("metric") == m).orderBy("rank").collect()] == want
+
+
+def test_facts_of_large_groups_need_no_checkpoint(spark, monkeypatch):
+    df = _frame(spark).where("g IS NOT NULL")
+    _no_checkpoint(monkeypatch)
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", 20)
+    out = ordered.group_facts(df, ["g"], {"n": F.count("value")}, rows_bound=150, groups_bound=2).collect()
+    held = {g: sum(r.value is not None for r in out if r.g == g) for g in ("x", "y")}
+    assert len(out) == 300 and all(r.n == held[r.g] for r in out)
